@@ -35,34 +35,54 @@ def attach_request(cards: DataFrame, parts: DataFrame, as_of: Column | None = No
 
 # --- relevance ---------------------------------------------------------------
 
-def keep_relevant(cards: DataFrame, min_relevance: float = fv.MIN_RELEVANCE) -> DataFrame:
-    """Rejects foreign titles, scores the rest against `query`.
-
-    Scoring follows the filter, so only accepted titles pay for it.
-    """
-    title = F.col("title_raw")
+def _scored(forms: DataFrame) -> DataFrame:
+    """Attributes, relevance, key and display name of rows with `_form`."""
     a = {name: F.col(f"_{name}") for name in classify.TITLE_LEXICONS}
-    form, query = F.col("_form"), F.col("_query")
+    form, title = F.col("_form"), F.col("title_raw")
     return (
-        cards.withColumn("_form", text.matching_form(title))
-        .where(relevance.accepted_form(form))
-        .withColumns(
+        forms.withColumns(
             {f"_{name}": c for name, c in classify.title_attributes(form).items()}
             | {"_query": text.words(text.matching_form(F.col("query")))}
         )
         .withColumns(
             {
-                "relevance": relevance.relevance_score(text.words(form), query, a),
+                "relevance": relevance.relevance_score(text.words(form), F.col("_query"), a),
                 "attributes": F.struct(*[c.alias(name) for name, c in a.items()]),
                 "part_key": classify.title_part_key(a),
                 "part_name_norm": classify.title_display_name(title, a),
             }
         )
-        .drop("_form", "_query", *[f"_{name}" for name in a])
-        .where(F.col("relevance") >= min_relevance)
+        .drop("_query", *[f"_{name}" for name in a])
     )
 
 
+def keep_relevant(cards: DataFrame, min_relevance: float = fv.MIN_RELEVANCE) -> DataFrame:
+    """Rejects foreign titles, scores the rest against `query`.
+
+    Scoring follows the filter, so only accepted titles pay for it.
+    """
+    forms = cards.withColumn("_form", text.matching_form(F.col("title_raw")))
+    accepted = forms.where(relevance.accepted_form(F.col("_form")))
+    return _scored(accepted).drop("_form").where(F.col("relevance") >= min_relevance)
+
+
+def score_rows(cards: DataFrame, min_relevance: float = fv.MIN_RELEVANCE) -> DataFrame:
+    """Keeps every row and says whether it passes, as `kept`.
+
+    A foreign title has relevance 0 and no attributes.
+    """
+    forms = cards.withColumn("_form", text.matching_form(F.col("title_raw")))
+    scored = _scored(forms).withColumn("_accepted", relevance.accepted_form(F.col("_form")))
+    ok = F.col("_accepted")
+    return scored.withColumns(
+        {
+            "kept": ok & (F.col("relevance") >= min_relevance),
+            "relevance": F.when(ok, F.col("relevance")).otherwise(0.0),
+            **{n: F.when(ok, F.col(n)) for n in ("attributes", "part_key", "part_name_norm")},
+        }
+    ).drop("_form", "_accepted")
+
+
 def first_cards(cards: DataFrame, limit: int = fv.MAX_CARDS_PER_SEARCH) -> DataFrame:
     """First cards of each search, in page order."""
     w = Window.partitionBy("part_id").orderBy("card_ord")
