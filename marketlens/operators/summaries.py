@@ -150,6 +150,24 @@ def _priced(offers: DataFrame, two_stage: bool) -> Column:
     return _valid_price(export_price_toman())
 
 
+def price_deviation(offers: DataFrame, keys: Sequence[str], two_stage: bool = True) -> DataFrame:
+    """Truncated sample deviation of the valid prices of each group."""
+    rows = offers.select(*keys, _priced(offers, two_stage).alias("_price"))
+    return rows.groupBy(*keys).agg(*_price_buffers("_price")).select(
+        *keys, _sample_std().alias("price_std_dev")
+    )
+
+
+def priced_counts(offers: DataFrame, key: str, two_stage: bool = True) -> DataFrame:
+    """All offers of a group, and those with a valid price."""
+    named = _seller(offers) if key == "seller_name_norm" else F.col(key)
+    return (
+        offers.select(named.alias(key), _priced(offers, two_stage).alias("_price"))
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("offers_count"), F.count("_price").alias("priced_count"))
+    )
+
+
 # --- sellers -----------------------------------------------------------------
 
 def seller_statistics(offers: DataFrame) -> DataFrame:
