@@ -14,6 +14,7 @@ from marketlens.functions import fixed_values as fv
 WHITE_SPACE = (
     r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 )
+OTHER_WHITE_SPACE = WHITE_SPACE.replace(r"\x20", r"\x1f")
 WORD_CHAR = r"[\p{L}\p{N}_]"
 
 
@@ -40,7 +41,12 @@ def normalize_digits(c: Column) -> Column:
 
 
 def clean_whitespace(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, WHITE_SPACE + "+", " "))
+    """Single spaces only, none at the ends.
+
+    The pattern passes over spaces that are fine as they are, so that most texts
+    come through without a single replacement.
+    """
+    return F.trim(F.regexp_replace(c, f"{WHITE_SPACE}{{2,}}|{OTHER_WHITE_SPACE}", " "))
 
 
 def strip(c: Column) -> Column:
@@ -76,13 +82,15 @@ def extract_price(c: Column) -> Column:
 
 
 def normalize_seller_name(c: Column) -> Column:
-    """Lower, clean, then drop each known prefix and each known suffix once."""
+    """Lower, clean, then drop each known prefix and each known suffix once.
+
+    In order: the first prefix, what follows the second, and so on; suffixes
+    likewise from the end.  Spaces next to a dropped word go with it.
+    """
+    prefixes = "^" + "".join(f"(?:{p} *)?" for p in fv.SELLER_PREFIXES)
+    suffixes = "".join(f"(?: *{s})?" for s in reversed(fv.SELLER_SUFFIXES)) + "$"
     name = clean_whitespace(F.lower(or_empty(c)))
-    for prefix in fv.SELLER_PREFIXES:
-        name = F.trim(F.regexp_replace(name, "^" + prefix, ""))
-    for suffix in fv.SELLER_SUFFIXES:
-        name = F.trim(F.regexp_replace(name, suffix + "$", ""))
-    return name
+    return F.regexp_replace(F.regexp_replace(name, prefixes, ""), suffixes, "")
 
 
 def normalize_part_title(c: Column) -> Column:

@@ -19,12 +19,17 @@ BUCKET_WIDTH = -math.log(1 - fv.MAX_PRICE_GAP) * 1.0001
 SMALL_BLOCK = 64
 
 
-def with_signature(offers: DataFrame, seller: Column | None = None) -> DataFrame:
-    """Adds the canonical seller, the normalised title and the price (NULL is 0)."""
+def with_signature(
+    offers: DataFrame, seller: Column | None = None, title: Column | None = None
+) -> DataFrame:
+    """Adds the canonical seller, the normalised title and the price (NULL is 0).
+
+    `seller` and `title` name columns that hold them already.
+    """
     return offers.withColumns(
         {
             "seller_canonical": canonical_seller(F.col("seller_name")) if seller is None else seller,
-            "title_norm": normalize_part_title(F.col("title_raw")),
+            "title_norm": normalize_part_title(F.col("title_raw")) if title is None else title,
             "price": F.coalesce(F.col("price_raw"), F.lit(0).cast("bigint")),
         }
     )

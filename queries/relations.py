@@ -9,6 +9,7 @@ from marketlens.operators import (
     audit, dedupe, offers, parts, sellers, similarity, snapshots, summaries,
 )
 from marketlens.plans import audit as audit_job, refresh, single_stage, two_stage
+from marketlens.session import materialize
 from queries import duck as d
 from queries.registry import query
 from queries.scalars import PART_META, RELEVANT, scored_cards
@@ -94,11 +95,16 @@ V2_ORDER = "part_ord, relevance_rank, offer_pos NULLS FIRST"
 
 def prepared(t):
     known = parts.with_metadata(t("parts"))
-    return dedupe.normalize_offers(single_stage.prepare_offers(known, t("offers")))
+    return materialize(
+        dedupe.normalize_offers(single_stage.prepare_offers(known, t("offers"))), "prepared"
+    )
 
 
 def processed(t):
-    return two_stage.processed_offers(t("parts"), t("cards"), t("page_offers"), as_of())
+    """Written once: most summaries read it in several branches."""
+    return materialize(
+        two_stage.processed_offers(t("parts"), t("cards"), t("page_offers"), as_of()), "processed"
+    )
 
 
 # --- joins -------------------------------------------------------------------
