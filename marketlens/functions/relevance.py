@@ -25,10 +25,7 @@ def accepted_form(
     negative: Lexicon = fv.NEGATIVE_PATTERNS,
     positive: Lexicon = fv.POSITIVE_PATTERNS,
 ) -> Column:
-    """No negative pattern and at least one positive pattern.
-
-    One alternation over all groups each: which group hit does not matter here.
-    """
+    """No negative pattern and at least one positive one, whatever the group."""
     any_of = lambda lexicon: "|".join(p for group in lexicon.values() for p in group)
     return ~form.rlike(any_of(negative)) & form.rlike(any_of(positive))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import classify, fixed_values as fv, relevance, text, urls
 from marketlens.operators import skew
+from marketlens.operators.columns import with_computed
 
 PART_METADATA = ["part_key", "part_name_norm", "car_model", "part_type", "side", "variant", "trim"]
 
@@ -61,9 +62,11 @@ def keep_relevant(cards: DataFrame, min_relevance: float = fv.MIN_RELEVANCE) ->
 
     Scoring follows the filter, so only accepted titles pay for it.
     """
-    forms = cards.withColumn("_form", text.matching_form(F.col("title_raw")))
-    accepted = forms.where(relevance.accepted_form(F.col("_form")))
-    return _scored(accepted).drop("_form").where(F.col("relevance") >= min_relevance)
+    forms = with_computed(cards, "_form", text.matching_form(F.col("title_raw")))
+    scored = _scored(forms.where(relevance.accepted_form(F.col("_form")))).drop("_form")
+    if min_relevance <= fv.RELEVANCE_WEIGHTS["part_type"]:
+        return scored  # an accepted title has a part type, which scores that much alone
+    return scored.where(F.col("relevance") >= min_relevance)
 
 
 def score_rows(cards: DataFrame, min_relevance: float = fv.MIN_RELEVANCE) -> DataFrame:
@@ -71,7 +74,7 @@ def score_rows(cards: DataFrame, min_relevance: float = fv.MIN_RELEVANCE) -> Dat
 
     A foreign title has relevance 0 and no attributes.
     """
-    forms = cards.withColumn("_form", text.matching_form(F.col("title_raw")))
+    forms = with_computed(cards, "_form", text.matching_form(F.col("title_raw")))
     scored = _scored(forms).withColumn("_accepted", relevance.accepted_form(F.col("_form")))
     ok = F.col("_accepted")
     return scored.withColumns(

@@ -44,14 +44,18 @@ def with_canonical_seller(
 
 
 def canonical_seller(
-    seller_name: Column, aliases: Mapping[str, Sequence[str]] = fv.SELLER_ALIASES
+    seller_name: Column,
+    aliases: Mapping[str, Sequence[str]] = fv.SELLER_ALIASES,
+    norm: Column | None = None,
 ) -> Column:
-    """Same lookup for a small fixed table, as a literal map inside the expression.
+    """Same lookup for a small fixed table, as literal arrays inside the expression.
 
-    Keys and values are normalised by the same expression as the data and folded
-    to literals; of repeated variations the last wins.
+    Variations and names are normalised by the same expression as the data and
+    folded to literals; of repeated variations the last wins.  `norm` is the
+    normalised name where it is a column already.
     """
-    norm = normalize_seller_name(seller_name)
+    if norm is None:
+        norm = normalize_seller_name(seller_name)
     pairs = [(v, name) for name, variations in aliases.items() for v in variations][::-1]
     named = norm
     if pairs:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import fixed_values as fv
-from marketlens.functions.text import normalize_part_title, words
+from marketlens.functions.text import normalize_part_title, normalize_seller_name, words
 from marketlens.operators.sellers import canonical_seller
 
 BLOCK = ["part_id", "seller_canonical"]
@@ -26,13 +26,16 @@ def with_signature(
 
     `seller` and `title` name columns that hold them already.
     """
+    if seller is None:
+        offers = offers.withColumn("_seller", normalize_seller_name(F.col("seller_name")))
+        seller = canonical_seller(F.col("seller_name"), norm=F.col("_seller"))
     return offers.withColumns(
         {
-            "seller_canonical": canonical_seller(F.col("seller_name")) if seller is None else seller,
+            "seller_canonical": seller,
             "title_norm": normalize_part_title(F.col("title_raw")) if title is None else title,
             "price": F.coalesce(F.col("price_raw"), F.lit(0).cast("bigint")),
         }
-    )
+    ).drop("_seller")
 
 
 def signature_md5() -> Column:

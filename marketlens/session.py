@@ -41,6 +41,16 @@ def materialize(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df):
+    """Deals a small input out over all cores.
+
+    A table that comes in fewer splits than there are cores would keep the rest
+    idle.  A large table has many splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _shipped: set[str] = set()
 
 

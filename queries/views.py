@@ -11,11 +11,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketlens.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
+# large ones, of which each comes as a single small file
+SPREAD = {"lineitem", "part", "documents", "conversations", "pages", "events"}
+
 AS_OF = "2024-01-30 12:00:00"
 BASE_URL = "https://shop.example"
 
@@ -190,7 +195,8 @@ _NAME = re.compile(r"\{([a-z_]+)\}")
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table) if name in SPREAD else table
     sql = VIEWS[name]
     return spark.sql(sql, **{d: spark_view(spark, sf_dir, d) for d in set(_NAME.findall(sql))})
 
