@@ -188,8 +188,7 @@ def _product_pages(t):
     other = F.concat(
         F.lit('<div class="my-offers"><i class="shop">'), c("r_name"), F.lit("</i></div>")
     )
-    rows = t("sources").join(t("products").select(*KEYS, "price_text"), KEYS)
-    return rows.select(
+    return t("products").select(
         F.expr(ROW_URL).alias("url"),
         F.when(c("l_linenumber") == 5, F.concat(F.lit("<html><body>"), other, F.lit("</body></html>")))
         .otherwise(F.concat(F.lit("<html><body><ul>"), first, second, F.lit("</ul></body></html>")))
@@ -201,14 +200,12 @@ _HAS = f"{d.strip('price_text')} <> ''"
 _PAGE_PRICE = f"""CASE WHEN {_HAS} THEN {d.price('price_text')} END AS price_raw,
     CASE WHEN {_HAS} THEN {d.clean('price_text')} ELSE price_text END AS price_text,
     CASE WHEN {_HAS} THEN {d.currency('price_text')} ELSE 'unknown' END AS currency_unit"""
-_SRC = f"""(SELECT s.*, price_text FROM {{sources}} s JOIN {{products}} p ON s.l_orderkey = p.l_orderkey
-    AND s.l_linenumber = p.l_linenumber AND s.l_partkey = p.l_partkey AND s.l_suppkey = p.l_suppkey)"""
 _PAGE_OFFERS = f"""SELECT * FROM (
     SELECT {ROW_URL} AS product_url, 0 AS offer_pos,
       CASE WHEN l_linenumber = 1 THEN '' ELSE s_name || ' Co' END AS seller_name, {_PAGE_PRICE},
-      '{BASE_URL}/shop/' || l_suppkey AS seller_url, '' AS availability FROM {_SRC} WHERE l_linenumber <> 5
-    UNION ALL SELECT {ROW_URL}, 1, '', {_PAGE_PRICE}, '', '' FROM {_SRC} WHERE l_linenumber <> 5
-    UNION ALL SELECT {ROW_URL}, 0, r_name, NULL, '', 'unknown', '', '' FROM {_SRC} WHERE l_linenumber = 5)
+      '{BASE_URL}/shop/' || l_suppkey AS seller_url, '' AS availability FROM {{products}} WHERE l_linenumber <> 5
+    UNION ALL SELECT {ROW_URL}, 1, '', {_PAGE_PRICE}, '', '' FROM {{products}} WHERE l_linenumber <> 5
+    UNION ALL SELECT {ROW_URL}, 0, r_name, NULL, '', 'unknown', '', '' FROM {{products}} WHERE l_linenumber = 5)
     WHERE seller_name <> '' OR coalesce(price_raw, 0) > 0"""
 
 
@@ -242,6 +239,7 @@ def _(t):
 
 def _documents(t):
     """Snapshot documents with one card each."""
+    stamped = t("snapshots").withColumn("cached_at", c("cached_at").cast("timestamp"))
     card = F.struct(
         c("query").alias("title_raw"), F.floor("value").cast("bigint").alias("price_raw"),
         F.lit("").alias("price_text"), F.lit("toman").alias("currency_unit"),
@@ -249,7 +247,7 @@ def _documents(t):
         F.lit("").alias("seller_url"), F.lit("").alias("availability"),
         c("cached_at").alias("snapshot_ts"),
     )
-    return t("snapshots").withColumn("data", F.array(card))
+    return stamped.withColumn("data", F.array(card))
 
 
 @query(

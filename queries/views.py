@@ -186,7 +186,8 @@ VIEWS = {
                     ELSE concat('/p/', CAST(l_partkey AS STRING)) END AS web_client_absolute_url,
                CASE WHEN l_linenumber = 3 THEN '' ELSE concat('در  ', s_name, ' ، تهران و در اصفهان')
                    END AS shop_text,
-               CASE WHEN l_linestatus = 'F' THEN 'موجود' ELSE '' END AS stock_status
+               CASE WHEN l_linestatus = 'F' THEN 'موجود' ELSE '' END AS stock_status,
+               s_name, r_name
         FROM {{sources}}""",
 }
 
