@@ -356,12 +356,17 @@ def export_counts(offers: DataFrame) -> DataFrame:
 
 # --- order of the reports ----------------------------------------------------
 
-def sort_offers_single(df: DataFrame, *tie: str) -> DataFrame:
-    return df.orderBy("part_id", "price_toman", *tie)
+# Ties are broken by further columns, which also lets the range partitioning of
+# the sort split a price or a score that very many offers share.
+_TIES = ["product_url", "seller_name_norm", "title_raw", "snapshot_ts"]
 
 
-def sort_offers_two_stage(df: DataFrame, *tie: str) -> DataFrame:
-    return df.orderBy(F.desc("relevance"), "price_toman", *tie)
+def sort_offers_single(df: DataFrame) -> DataFrame:
+    return df.orderBy("part_id", "price_toman", *_TIES)
+
+
+def sort_offers_two_stage(df: DataFrame) -> DataFrame:
+    return df.orderBy(F.desc("relevance"), "price_toman", "part_id", *_TIES)
 
 
 def sort_sellers(df: DataFrame) -> DataFrame:
