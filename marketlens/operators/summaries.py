@@ -325,7 +325,7 @@ def two_stage_statistics(offers: DataFrame) -> DataFrame:
     return offers.agg(
         F.count(F.lit(1)).alias("total_offers"),
         F.count_distinct(or_empty(F.col("seller_name_norm"))).alias("unique_sellers"),
-        F.coalesce(F.round(F.avg(F.when(rel != 0, rel)), 6), F.lit(0.0)).alias("avg_relevance"),
+        F.coalesce(F.avg(F.when(rel != 0, rel)), F.lit(0.0)).alias("avg_relevance"),
         F.count_if(rel > 0).alias("filtered_offers"),
         F.count_if(F.coalesce(F.col("drilled_down"), F.lit(False))).alias("product_pages"),
     )

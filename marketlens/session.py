@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
+import sys
 import tempfile
 import uuid
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -51,15 +51,10 @@ def spread(df):
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-_shipped: set[str] = set()
+def ship_package() -> None:
+    """Sends this package's functions to Python workers with the tasks.
 
-
-def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = Path(__file__).parent
-    base = Path(tempfile.mkdtemp(prefix="marketlens-zip-")) / package.name
-    sc.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
-    _shipped.add(sc.applicationId)
+    Workers then need no copy of the package, and no file has to be placed
+    anywhere for them.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["marketlens"])

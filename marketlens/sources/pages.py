@@ -147,7 +147,7 @@ def _price_columns() -> dict[str, Column]:
 
 def cards_from_markup(pages: DataFrame, base_url: str, link_part: str = fv.CARD_LINK_PART) -> DataFrame:
     """One card per product link; its surroundings give price, seller, stock."""
-    ship_package(pages.sparkSession)
+    ship_package()
     found = pages.select("page_id", "url", "html").mapInPandas(_find_cards(link_part), _RAW_CARD)
     return (
         found.withColumns(
@@ -173,7 +173,7 @@ def search_cards(pages: DataFrame, base_url: str) -> DataFrame:
 
 def page_offers(pages: DataFrame, base_url: str) -> DataFrame:
     """Offers of product pages that name a seller or a price."""
-    ship_package(pages.sparkSession)
+    ship_package()
     found = pages.select("url", "html").mapInPandas(_find_offers, _RAW_OFFER)
     return (
         found.withColumns(

@@ -18,6 +18,9 @@ from queries.views import AS_OF
 c = F.col
 LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 KEYS = LINE.split(", ")
+# total order of offers (the four keys alone repeat in the smallest tables)
+ORDER = f"{LINE}, l_quantity"
+ORDER_KEYS = ORDER.split(", ")
 NOW = f"TIMESTAMP '{AS_OF}'"
 
 
@@ -31,7 +34,7 @@ SIGNED = f"""SELECT *, {d.canonical('seller_name')} AS seller_canonical,
     {d.title('title_raw')} AS title_norm, coalesce(price_raw, 0) AS price,
     {d.score()} AS completeness FROM {{offers}}"""
 # single-stage offers ready for deduplication
-PREPARED = f"""SELECT {LINE}, o.part_id, o.part_name, o.part_code, m.part_key, m.part_name_norm, title_raw,
+PREPARED = f"""SELECT {ORDER}, o.part_id, o.part_name, o.part_code, m.part_key, m.part_name_norm, title_raw,
     CASE WHEN currency_unit = 'rial' THEN price_raw // 10 ELSE price_raw END AS price_raw,
     CASE WHEN currency_unit = 'rial' THEN 'toman' ELSE currency_unit END AS currency_unit,
     {d.canonical('seller_name')} AS seller_name_norm, seller_name, product_url, seller_url, availability,
@@ -263,9 +266,9 @@ def _(t):
     return summaries.sort_sellers(summaries.sellers_summary(processed(t)))
 
 
-@query("a04_part_summary_single_stage", parts_sql(SINGLE_PRICED, 3, False, LINE))
+@query("a04_part_summary_single_stage", parts_sql(SINGLE_PRICED, 3, False, ORDER))
 def _(t):
-    return summaries.sort_parts(summaries.part_summary(prepared(t), KEYS, two_stage=False))
+    return summaries.sort_parts(summaries.part_summary(prepared(t), ORDER_KEYS, two_stage=False))
 
 
 TWO_PARTS = parts_sql(TWO_PRICED, 5, True, V2_ORDER)
@@ -305,11 +308,12 @@ def _(t):
         FROM ({PROCESSED})""",
 )
 def _(t):
-    return two_stage.statistics(t("cards"), processed(t))
+    stats = two_stage.statistics(t("cards"), processed(t))
+    return stats.withColumn("avg_relevance", F.round("avg_relevance", 6))
 
 
 EXACT = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part_id, seller_canonical, title_norm, price
-    ORDER BY completeness DESC, {LINE}) AS rn FROM ({SIGNED})) WHERE rn = 1"""
+    ORDER BY completeness DESC, {ORDER}) AS rn FROM ({SIGNED})) WHERE rn = 1"""
 
 
 @query(
@@ -321,7 +325,7 @@ EXACT = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part_id, se
 )
 def _(t):
     """Counters with the exact form of deduplication, which SQL can state."""
-    kept = dedupe.exact_dedupe(t("offers"), KEYS).withColumnRenamed("seller_canonical", "seller_name_norm")
+    kept = dedupe.exact_dedupe(t("offers"), ORDER_KEYS).withColumnRenamed("seller_canonical", "seller_name_norm")
     return summaries.single_stage_statistics(parts.complete_parts(t("parts")), t("offers"), kept)
 
 
@@ -390,14 +394,59 @@ def _(t):
 
 @query("w02_exact_dedupe", f"SELECT {LINE}, completeness::INTEGER AS completeness FROM ({EXACT})")
 def _(t):
-    return dedupe.exact_dedupe(t("offers"), KEYS).select(*KEYS, "completeness")
-
-
-@query("w03_full_dedupe")
-def _(t):
-    """Order-dependent; tested against a brute-force replay instead of SQL."""
-    return dedupe.deduplicate(t("offers"), KEYS).select(*KEYS, "seller_canonical", "title_norm", "price")
-
+    return dedupe.exact_dedupe(t("offers"), ORDER_KEYS).select(*KEYS, "completeness")
+
+
+def _alike(a: str, b: str) -> str:
+    longer = f"CAST(greatest(length({a}.t), length({b}.t)) AS DOUBLE)"
+    united = f"CAST(len(list_distinct(list_concat({a}.w, {b}.w))) AS DOUBLE)"
+    return f"""(({a}.t = '' OR {b}.t = '' OR (
+        least(length({a}.t), length({b}.t)) / {longer} >= CAST(0.7 AS DOUBLE)
+        AND len(list_intersect({a}.w, {b}.w)) / {united} >= CAST(0.6 AS DOUBLE)))
+      AND ({a}.p <= 0 OR {b}.p <= 0
+        OR abs({a}.p - {b}.p) / CAST(greatest({a}.p, {b}.p) AS DOUBLE) <= CAST(0.05 AS DOUBLE)))"""
+
+
+def full_dedupe_sql(src: str) -> str:
+    """The order-dependent rules, one recursion step per offer of a block.
+
+    `standing` are the offers that later ones are compared with, `kept` the result.
+    """
+    return f"""SELECT {ORDER}, part_id, seller_canonical, title_norm, price FROM (
+    WITH RECURSIVE signed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY part_id, seller_canonical
+          ORDER BY {ORDER}) AS n FROM ({src})),
+      offer AS MATERIALIZED (SELECT part_id, seller_canonical, n, struct_pack(n := n, t := title_norm, p := price,
+          s := completeness, w := {_W}) AS o FROM signed),
+      run AS (
+        SELECT part_id, seller_canonical, n, [o] AS standing, [o] AS kept FROM offer WHERE n = 1
+        UNION ALL
+        SELECT part_id, seller_canonical, n,
+          CASE WHEN twin IS NOT NULL AND o.s > twin.s
+                 THEN list_transform(standing, lambda q: CASE WHEN q.t = o.t AND q.p = o.p THEN o ELSE q END)
+               WHEN twin IS NOT NULL THEN standing
+               WHEN near IS NULL THEN list_append(standing, o)
+               WHEN o.s > near.s THEN list_append(list_filter(standing, lambda q: q.n <> near.n), o)
+               ELSE standing END,
+          CASE WHEN twin IS NOT NULL AND o.s > twin.s
+                 THEN list_append(list_filter(kept, lambda q: NOT (q.t = o.t AND q.p = o.p)), o)
+               WHEN twin IS NOT NULL THEN kept
+               WHEN near IS NULL THEN list_append(kept, o)
+               WHEN o.s > near.s THEN list_append(list_filter(kept, lambda q: NOT {_alike('q', 'near')}), o)
+               ELSE kept END
+        FROM (SELECT x.part_id, x.seller_canonical, y.n, standing, kept, o,
+                list_filter(standing, lambda q: q.t = o.t AND q.p = o.p)[1] AS twin,
+                list_filter(standing, lambda q: {_alike('q', 'o')})[1] AS near
+              FROM run x JOIN offer y ON y.part_id = x.part_id AND y.seller_canonical = x.seller_canonical
+                AND y.n = x.n + 1)),
+      ended AS (SELECT part_id, seller_canonical, unnest(arg_max(kept, n)).n AS n FROM run
+                GROUP BY part_id, seller_canonical)
+    SELECT signed.* FROM signed JOIN ended USING (part_id, seller_canonical, n))"""
+
+
+@query("w03_full_dedupe", full_dedupe_sql(SIGNED))
+def _(t):
+    kept = dedupe.deduplicate(t("offers"), ORDER_KEYS)
+    return kept.select(*ORDER_KEYS, "part_id", "seller_canonical", "title_norm", "price")
 
 
 @query(
@@ -545,30 +594,43 @@ def _(t):
 # --- whole jobs --------------------------------------------------------------
 
 
+ASKED = PREPARED + " AND o.part_id <> '0' AND m.part_name <> '' AND m.keywords <> ''"
+_ASKED_SIGNED = f"""SELECT *, seller_name_norm AS seller_canonical, {d.title('title_raw')} AS title_norm,
+    price_raw AS price, {d.score()} AS completeness FROM ({ASKED})"""
+KEPT = f"SELECT a.* FROM ({ASKED}) a JOIN ({full_dedupe_sql(_ASKED_SIGNED)}) k USING ({ORDER})"
+KEPT_PRICED = f"""SELECT *, {d.export_toman()} AS pt, coalesce(seller_name_norm, 'UNKNOWN_SELLER') AS sn
+    FROM ({KEPT})"""
+
+
 def _single(t):
-    return single_stage.run(t("parts"), t("offers"), KEYS, as_of())
+    return single_stage.run(t("parts"), t("offers"), ORDER_KEYS, as_of())
 
 
 def _two(t):
     return two_stage.run(t("parts"), t("cards"), t("page_offers"), as_of())
 
 
-@query("q01_single_stage_offers_raw")
+@query("q01_single_stage_offers_raw", _RAW_V1.replace(PREPARED, KEPT))
 def _(t):
     return _single(t)["offers_raw"]
 
 
-@query("q01_single_stage_sellers_summary")
+@query("q01_single_stage_sellers_summary", sellers_sql(KEPT_PRICED, 3, False))
 def _(t):
     return _single(t)["sellers_summary"]
 
 
-@query("q01_single_stage_part_summary")
+@query("q01_single_stage_part_summary", parts_sql(KEPT_PRICED, 3, False, ORDER))
 def _(t):
     return _single(t)["part_summary"]
 
 
-@query("q01_single_stage_statistics")
+@query(
+    "q01_single_stage_statistics",
+    f"""SELECT (SELECT count(*) FROM {{parts}} WHERE part_id <> '0' AND part_name <> '' AND keywords <> '')
+          AS parts_processed, (SELECT count(*) FROM {{offers}}) AS total_offers_found,
+        count(*) AS offers_after_dedup, count(DISTINCT seller_name_norm) AS unique_sellers FROM ({KEPT})""",
+)
 def _(t):
     return _single(t)["statistics"]
 

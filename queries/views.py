@@ -108,7 +108,7 @@ VIEWS = {
         FROM {{part}}""",
     # single-stage offers: English titles, sellers by region, prices a few percent apart
     "offers": f"""
-        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
                CAST(l_partkey AS STRING) AS part_id, p_name AS part_name, p_brand AS part_code,
                lower(concat(p_type, ' ', p_name)) AS keywords,
                CASE WHEN l_quantity = 3 THEN '' ELSE concat(p_name, CASE l_linenumber
