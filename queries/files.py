@@ -155,7 +155,17 @@ def _(t):
     return pages.cards_from_markup(markup, BASE_URL).select(_CARDS)
 
 
-@query("s06_links_of_real_pages")
+_LINKS = f"""SELECT page_id, url, CAST(unnest(range(len(regexp_extract_all(html, '<a href="[^"]*">')))) AS INTEGER) AS card_ord,
+    replace(unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)), '&amp;', '&') AS href,
+    replace(unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)), '&amp;', '&') AS txt FROM {{pages}}"""
+
+
+@query(
+    "s06_links_of_given_pages",
+    f"""SELECT page_id, url, card_ord, {d.clean('txt')} AS title_raw, CAST(NULL AS BIGINT) AS price_raw,
+        '' AS price_text, 'unknown' AS currency_unit, '' AS seller_name, {d.absolute('href', BASE_URL)} AS product_url,
+        '' AS seller_url, '' AS availability FROM ({_LINKS}) WHERE length({d.strip('txt')}) > 5""",
+)
 def _(t):
     """The given pages hold no product links; any link stands in for one."""
     return pages.cards_from_markup(t("pages"), BASE_URL, "/").select("page_id", *_CARDS)
