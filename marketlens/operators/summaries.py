@@ -45,7 +45,8 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
     Selection by rank in two levels.  Values are counted per (group, value); a
     histogram over ``value >> 16`` tells which slot holds the middle ranks; only
-    that slot, of at most 65,536 distinct values, is ordered.
+    that slot, of at most 65,536 distinct values, is ordered.  The histogram of
+    a group has one entry per occupied slot, again 65,536 for values below 2^32.
     """
     counts = (
         df.where(F.col(value).isNotNull())
