@@ -27,6 +27,8 @@ BATCH_BYTES = 1 << 20  # pieces that go to the tokenizer at a time
 MEMO_PIECES = 500_000  # pieces remembered by a worker before it starts anew
 LONG_PIECE = 64  # longer pieces are not remembered
 TAIL = ".,;:!?"
+WORD_END = "</w>"  # how a vocabulary marks tokens that end a word
+WORDS_A_TEXT = 4096
 
 
 def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
@@ -51,6 +53,9 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.split = white_space_dropped
         self.memo: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocabulary.items() if w.endswith(WORD_END)]] = True
 
     def _encode(self, pieces: list[str]) -> Iterator[bytes]:
         """Batches of about equal bytes."""
@@ -63,21 +68,38 @@ class PieceEncoder:
                     yield np.array(e.ids, dtype="<u4").tobytes()
                 batch, size = [], 0
 
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Lower-case Latin words, many in one text: each ends at a token that ends a word."""
+        for at in range(0, len(words), WORDS_A_TEXT):
+            part = words[at : at + WORDS_A_TEXT]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part) or (len(ids) and ends[-1] != len(ids)):
+                yield from self._encode(part)
+                continue
+            whole, last = ids.tobytes(), 0
+            for end in (4 * ends).tolist():
+                yield whole[last:end]
+                last = end
+
     def _learn(self, pieces: set[str]) -> None:
         """A Latin word with punctuation behind it is the word and the punctuation."""
-        memo, parts, wanted = self.memo, {}, set()
+        memo, parts, words, others = self.memo, {}, set(), set()
         for piece in pieces:
             word = piece.rstrip(TAIL)
             if word.isalpha() and (word.isascii() or max(word) < "Ā"):
                 tail, word = piece[len(word) :], word.lower()
                 parts[piece] = (word, tail)
-                wanted.update((word, tail))
+                words.add(word)
+                others.add(tail)
             else:
-                wanted.add(piece)
-        wanted = [w for w in wanted if w not in memo]
-        memo.update(zip(wanted, self._encode(wanted)))
+                others.add(piece)
+        words = [w for w in words if w not in memo]
+        others = [w for w in others if w not in memo]
+        memo.update(zip(words, self._encode_words(words)))
+        memo.update(zip(others, self._encode(others)))
         for piece, (word, tail) in parts.items():
-            memo[piece] = memo[word] + memo[tail]
+            memo[piece] = memo[word] + memo[tail] if tail else memo[word]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         if not self.split:
@@ -87,15 +109,16 @@ class PieceEncoder:
             out = []
             for part in slices(text):
                 pieces = part.replace("\n", " ").split(" ")
-                try:
-                    out.append(b"".join(map(self.memo.__getitem__, pieces)))
-                except KeyError:
+                unknown = set(pieces).difference(self.memo)
+                if unknown:
                     if len(self.memo) > MEMO_PIECES:
                         self.memo.clear()
-                    self._learn({p for p in pieces if p not in self.memo})
-                    out.append(b"".join(map(self.memo.__getitem__, pieces)))
-                    for p in {p for p in pieces if len(p) > LONG_PIECE}:
-                        self.memo.pop(p, None)
+                        unknown = set(pieces)
+                    self._learn(unknown)
+                out.append(b"".join(map(self.memo.__getitem__, pieces)))
+                for p in unknown:
+                    if len(p) > LONG_PIECE:
+                        del self.memo[p]
             yield b"".join(out)
 
 
