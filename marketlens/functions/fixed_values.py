@@ -132,8 +132,9 @@ TECH_PATTERNS = {
 RELEVANCE_WEIGHTS = {"part_type": 0.3, "car_model": 0.2, "side": 0.1, "trim": 0.1, "tech": 0.1}
 WORD_OVERLAP_WEIGHT = 0.2
 MIN_RELEVANCE = 0.3
-MAX_CARDS_PER_SEARCH = 200
+MAX_CARDS_PER_SEARCH = 200  # limits of a run that fetches; jobs over archives take all
 MAX_DRILL_DOWNS = 20
+SAMPLE_URLS = {False: 3, True: 5}  # of a report row: single stage, two stage
 MIN_LENGTH_RATIO = 0.7
 MIN_WORD_OVERLAP = 0.6
 MAX_PRICE_GAP = 0.05
@@ -152,6 +153,7 @@ NO_URLS_TEXT = "No URLs available"
 KEYWORD_SUFFIX = " automotive part"
 
 # --- fixed values: page layout -----------------------------------------------
+EMBEDDED_MARKER = "__NEXT_DATA__"
 EMBEDDED_JSON = r"(?s)<script[^>]*>.*?__NEXT_DATA__.*?(\{.*?\})</script>"
 EMBEDDED_PRODUCTS_PATH = "$.props.pageProps.products"
 SELLER_IN_SHOP_TEXT = r"در\s+([^،]+)"

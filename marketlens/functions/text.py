@@ -70,7 +70,7 @@ def words(c: Column) -> Column:
 def extract_price(c: Column) -> Column:
     """Largest positive integer in the text, 0 when there is none.
 
-    A digit run too long for 64 bits is skipped.
+    NULL if it does not fit 64 bits: never a piece of a longer number.
     """
     text = F.regexp_replace(normalize_digits(c), "|".join(fv.CURRENCY_WORDS), "")
     found = F.concat(
@@ -79,9 +79,10 @@ def extract_price(c: Column) -> Column:
     )
     numbers = F.transform(
         found,
-        lambda m: F.translate(m, "".join(fv.PRICE_SEPARATORS), "").try_cast("bigint"),
+        lambda m: F.translate(m, "".join(fv.PRICE_SEPARATORS), "").try_cast("decimal(38,0)"),
     )
-    return F.coalesce(F.array_max(F.filter(numbers, lambda n: n > 0)), F.lit(0).cast("bigint"))
+    largest = F.coalesce(F.array_max(F.filter(numbers, lambda n: n > 0)), F.lit(0).cast("decimal(38,0)"))
+    return F.when(~F.exists(numbers, lambda n: n.isNull()) | numbers.isNull(), largest.try_cast("bigint"))
 
 
 def normalize_seller_name(c: Column) -> Column:
@@ -130,7 +131,8 @@ def rial_to_toman(c: Column) -> Column:
 
 
 def toman_to_rial(c: Column) -> Column:
-    return c * F.lit(10).cast("bigint")
+    """NULL where the product does not fit 64 bits."""
+    return F.try_multiply(c, F.lit(10).cast("bigint"))
 
 
 def format_price(c: Column, currency: str = "toman") -> Column:

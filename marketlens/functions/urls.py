@@ -38,8 +38,9 @@ def card_title(name1: Column, name2: Column) -> Column:
 
 
 def card_price(c: Column) -> Column:
+    """Whole price, 0 for none; NULL if it does not fit 64 bits."""
     zero = F.lit(0).cast("bigint")
-    return F.when(c > 0, c.cast("bigint")).otherwise(zero)
+    return F.when(c > 0, c.try_cast("bigint")).otherwise(zero)
 
 
 def seller_from_shop_text(c: Column) -> Column:

@@ -20,17 +20,27 @@ def attach_part_metadata(offers: DataFrame, parts: DataFrame) -> DataFrame:
     """Single stage: the requested part's own classification on each offer.
 
     No broadcast hint: the request list may be of any size, so the planner
-    decides on its measured size and splits skewed parts at run time.
+    decides on its measured size and splits skewed parts at run time.  A repeated
+    part_id counts once.
     """
-    return offers.join(parts.select("part_id", *PART_METADATA), "part_id")
+    known = skew.first_row(parts.select("part_id", *PART_METADATA), "part_id", PART_METADATA)
+    return offers.join(known, "part_id")
+
+
+def sent_requests(parts: DataFrame) -> DataFrame:
+    """Requests that are searched for: blank keywords find nothing."""
+    return parts.where(text.strip(text.or_empty(F.col("keywords"))) != "")
 
 
 def attach_request(cards: DataFrame, parts: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Two stage: id, name, code and query of the request on each card."""
+    """Two stage: id, name, code and query of the request on each card.
+
+    Of requests that repeat an id the first counts, so that no card is multiplied.
+    """
     request = parts.select(
         "part_id", "part_ord", "part_name", "part_code", F.col("keywords").alias("query")
     )
-    joined = cards.join(request, "part_id")
+    joined = cards.join(skew.first_row(request, "part_id", ["part_ord", "query"]), "part_id")
     return joined if as_of is None else joined.withColumn("snapshot_ts", as_of)
 
 
@@ -86,18 +96,17 @@ def score_rows(cards: DataFrame, min_relevance: float = fv.MIN_RELEVANCE) -> Dat
     ).drop("_form", "_accepted")
 
 
-def first_cards(cards: DataFrame, limit: int = fv.MAX_CARDS_PER_SEARCH) -> DataFrame:
+def first_cards(cards: DataFrame, limit: int) -> DataFrame:
     """First cards of each search, in page order."""
     w = Window.partitionBy("part_id").orderBy("card_ord")
     return cards.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit).drop("_rank")
 
 
-def most_relevant(cards: DataFrame, limit: int = fv.MAX_DRILL_DOWNS) -> DataFrame:
-    """Best cards of each part; `relevance_rank` keeps their order."""
+def most_relevant(cards: DataFrame, limit: int | None = None) -> DataFrame:
+    """Cards in order of relevance (`relevance_rank`), the best `limit` of a part if given."""
     w = Window.partitionBy("part_id").orderBy(F.desc("relevance"), "card_ord")
-    return cards.withColumn("relevance_rank", F.row_number().over(w)).where(
-        F.col("relevance_rank") <= limit
-    )
+    ranked = cards.withColumn("relevance_rank", F.row_number().over(w))
+    return ranked if limit is None else ranked.where(F.col("relevance_rank") <= limit)
 
 
 # --- product-page offers -----------------------------------------------------

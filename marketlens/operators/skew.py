@@ -71,3 +71,12 @@ def salted_left_join(
         .where(F.col("_hot").isNull() | F.col("_matched").isNotNull())
         .drop("_hot", "_salt")
     )
+
+
+def first_row(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """One row of each key, the first by `order`; combined before the shuffle."""
+    rest = [c for c in df.columns if c != key]
+    first = F.min_by(F.struct(*rest), F.struct(*order))
+    return df.groupBy(key).agg(first.alias("_first")).select(
+        *[F.col(f"_first.{c}").alias(c) if c != key else F.col(key) for c in df.columns]
+    )

@@ -32,7 +32,12 @@ def is_fresh(cached_at: Column, as_of: Column, ttl_hours: int = TTL_HOURS) -> Co
 
 
 def fresh(snapshots: DataFrame, as_of: Column, ttl_hours: int = TTL_HOURS) -> DataFrame:
-    return latest(snapshots).where(is_fresh(F.col("cached_at"), as_of, ttl_hours))
+    """Latest snapshot of each key that has not expired.
+
+    The younger, the fresher: the test may go first, where the scan can use it, and
+    only the fresh part of the history is aggregated.
+    """
+    return latest(snapshots.where(is_fresh(F.col("cached_at"), as_of, ttl_hours)))
 
 
 def reusable(requests: DataFrame, snapshots: DataFrame, as_of: Column, ttl_hours: int = TTL_HOURS) -> DataFrame:

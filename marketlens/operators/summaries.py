@@ -75,7 +75,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         .where((F.col("_upto") >= F.col("_lo")) & (F.col("_upto") - F.col("_n") < F.col("_hi")))
     )
     return middle.groupBy(*keys).agg(
-        F.expr("(min(_v) + max(_v)) div 2").alias("median")
+        F.expr("min(_v) + (max(_v) - min(_v)) div 2").alias("median")
     )
 
 
@@ -88,24 +88,38 @@ def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
 
 
 def _price_buffers(price: str) -> list[Column]:
-    """Mergeable price aggregates; exact decimals, NULL on overflow of the squares."""
-    p = F.col(price).cast("decimal(20,0)")
+    """Mergeable price aggregates; exact decimals, NULL on overflow of the squares.
+
+    For that case there are the mean and the sum of squares around it in doubles.
+    """
+    p, d = F.col(price).cast("decimal(20,0)"), F.col(price).cast("double")
     return [
         F.count(F.lit(1)).alias("_rows"),
         F.count(price).alias("_n"),
         F.sum(p).alias("_sum"),
         F.try_sum(F.try_multiply(p, p)).alias("_squares"),
+        F.avg(d).alias("_mean"),
+        (F.var_pop(d) * F.count(price)).alias("_around"),
         F.min(price).alias("_min"),
         F.max(price).alias("_max"),
     ]
 
 
+def _between() -> Column:
+    """Squares of the pieces' means around the mean of all, weighted."""
+    n, mean = F.col("_n").cast("double"), F.col("_mean")
+    return F.sum(n * mean * mean) - F.try_divide(F.sum(n * mean) * F.sum(n * mean), F.sum(n))
+
+
 def _merged_buffers() -> list[Column]:
     return [
         F.sum("_rows").alias("_rows"),
         F.sum("_n").alias("_n"),
         F.sum("_sum").alias("_sum"),
-        F.try_sum("_squares").alias("_squares"),
+        # NULL in any piece makes the whole NULL
+        F.when(F.count_if(F.col("_squares").isNull() & (F.col("_n") > 0)) == 0, F.try_sum("_squares")).alias("_squares"),
+        F.try_divide(F.sum(F.col("_n") * F.col("_mean")), F.sum("_n").cast("double")).alias("_mean"),
+        (F.sum("_around") + _between()).alias("_around"),
         F.min("_min").alias("_min"),
         F.max("_max").alias("_max"),
     ]
@@ -120,13 +134,17 @@ def _mean() -> Column:
 
 
 def _sample_std() -> Column:
-    """Truncated sample deviation from exact sums, 0 for fewer than three prices."""
+    """Truncated sample deviation, 0 for fewer than three prices.
+
+    From exact sums; from doubles where squares pass 38 digits.
+    """
     n = F.col("_n").cast("decimal(20,0)")
     spread = F.try_subtract(
         F.try_multiply(n, F.col("_squares")), F.try_multiply(F.col("_sum"), F.col("_sum"))
     ).cast("double")
-    std = F.sqrt(F.try_divide(spread, (n * (n - 1)).cast("double")))
-    return F.when(F.col("_n") > 2, F.floor(std)).otherwise(_zero())
+    exact = F.sqrt(F.try_divide(spread, (n * (n - 1)).cast("double")))
+    near = F.sqrt(F.try_divide(F.col("_around"), (F.col("_n") - 1).cast("double")))
+    return F.when(F.col("_n") > 2, F.floor(F.coalesce(exact, near)).try_cast("bigint")).otherwise(_zero())
 
 
 def _or_zero(name: str) -> Column:
@@ -171,8 +189,8 @@ def priced_counts(offers: DataFrame, key: str, two_stage: bool = True) -> DataFr
 
 # --- sellers -----------------------------------------------------------------
 
-def seller_statistics(offers: DataFrame) -> DataFrame:
-    """Counts, floor mean, extremes, three urls and distinct parts per seller."""
+def seller_statistics(offers: DataFrame, n_urls: int = 3) -> DataFrame:
+    """Counts, floor mean, extremes, `n_urls` urls and distinct parts per seller."""
     rows = offers.select(
         _seller(offers).alias("seller_name_norm"),
         non_empty(F.col("part_id").cast("string")).alias("part_id"),
@@ -186,7 +204,7 @@ def seller_statistics(offers: DataFrame) -> DataFrame:
     )
     n = F.col("_n").cast("decimal(20,0)")
     floor_mean = F.call_function("div", F.col("_sum") - F.pmod(F.col("_sum"), n), n)
-    urls3 = first_urls(rows, ["seller_name_norm"], F.col("product_url"), 3)
+    urls3 = first_urls(rows, ["seller_name_norm"], F.col("product_url"), n_urls)
     return stats.join(urls3, "seller_name_norm", "left").select(
         "seller_name_norm",
         F.col("_rows").alias("offers_count"),
@@ -198,14 +216,15 @@ def seller_statistics(offers: DataFrame) -> DataFrame:
     )
 
 
-def sellers_summary(offers: DataFrame, two_stage: bool = True) -> DataFrame:
+def sellers_summary(offers: DataFrame, two_stage: bool = True, n_urls: int | None = None) -> DataFrame:
+    """`n_urls`: sample urls of a seller, by default as many as the report of its job has."""
     rows = offers.select(
         _seller(offers).alias("seller_name_norm"),
         _priced(offers, two_stage).alias("_price"),
         "product_url",
     )
     stats = rows.groupBy("seller_name_norm").agg(*_price_buffers("_price"))
-    found = first_urls(rows, ["seller_name_norm"], F.col("product_url"), 5 if two_stage else 3)
+    found = first_urls(rows, ["seller_name_norm"], F.col("product_url"), n_urls or fv.SAMPLE_URLS[two_stage])
     out = stats.join(found, "seller_name_norm", "left").select(
         "seller_name_norm",
         F.col("_rows").alias("offers_count"),
@@ -225,7 +244,8 @@ def _urls() -> Column:
 # --- parts -------------------------------------------------------------------
 
 def part_summary(
-    offers: DataFrame, order: Sequence[str], two_stage: bool = True, keep_part_id: bool = True
+    offers: DataFrame, order: Sequence[str], two_stage: bool = True, keep_part_id: bool = True,
+    n_urls: int | None = None,
 ) -> DataFrame:
     """Offers, sellers, average market price, median, extremes, deviation, urls.
 
@@ -250,7 +270,7 @@ def part_summary(
         ),
         ["part_id"], order, ["part_key", "part_name_norm"],
     )
-    found = first_urls(rows, ["part_id"], F.col("product_url"), 5 if two_stage else 3)
+    found = first_urls(rows, ["part_id"], F.col("product_url"), n_urls or fv.SAMPLE_URLS[two_stage])
     median = exact_median(rows.select("part_id", "_price"), ["part_id"], "_price")
     out = (
         stats.join(named, "part_id")
@@ -284,7 +304,8 @@ def outlier_bounds(parts: DataFrame) -> DataFrame:
     p = F.when(F.col("AMP_toman") > 0, F.col("AMP_toman"))
     d = p.cast("decimal(20,0)")
     sums = parts.agg(
-        F.count(p).alias("priced_parts"), F.sum(d).alias("_sum"), F.try_sum(F.try_multiply(d, d)).alias("_squares")
+        F.count(p).alias("priced_parts"), F.sum(d).alias("_sum"), F.try_sum(F.try_multiply(d, d)).alias("_squares"),
+        F.stddev_pop(p.cast("double")).alias("_near"),
     )
     n = F.col("priced_parts").cast("decimal(20,0)")
     spread = F.try_subtract(F.try_multiply(n, F.col("_squares")), F.try_multiply(F.col("_sum"), F.col("_sum")))
@@ -293,7 +314,8 @@ def outlier_bounds(parts: DataFrame) -> DataFrame:
         "priced_parts",
         F.when(enough, F.try_divide(F.col("_sum").cast("double"), F.col("priced_parts").cast("double"))).alias("mean_amp"),
         F.when(
-            enough, F.sqrt(F.try_divide(spread.cast("double"), (n * n).cast("double")))
+            enough,
+            F.coalesce(F.sqrt(F.try_divide(spread.cast("double"), (n * n).cast("double"))), F.col("_near")),
         ).alias("std_amp"),
     )
 
@@ -333,15 +355,16 @@ def two_stage_statistics(offers: DataFrame) -> DataFrame:
 
 
 def single_stage_statistics(parts: DataFrame, found: DataFrame, kept: DataFrame) -> DataFrame:
-    """Parts asked for, offers found, offers after deduplication, sellers."""
+    """Parts asked for, offers found for them, offers after deduplication, sellers."""
     counted = kept.agg(
         F.count(F.lit(1)).alias("offers_after_dedup"),
         F.count_distinct(or_empty(F.col("seller_name_norm"))).alias("unique_sellers"),
     )
     n = lambda df: df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    searched = found.join(parts.select("part_id").distinct(), "part_id", "left_semi")
     return counted.select(
         n(parts).alias("parts_processed"),
-        n(found).alias("total_offers_found"),
+        n(searched).alias("total_offers_found"),
         "offers_after_dedup",
         "unique_sellers",
     )

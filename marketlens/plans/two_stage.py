@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions import fixed_values as fv
 from marketlens.operators import offers, summaries
 from marketlens.session import materialize
 
@@ -17,17 +16,19 @@ def relevant_cards(
     parts: DataFrame,
     cards: DataFrame,
     as_of: Column,
-    max_cards: int = fv.MAX_CARDS_PER_SEARCH,
-    max_drill_downs: int = fv.MAX_DRILL_DOWNS,
+    max_cards: int | None = None,
+    max_drill_downs: int | None = None,
 ) -> DataFrame:
-    """Stage A: the most relevant of the first cards of each search.
+    """Stage A: the relevant cards of each search, ranked; all of them by default.
 
-    Both limits are rank filters on the same partitioning: the cards are
-    shuffled once, after a first cut inside each task.
+    `max_cards` takes the first cards of a search only, `max_drill_downs` the most
+    relevant of a part only.  Both limits are rank filters on the same partitioning:
+    the cards are shuffled once, after a first cut inside each task.
     """
-    first = offers.first_cards(cards, max_cards)
+    first = cards if max_cards is None else offers.first_cards(cards, max_cards)
+    asked = offers.sent_requests(parts)
     return offers.most_relevant(
-        offers.keep_relevant(offers.attach_request(first, parts, as_of)), max_drill_downs
+        offers.keep_relevant(offers.attach_request(first, asked, as_of)), max_drill_downs
     )
 
 
@@ -40,7 +41,8 @@ def processed_offers(
 
 
 def reports(processed: DataFrame, as_of: Column) -> dict[str, DataFrame]:
-    summary = summaries.part_summary(processed, OFFER_ORDER, two_stage=True)
+    # written once: the flags read it again for their bounds, and the sort to sample it
+    summary = materialize(summaries.part_summary(processed, OFFER_ORDER, two_stage=True), "parts")
     return {
         "offers_raw": summaries.sort_offers_two_stage(
             offers.offers_raw_two_stage(processed, as_of)
@@ -51,13 +53,13 @@ def reports(processed: DataFrame, as_of: Column) -> dict[str, DataFrame]:
 
 
 def statistics(
-    cards: DataFrame, processed: DataFrame, max_cards: int = fv.MAX_CARDS_PER_SEARCH
+    parts: DataFrame, cards: DataFrame, processed: DataFrame, max_cards: int | None = None
 ) -> DataFrame:
-    """Run counters; `search_results` counts cards after the cap."""
-    per_search = cards.groupBy("part_id").agg(F.count(F.lit(1)).alias("n"))
-    results = per_search.agg(
-        F.coalesce(F.sum(F.least(F.col("n"), F.lit(max_cards))), F.lit(0)).alias("n")
-    ).scalar()
+    """Run counters; `search_results` counts the cards of requested parts, up to the limit."""
+    asked = offers.sent_requests(parts).select("part_id").distinct()
+    per_search = cards.groupBy("part_id").agg(F.count(F.lit(1)).alias("n")).join(asked, "part_id")
+    taken = F.col("n") if max_cards is None else F.least(F.col("n"), F.lit(max_cards))
+    results = per_search.agg(F.coalesce(F.sum(taken), F.lit(0)).alias("n")).scalar()
     done = processed.agg(F.count_distinct("part_id").alias("n")).scalar()
     return summaries.two_stage_statistics(processed).select(
         done.alias("parts_processed"), results.alias("search_results"), "*"
@@ -66,10 +68,18 @@ def statistics(
 
 def run(
     parts: DataFrame, cards: DataFrame, page_offers: DataFrame, as_of: Column,
-    max_cards: int = fv.MAX_CARDS_PER_SEARCH,
+    max_cards: int | None = None, max_drill_downs: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Reports and statistics; processed offers are written once for all of them."""
+    """Reports and statistics; processed offers are written once for all of them.
+
+    Every card and every relevant card's page is taken unless a limit is given.
+    """
     processed = materialize(
-        processed_offers(parts, cards, page_offers, as_of, max_cards=max_cards), "offers"
+        processed_offers(
+            parts, cards, page_offers, as_of, max_cards=max_cards, max_drill_downs=max_drill_downs
+        ),
+        "offers",
     )
-    return reports(processed, as_of) | {"statistics": statistics(cards, processed, max_cards)}
+    return reports(processed, as_of) | {
+        "statistics": statistics(parts, cards, processed, max_cards)
+    }

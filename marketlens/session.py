@@ -10,23 +10,51 @@ from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_marked: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and set.
+    Where the session names none, a temporary folder is made and set if driver and
+    executors are one process on one machine; any other master is refused.
     """
     path = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{_CHECKPOINT_KEY} must name a folder that all executors share (master {master})")
         path = tempfile.mkdtemp(prefix="marketlens-")
         spark.conf.set(_CHECKPOINT_KEY, path)
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder; it goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/marketlens-{spark.sparkContext.applicationId}"
+    if path not in _marked:
+        system, where = _hadoop(spark, path)
+        system.mkdirs(where)
+        system.deleteOnExit(where)
+        _marked.add(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what was written so far; results that were not read yet are lost."""
+    path = run_dir(spark)
+    system, where = _hadoop(spark, path)
+    system.delete(where, True)
+    _marked.discard(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, name: str):
@@ -41,16 +69,6 @@ def materialize(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df):
-    """Deals a small input out over all cores.
-
-    A table that comes in fewer splits than there are cores would keep the rest
-    idle.  A large table has many splits and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def ship_package() -> None:
     """Sends this package's functions to Python workers with the tasks.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -15,6 +16,12 @@ SELF_CLOSING = frozenset("p li option dt dd tr td th".split())
 SELECTOR = re.compile(r"^([a-z0-9]*)(?:\.([\w-]+)|\[(\w+)\*=([^\]]+)\])?$", re.IGNORECASE)
 
 
+@lru_cache(maxsize=None)
+def parsed(selector: str) -> tuple[str, str | None, str | None, str | None]:
+    """Tag, class, attribute and part of its value; selectors are a fixed few."""
+    return SELECTOR.match(selector).groups()
+
+
 class Node:
     __slots__ = ("tag", "attrs", "parent", "items")
 
@@ -41,7 +48,7 @@ class Node:
         return "".join(out)
 
     def matches(self, selector: str) -> bool:
-        tag, cls, attr, part = SELECTOR.match(selector).groups()
+        tag, cls, attr, part = parsed(selector)
         if tag and self.tag != tag:
             return False
         if cls:

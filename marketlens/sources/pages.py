@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType
 
 from marketlens import schemas
 from marketlens.functions import fixed_values as fv, text, urls
-from marketlens.session import ship_package
+from marketlens.session import materialize, ship_package
 from marketlens.sources import html
 
 CARD_FIELDS = [
@@ -25,7 +25,8 @@ CARD_FIELDS = [
 
 def with_products(pages: DataFrame) -> DataFrame:
     """Adds `products`, the embedded product list, NULL or empty if there is none."""
-    document = F.regexp_extract("html", fv.EMBEDDED_JSON, 1)
+    marked = F.when(F.col("html").contains(fv.EMBEDDED_MARKER), F.col("html"))
+    document = F.regexp_extract(marked, fv.EMBEDDED_JSON, 1)
     return pages.withColumn(
         "products",
         F.from_json(
@@ -41,7 +42,12 @@ def _has_products() -> Column:
 
 def cards_from_json(pages: DataFrame, base_url: str) -> DataFrame:
     """One card per embedded product that has a title or a price."""
-    rows = with_products(pages).select("page_id", "url", F.posexplode("products").alias("card_ord", "p"))
+    return _product_cards(with_products(pages), base_url)
+
+
+def _product_cards(found: DataFrame, base_url: str) -> DataFrame:
+    """A product whose price no 64 bits hold is left out, not its page."""
+    rows = found.select("page_id", "url", F.posexplode("products").alias("card_ord", "p"))
     price = F.col("p.price").try_cast("decimal(30,6)")
     price_text = text.or_empty(F.col("p.price_text"))
     return rows.select(
@@ -54,7 +60,7 @@ def cards_from_json(pages: DataFrame, base_url: str) -> DataFrame:
         urls.absolute_url(F.col("p.web_client_absolute_url"), base_url).alias("product_url"),
         F.lit("").alias("seller_url"),
         text.or_empty(F.col("p.stock_status")).alias("availability"),
-    ).where((F.col("title_raw") != "") | (F.col("price_raw") > 0))
+    ).where(F.col("price_raw").isNotNull() & ((F.col("title_raw") != "") | (F.col("price_raw") > 0)))
 
 
 # --- markup ------------------------------------------------------------------
@@ -76,9 +82,8 @@ def _always(_: str) -> bool:
     return True
 
 
-def _card(link: html.Node) -> tuple:
-    title = link.text()
-    around = link.parent or link
+def _surroundings(around: html.Node) -> tuple:
+    """Price, seller and stock near a link: the same for all links of one parent."""
     price, _, price_ok = html.first_text(around, fv.CARD_PRICE_SELECTORS, _looks_like_price)
     seller, node, seller_ok = html.first_text(
         around, fv.CARD_SELLER_SELECTORS, lambda t: not _looks_like_price(t)
@@ -86,26 +91,33 @@ def _card(link: html.Node) -> tuple:
     seller_link = node.first("a") if seller_ok else None
     stock = around.first(*fv.AVAILABILITY_SELECTORS)
     return (
-        title if len(title.strip()) > fv.MIN_CARD_TITLE else "",
         price,
         price_ok,
         seller if seller_ok else "",
         (seller_link.attrs.get("href") or "") if seller_link is not None else "",
         stock.text() if stock is not None else "",
-        link.attrs.get("href") or "",
     )
 
 
+def _card(link: html.Node, seen: dict[int, tuple]) -> tuple:
+    """`seen`: surroundings of the page's parents so far."""
+    title, around = link.text(), link.parent or link
+    if id(around) not in seen:
+        seen[id(around)] = _surroundings(around)
+    shown = title if len(title.strip()) > fv.MIN_CARD_TITLE else ""
+    return (shown, *seen[id(around)], link.attrs.get("href") or "")
+
+
 def _find_cards(link_part: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in _RAW_CARD.split(", ")]
         for pdf in batches:
             out = []
             for page_id, url, source in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                root = html.parse(source or "")
+                root, seen = html.parse(source or ""), {}
                 if root.first(*fv.NO_RESULTS_SELECTORS) is None:
                     for i, link in enumerate(root.all(f"a[href*={link_part}]")):
-                        out.append((page_id, url, i, *_card(link)))
+                        out.append((page_id, url, i, *_card(link, seen)))
             yield pd.DataFrame(out, columns=columns)
 
     return run
@@ -166,9 +178,18 @@ def cards_from_markup(pages: DataFrame, base_url: str, link_part: str = fv.CARD_
 
 
 def search_cards(pages: DataFrame, base_url: str) -> DataFrame:
-    """Cards of search pages: embedded JSON, markup where there is none."""
-    without = with_products(pages).where(~_has_products()).drop("products")
-    return cards_from_json(pages, base_url).unionByName(cards_from_markup(without, base_url))
+    """Cards of search pages: embedded JSON, markup where there is none.
+
+    Products are found once; both branches read them from the shared folder.
+    """
+    found = with_products(pages.select("page_id", "url", "html"))
+    split = materialize(
+        found.select("page_id", "url", "products", F.when(~_has_products(), F.col("html")).alias("html")),
+        "search-pages",
+    )
+    without = split.where(~_has_products()).drop("products")
+    embedded = split.where(_has_products()).drop("html")
+    return _product_cards(embedded, base_url).unionByName(cards_from_markup(without, base_url))
 
 
 def page_offers(pages: DataFrame, base_url: str) -> DataFrame:
@@ -195,7 +216,8 @@ def offers_for_parts(parts: DataFrame, pages: DataFrame, base_url: str, as_of: C
         "part_id", "part_ord", "part_name", "part_code", "keywords",
         urls.search_url(F.col("keywords"), base_url).alias("url"),
     )
-    cards = search_cards(pages, base_url).drop("page_id")
+    asked = pages.join(wanted.select("url").where("url IS NOT NULL").distinct(), "url", "left_semi")
+    cards = search_cards(asked, base_url).drop("page_id")
     return (
         cards.join(wanted, "url")
         .withColumns({"seller_url": F.lit(""), "snapshot_ts": as_of})

@@ -70,7 +70,7 @@ def read_parts(
     An id that is no whole number rejects its row, not the file.
     """
     raw = with_row_number(scan_csv(spark, path, multi_line))
-    number = _trimmed(raw, "part_id").try_cast("bigint")
+    number = text.normalize_digits(_trimmed(raw, "part_id")).try_cast("bigint")
     rows = raw.select(
         number.cast("string").alias("part_id"),
         (F.col("row_number") - 1).alias("part_ord"),

@@ -4,23 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from marketlens import schemas
 from marketlens.functions.urls import snapshot_key
 
 
-def read_snapshots(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Snapshots kept as JSON documents; broken documents are left out."""
-    return (
-        spark.read.schema(schemas.SNAPSHOT)
-        .option("mode", "DROPMALFORMED")
-        .option("multiLine", multi_line)
-        .json(path)
-        .withColumn(
-            "cache_key",
-            F.coalesce("cache_key", snapshot_key(F.col("cache_type"), F.col("query"))),
-        )
-    )
+BROKEN = "_broken"
+
+
+def read_snapshots(
+    spark: SparkSession, path: str, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Snapshots kept as JSON documents, and the text of broken ones (`document`).
+
+    A document is a whole file, however it is laid out; with `multi_line` false it is a
+    line.
+    """
+    schema = StructType([*schemas.SNAPSHOT.fields, StructField(BROKEN, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+    rows = spark.read.text(path, wholetext=multi_line).where(F.trim("value") != "")
+    parsed = rows.select(F.from_json("value", schema, options).alias("_d"), F.col("value").alias("document"))
+    whole = parsed.where(F.col(f"_d.{BROKEN}").isNull()).select(*[f"_d.{c}" for c in schemas.SNAPSHOT.names])
+    key = F.coalesce("cache_key", snapshot_key(F.col("cache_type"), F.col("query")))
+    broken = parsed.where(F.col(f"_d.{BROKEN}").isNotNull()).select("document")
+    return whole.withColumn("cache_key", key), broken
 
 
 def write_snapshots(results: DataFrame, path: str, as_of: Column) -> None:

@@ -34,8 +34,9 @@ def price(x: str) -> str:
         f"list_concat(regexp_extract_all({text}, '([0-9]{{1,3}}(?:[,،][0-9]{{3}})*(?:\\.[0-9]{{2}})?)', 1), "
         f"regexp_extract_all({text}, '([0-9]+)', 1))"
     )
-    numbers = f"list_transform({found}, lambda m: try_cast(translate(m, ',،. ', '') AS BIGINT))"
-    return f"coalesce(list_max(list_filter({numbers}, lambda n: n > 0)), 0)::BIGINT"
+    numbers = f"list_transform({found}, lambda m: try_cast(translate(m, ',،. ', '') AS HUGEINT))"
+    largest = f"coalesce(list_max(list_filter({numbers}, lambda n: n > 0)), 0)"
+    return f"CASE WHEN {x} IS NULL OR len(list_filter({numbers}, lambda n: n IS NULL)) = 0 THEN try_cast({largest} AS BIGINT) END"
 
 
 def seller(x: str) -> str:

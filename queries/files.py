@@ -11,7 +11,9 @@ from marketlens.session import scratch_path
 from marketlens.sources import pages, parts as parts_source, reports, snapshots as snapshot_source
 from queries import duck as d
 from queries.registry import query
-from queries.relations import FRESH, KEYED, LATEST, REQUESTED, TWO_PARTS, _two, as_of, known_snapshots
+from queries.relations import (
+    _RAW_V2, FRESH, KEYED, LATEST, REQUESTED, TWO_PARTS, TWO_PRICED, _two, as_of, known_snapshots, sellers_sql,
+)
 from queries.views import AS_OF, BASE_URL
 
 c = F.col
@@ -58,6 +60,23 @@ def _(t):
     return parts_source.read_parts(t.spark, _write_parts(t))[1].select("part_id", "part_ord", "part_name")
 
 
+@query(
+    "s04_parts_in_memory",
+    """SELECT r.part_id, part_ord, r.part_name, p_name FROM (VALUES ('1', 0, 'bumper'), ('3', 1, 'hood'), ('77', 2, ''))
+       r(part_id, part_ord, part_name) JOIN {part} p ON r.part_id = CAST(p_partkey AS STRING)""",
+)
+def _(t):
+    """A few requests held in memory, joined to the given parts."""
+    rows = [
+        {"part_id": 1, "part_name": "bumper", "keywords": "front bumper"},
+        {"part_id": "3", "part_name": "hood", "part_code": "h"},
+        {"part_id": 77},
+    ]
+    asked = parts_source.parts_from_rows(t.spark, rows)
+    known = t("part").select(c("p_partkey").cast("string").alias("part_id"), "p_name")
+    return asked.join(known, "part_id").select("part_id", "part_ord", "part_name", "p_name")
+
+
 @query("s02_csv_contract", "SELECT 'keywords' AS missing, count(*) > 0 AS has_rows FROM {parts}")
 def _(t):
     """A file without its keywords column is reported as such."""
@@ -151,8 +170,8 @@ def _(t):
     f"SELECT * FROM ({_MARKUP_CARDS} WHERE l_linenumber = 7 AND web_client_absolute_url <> '') WHERE {_KEEP}",
 )
 def _(t):
-    markup = _search_pages(t).where("l_linenumber >= 6")
-    return pages.cards_from_markup(markup, BASE_URL).select(_CARDS)
+    """All pages: those with embedded records have no links in their markup."""
+    return pages.cards_from_markup(_search_pages(t), BASE_URL).select(_CARDS)
 
 
 _LINKS = f"""SELECT page_id, url, CAST(unnest(range(len(regexp_extract_all(html, '<a href="[^"]*">')))) AS INTEGER) AS card_ord,
@@ -229,8 +248,9 @@ def _(t):
     f"""SELECT part_id, part_name, part_code, p.keywords, title_raw, price_raw, price_text, currency_unit,
         seller_name, product_url, '' AS seller_url, availability, TIMESTAMP '{AS_OF}' AS snapshot_ts
         FROM (SELECT part_id, part_name, part_code, keywords || ' ' || part_id AS keywords FROM {{parts}}) p
-        JOIN ({_JSON_CARDS.replace(ROW_URL, "CAST(l_partkey AS STRING)")}) q ON q.url = p.part_id
-        WHERE {_KEEP}""",
+        JOIN ({_JSON_CARDS.replace(ROW_URL, "CAST(l_partkey AS STRING)")} UNION ALL
+          {_MARKUP_CARDS.replace(ROW_URL, "CAST(l_partkey AS STRING)")}
+          WHERE l_linenumber = 7 AND web_client_absolute_url <> '') q ON q.url = p.part_id WHERE {_KEEP}""",
 )
 def _(t):
     wanted = t("parts").withColumn("keywords", F.concat_ws(" ", "keywords", "part_id"))
@@ -238,7 +258,7 @@ def _(t):
         c("part_ord").alias("l_partkey"), urls.search_url(c("keywords"), BASE_URL).alias("address")
     )
     found = (
-        _search_pages(t).where("l_linenumber < 6").join(address, "l_partkey")
+        _search_pages(t).join(address, "l_partkey")
         .select("page_id", c("address").alias("url"), "html")
     )
     return pages.offers_for_parts(wanted, found, BASE_URL, as_of()).drop("card_ord", "part_ord")
@@ -266,7 +286,7 @@ def _documents(t):
     f"FROM ({KEYED}) WHERE CAST(floor(value) AS BIGINT) % 10 <> 3",
 )
 def _(t):
-    """Documents written as JSON, some cut short: those are left out."""
+    """Documents written as JSON, one a line, some cut short: those come out as broken."""
     path = scratch_path(t.spark, "snapshots-json")
     whole = F.to_json(
         F.struct("cached_at", "cache_type", "query", "data"),
@@ -276,7 +296,7 @@ def _(t):
     _documents(t).select(
         F.when(cut, F.left(whole, F.length(whole) - 7)).otherwise(whole).alias("value")
     ).write.text(path)
-    read = snapshot_source.read_snapshots(t.spark, path)
+    read, broken = snapshot_source.read_snapshots(t.spark, path, multi_line=False)
     return read.select(
         "cache_key", "query", "cached_at", F.element_at("data", 1)["price_raw"].alias("price")
     )
@@ -311,8 +331,22 @@ def _(t):
 # --- reports -----------------------------------------------------------------
 
 
+def _report(t):
+    path = reports.write_report(_two(t), scratch_path(t.spark, "report"))
+    return reports.read_report(t.spark, path)
+
+
 @query("k02_s09_report_tables", TWO_PARTS)
 def _(t):
-    path = reports.write_report(_two(t), scratch_path(t.spark, "report"))
     flags = [f"{p}_price_outlier" for p in ("median", "min", "max")]
-    return reports.read_report(t.spark, path)["part_summary"].drop(*flags)
+    return _report(t)["part_summary"].drop(*flags)
+
+
+@query("k02_s09_report_offers", _RAW_V2)
+def _(t):
+    return _report(t)["offers_raw"]
+
+
+@query("k02_s09_report_sellers", sellers_sql(TWO_PRICED, 5, True))
+def _(t):
+    return _report(t)["sellers_summary"]

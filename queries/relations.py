@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marketlens.functions import text
+from marketlens.functions import fixed_values as fv, text
 from marketlens.operators import (
     audit, dedupe, offers, parts, sellers, similarity, snapshots, summaries,
 )
@@ -40,7 +41,7 @@ PREPARED = f"""SELECT {ORDER}, o.part_id, o.part_name, o.part_code, m.part_key,
     {d.canonical('seller_name')} AS seller_name_norm, seller_name, product_url, seller_url, availability,
     snapshot_ts FROM {{offers}} o JOIN ({PART_META}) m ON o.part_id = m.part_id WHERE price_raw > 0"""
 TOP = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part_id
-    ORDER BY relevance DESC, card_ord) AS relevance_rank FROM ({RELEVANT})) WHERE relevance_rank <= 20"""
+    ORDER BY relevance DESC, card_ord) AS relevance_rank FROM ({RELEVANT}) WHERE trim(query) <> '')"""
 DRILLED = f"""SELECT t.part_id, t.card_ord, t.part_ord, t.part_name, t.part_code, t.query, t.relevance,
     t.relevance_rank, t.part_key, t.part_name_norm, t.title_raw, t.product_url, t.snapshot_ts, g.offer_pos,
     g.product_url IS NOT NULL AS drilled_down,
@@ -149,9 +150,9 @@ def _(t):
     f"SELECT part_id, card_ord, offer_pos, drilled_down, seller_name_norm, price_raw FROM ({DRILLED})",
 )
 def _(t):
-    """Same result with every repeated page treated as hot."""
+    """Same result with every page of a thousandth of all rows treated as hot."""
     top = two_stage.relevant_cards(t("parts"), t("cards"), as_of())
-    salted = offers.drill_down(top, t("page_offers"), as_of=as_of(), share=0.0, min_rows=1, salts=8)
+    salted = offers.drill_down(top, t("page_offers"), as_of=as_of(), share=1 / 1000, min_rows=1, salts=8)
     return salted.select(
         "part_id", "card_ord", "offer_pos", "drilled_down", "seller_name_norm", "price_raw"
     )
@@ -298,17 +299,18 @@ def _(t):
     return summaries.price_deviation(prepared(t), ["part_id"], two_stage=False)
 
 
-@query(
-    "a08_two_stage_statistics",
-    f"""SELECT (SELECT count(DISTINCT part_id) FROM ({TOP})) AS parts_processed,
-        (SELECT sum(least(n, 200)) FROM (SELECT count(*) AS n FROM {{cards}} GROUP BY part_id))::BIGINT AS search_results,
+TWO_STATISTICS = f"""SELECT (SELECT count(DISTINCT part_id) FROM ({TOP})) AS parts_processed,
+        (SELECT count(*) FROM {{cards}} WHERE part_id IN (SELECT part_id FROM {{parts}} WHERE trim(keywords) <> ''))
+          AS search_results,
         count(*) AS total_offers, count(DISTINCT coalesce(seller_name_norm, '')) AS unique_sellers,
         round(avg(relevance) FILTER (relevance <> 0), 6) AS avg_relevance,
         count(*) FILTER (relevance > 0) AS filtered_offers, count(*) FILTER (drilled_down) AS product_pages
-        FROM ({PROCESSED})""",
-)
+        FROM ({PROCESSED})"""
+
+
+@query("a08_two_stage_statistics", TWO_STATISTICS)
 def _(t):
-    stats = two_stage.statistics(t("cards"), processed(t))
+    stats = two_stage.statistics(t("parts"), t("cards"), processed(t))
     return stats.withColumn("avg_relevance", F.round("avg_relevance", 6))
 
 
@@ -320,8 +322,9 @@ EXACT = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part_id, se
     "a09_single_stage_statistics",
     f"""SELECT (SELECT count(*) FROM {{parts}} WHERE part_id <> '0' AND part_name <> '' AND keywords <> '')
           AS parts_processed,
-        (SELECT count(*) FROM {{offers}}) AS total_offers_found, count(*) AS offers_after_dedup,
-        count(DISTINCT seller_canonical) AS unique_sellers FROM ({EXACT})""",
+        (SELECT count(*) FROM {{offers}} WHERE part_id IN (SELECT part_id FROM {{parts}}
+          WHERE part_id <> '0' AND part_name <> '' AND keywords <> '')) AS total_offers_found,
+        count(*) AS offers_after_dedup, count(DISTINCT seller_canonical) AS unique_sellers FROM ({EXACT})""",
 )
 def _(t):
     """Counters with the exact form of deduplication, which SQL can state."""
@@ -458,12 +461,16 @@ def _(t):
 def _(t):
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey")
     rows = t("sources").select(F.col("s_name").alias("part_id"), *KEYS, order.alias("card_ord"))
-    return offers.first_cards(rows).drop("card_ord")
+    return offers.first_cards(rows, fv.MAX_CARDS_PER_SEARCH).drop("card_ord")
 
 
-@query("w05_most_relevant_cards", f"SELECT part_id, card_ord, relevance, relevance_rank FROM ({TOP})")
+@query(
+    "w05_most_relevant_cards",
+    f"""SELECT part_id, card_ord, relevance, relevance_rank FROM (SELECT *, row_number() OVER (PARTITION BY part_id
+        ORDER BY relevance DESC, card_ord) AS relevance_rank FROM ({RELEVANT})) WHERE relevance_rank <= 20""",
+)
 def _(t):
-    top = offers.most_relevant(scored_cards(t))
+    top = offers.most_relevant(scored_cards(t), fv.MAX_DRILL_DOWNS)
     return top.select("part_id", "card_ord", "relevance", c("relevance_rank").cast("bigint").alias("relevance_rank"))
 
 
@@ -481,11 +488,19 @@ def _(t):
 @query(
     "w07_first_urls",
     f"""SELECT seller_name, array_to_string({d.first_urls('product_url', 5)}, ' ') AS urls FROM {{offers}}
-        GROUP BY seller_name HAVING count(nullif(product_url, '')) > 0""",
+        GROUP BY seller_name""",
 )
 def _(t):
+    return _seller_urls(t).select("seller_name", F.array_join("urls", " ").alias("urls"))
+
+
+def _seller_urls(t):
+    """Every seller with its first urls, none included."""
     found = summaries.first_urls(t("offers"), ["seller_name"], c("product_url"), 5)
-    return found.select("seller_name", F.array_join("urls", " ").alias("urls"))
+    empty = F.array().cast("array<string>")
+    return t("offers").select("seller_name").distinct().join(found, "seller_name", "left").withColumn(
+        "urls", F.coalesce("urls", empty)
+    )
 
 
 _FLAGS = ", ".join(
@@ -503,14 +518,12 @@ def _(t):
 @query(
     "w09_numbered_offers",
     f"""SELECT seller_name, {d.numbered('u', 'Offer')} AS validation_urls FROM (
-        SELECT seller_name, {d.first_urls('product_url', 5)} AS u FROM {{offers}} GROUP BY seller_name)
-        WHERE len(u) > 0""",
+        SELECT seller_name, {d.first_urls('product_url', 5)} AS u FROM {{offers}} GROUP BY seller_name)""",
 )
 def _(t):
     from marketlens.functions.urls import numbered_urls
 
-    found = summaries.first_urls(t("offers"), ["seller_name"], c("product_url"), 5)
-    return found.select("seller_name", numbered_urls(c("urls"), "Offer").alias("validation_urls"))
+    return _seller_urls(t).select("seller_name", numbered_urls(c("urls"), "Offer").alias("validation_urls"))
 
 
 @query(
@@ -536,6 +549,41 @@ _RAW_V1 = f"""SELECT part_id, part_name, part_code, part_key, part_name_norm, {d
     seller_url, {d.clean('availability')} AS availability, snapshot_ts FROM ({PREPARED})"""
 
 
+def placed(df):
+    """Adds `position`, counted through the sorted rows as they come out."""
+    kept = materialize(df.withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", 33)
+    before = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", (F.sum("_n").over(Window.orderBy("_part")) - c("_n")).alias("_before")
+    )
+    return (
+        kept.withColumn("_part", part)
+        .join(before, "_part")
+        .withColumn("position", c("_before") + c("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+        .drop("_part", "_before", "_at")
+    )
+
+
+@query(
+    "o01_positions_of_offers_single_stage",
+    f"SELECT row_number() OVER (ORDER BY part_id, price_toman) AS position, part_id, price_toman FROM ({_RAW_V1})",
+)
+def _(t):
+    """Rows that tie in the sort columns of the report are alike here."""
+    df = summaries.sort_offers_single(offers.offers_raw_single(prepared(t), as_of()))
+    return placed(df).select("position", "part_id", "price_toman")
+
+
+@query(
+    "o02_positions_of_offers_two_stage",
+    f"""SELECT row_number() OVER (ORDER BY relevance DESC, price_toman, part_id) AS position, relevance, price_toman,
+        part_id FROM ({_RAW_V2})""",
+)
+def _(t):
+    df = summaries.sort_offers_two_stage(offers.offers_raw_two_stage(processed(t), as_of()))
+    return placed(df).select("position", "relevance", "price_toman", "part_id")
+
+
 @query("p25_o01_offers_raw_single_stage", _RAW_V1)
 def _(t):
     return summaries.sort_offers_single(offers.offers_raw_single(prepared(t), as_of()))
@@ -546,21 +594,35 @@ def _(t):
     return summaries.sort_offers_two_stage(offers.offers_raw_two_stage(processed(t), as_of()))
 
 
-@query("o03_sellers_by_offers", sellers_sql(TWO_PRICED, 5, True))
+@query(
+    "o03_sellers_by_offers",
+    f"""SELECT row_number() OVER (ORDER BY offers_count DESC, seller_name_norm) AS position, seller_name_norm,
+        offers_count FROM ({sellers_sql(TWO_PRICED, 5, True)})""",
+)
 def _(t):
-    return summaries.sort_sellers(summaries.sellers_summary(processed(t)))
+    df = summaries.sort_sellers(summaries.sellers_summary(processed(t)))
+    return placed(df).select("position", "seller_name_norm", "offers_count")
 
 
-@query("o04_parts_by_average_price", TWO_PARTS)
+@query(
+    "o04_parts_by_average_price",
+    f"""SELECT row_number() OVER (ORDER BY "AMP_toman" DESC, part_id) AS position, part_id, "AMP_toman"
+        FROM ({TWO_PARTS})""",
+)
 def _(t):
-    return summaries.sort_parts(two_stage_parts(t))
+    return placed(summaries.sort_parts(two_stage_parts(t))).select("position", "part_id", "AMP_toman")
 
 
-@query("o05_cards_by_relevance", f"SELECT part_id, card_ord, relevance FROM ({RELEVANT})")
+@query(
+    "o05_cards_by_relevance",
+    f"""SELECT row_number() OVER (ORDER BY part_id, relevance DESC, card_ord) AS position, part_id, card_ord, relevance
+        FROM ({RELEVANT})""",
+)
 def _(t):
-    return scored_cards(t).select("part_id", "card_ord", "relevance").orderBy(
+    ordered = scored_cards(t).select("part_id", "card_ord", "relevance").orderBy(
         "part_id", F.desc("relevance"), "card_ord"
     )
+    return placed(ordered)
 
 
 @query(
@@ -628,7 +690,8 @@ def _(t):
 @query(
     "q01_single_stage_statistics",
     f"""SELECT (SELECT count(*) FROM {{parts}} WHERE part_id <> '0' AND part_name <> '' AND keywords <> '')
-          AS parts_processed, (SELECT count(*) FROM {{offers}}) AS total_offers_found,
+          AS parts_processed, (SELECT count(*) FROM {{offers}} WHERE part_id IN (SELECT part_id FROM {{parts}}
+          WHERE part_id <> '0' AND part_name <> '' AND keywords <> '')) AS total_offers_found,
         count(*) AS offers_after_dedup, count(DISTINCT seller_name_norm) AS unique_sellers FROM ({KEPT})""",
 )
 def _(t):
@@ -650,6 +713,14 @@ def _(t):
     return _two(t)["part_summary"]
 
 
+@query(
+    "q02_two_stage_statistics",
+    TWO_STATISTICS,
+)
+def _(t):
+    return _two(t)["statistics"].withColumn("avg_relevance", F.round("avg_relevance", 6))
+
+
 @query("q05_report_audit", AUDIT)
 def _(t):
     from marketlens.session import scratch_path

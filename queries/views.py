@@ -11,7 +11,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.session import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -79,7 +78,9 @@ _PRICE_TEXT = f"""CASE l_linenumber
     WHEN 3 THEN concat('از ', CAST({_PRICE} AS STRING), ' تا ', {_GROUPED}, ' تومن')
     WHEN 4 THEN 'تماس بگیرید'
     WHEN 5 THEN concat('Price ', CAST({_PRICE} AS STRING), '.99')
-    WHEN 6 THEN '' ELSE concat({_PERSIAN}, ' ریل') END"""
+    WHEN 6 THEN CASE l_quantity WHEN 50 THEN '9,999,999,999,999,999,999' WHEN 49 THEN '12345678901234567890 ریال'
+        ELSE '' END
+    ELSE concat({_PERSIAN}, ' ریل') END"""
 _URL = f"concat('{BASE_URL}/p/', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING))"
 
 VIEWS = {
@@ -149,8 +150,9 @@ VIEWS = {
                CASE WHEN l_linestatus = 'F' THEN 'موجود' ELSE '' END AS availability,
                l_shipdate AS snapshot_ts
         FROM {{sources}}""",
+    # offers of a third of the lines belong to pages that no card leads to
     "page_offers": f"""
-        SELECT {_URL} AS product_url,
+        SELECT CASE WHEN l_discount > 0.04 THEN {_URL} ELSE concat({_URL}, '/old') END AS product_url,
                CAST(row_number() OVER (PARTITION BY l_partkey, l_suppkey
                     ORDER BY l_orderkey, l_linenumber) - 1 AS INT) AS offer_pos,
                CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN 'فروشگاه'
@@ -161,7 +163,7 @@ VIEWS = {
                CASE WHEN l_linenumber < 4 THEN ''
                     ELSE concat('{BASE_URL}/shop/', CAST(l_suppkey AS STRING)) END AS seller_url,
                '' AS availability
-        FROM {{sources}} WHERE l_discount > 0.04""",
+        FROM {{sources}}""",
     "snapshots": """
         SELECT CASE WHEN event_type IN ('click', 'view') THEN 'search' ELSE 'product' END
                    AS cache_type,
@@ -194,6 +196,13 @@ VIEWS = {
 _NAME = re.compile(r"\{([a-z_]+)\}")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Deals a table that is one file, hence one split, out over the cores."""
+    if len(table.inputFiles()) > 1:
+        return table
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism)
+
+
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         table = spark.read.parquet(f"{sf_dir}/{name}.parquet")

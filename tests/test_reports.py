@@ -1,6 +1,7 @@
 """Summaries, page offers, pages, files, snapshots."""
 
 import datetime as dt
+import json
 import random
 import statistics
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import fixed_values as fv
 from marketlens.operators import audit, offers, snapshots, summaries
+from marketlens.plans import audit as audit_job
 from marketlens.sources import pages, parts as parts_source, reports, snapshots as snapshot_source
 
 
@@ -175,8 +177,14 @@ def test_snapshots(spark, tmp_path):
     assert tuple(snapshots.statistics(asked.limit(0), known, now()).first()) == (0, 0, 0, 0.0)
     doc = '{"cached_at":"2024-01-01T00:00:00.123456","cache_type":"search","query":"q","data":[{"title_raw":"t"}]}'
     (tmp_path / "s.json").write_text(doc + "\n" + doc[:-9] + "\n")
-    read = snapshot_source.read_snapshots(spark, str(tmp_path / "s.json")).collect()
-    assert len(read) == 1 and read[0].cached_at.microsecond == 123456 and read[0].cache_key.startswith("search_")
+    read, broken = snapshot_source.read_snapshots(spark, str(tmp_path / "s.json"), multi_line=False)
+    (row,) = read.collect()
+    assert row.cached_at.microsecond == 123456 and row.cache_key.startswith("search_") and broken.count() == 1
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole" / "a.json").write_text(json.dumps(json.loads(doc), indent=2))
+    (tmp_path / "whole" / "b.json").write_text(doc[:-9])
+    read, broken = snapshot_source.read_snapshots(spark, str(tmp_path / "whole"))
+    assert [r.query for r in read.collect()] == ["q"] and [r.document for r in broken.collect()] == [doc[:-9]]
 
 
 def test_report_round_trip_and_audit(spark, tmp_path):
@@ -184,6 +192,11 @@ def test_report_round_trip_and_audit(spark, tmp_path):
     tables = {"offers_raw": df, "sellers_summary": df.limit(0), "part_summary": df}
     path = reports.write_report(tables, str(tmp_path / "r"))
     assert spark.read.parquet(f"{path}/part_summary").count() == 3
-    assert not (tmp_path / "r" / "sellers_summary").exists()
+    reports.write_report(tables | {"sellers_summary": df}, path)
+    reports.write_report(tables, path)
+    assert reports.read_report(spark, path)["sellers_summary"].count() == 0
+    assert reports.read_report(spark, str(tmp_path / "none")) == {}
+    found = {(r.table_name, r.found) for r in audit_job.audit_report(spark, str(tmp_path / "none")).collect()}
+    assert found == {("offers_raw", False), ("sellers_summary", False), ("part_summary", False)}
     rows = audit.completeness(df.withColumn("e", F.lit("")), ["product_url", "e", "missing"], "t").collect()
     assert [tuple(r) for r in rows] == [("t", "product_url", True, 3, 3), ("t", "e", True, 0, 3), ("t", "missing", False, None, None)]

@@ -34,8 +34,17 @@ def test_price(column):
         "1,000.50", "Price: ٩٨٧.٦٥٤ ریال", None, "0", "12 345", "1" * 30,
     ]
     assert column(text.extract_price, values) == [
-        123000, 123000, 123000, 0, 0, 0, 100050, 98765, 0, 0, 345, 111,
+        123000, 123000, 123000, 0, 0, 0, 100050, 98765, 0, 0, 345, None,
     ]
+    # numbers beyond 64 bits give no price, never a piece of them
+    longer = ["12345678901234567890", "9,999,999,999,999,999,999", "5 " + "9" * 60, str(2**63 - 1)]
+    assert column(text.extract_price, longer) == [None, None, None, 2**63 - 1]
+
+
+def test_overflow_is_null(column):
+    assert column(text.toman_to_rial, [2**62, 5], "bigint") == [None, 50]
+    price = lambda c: urls.card_price(c.try_cast("decimal(30,6)"))
+    assert column(price, ["1e20", "12.9", "-1", None]) == [None, 12, 0, 0]
 
 
 def test_currency(column):
