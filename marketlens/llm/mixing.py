@@ -26,12 +26,12 @@ class Targets:
     An exponent of 1 keeps the marginal as it is, 0 makes it even.  `min_share`: values
     with a smaller share of all tokens are one class, so a dimension has at most
     1 / min_share + 1 classes and the table of cells is bounded, whatever the corpus.
-    `rate`: greatest probability of a cell.
+    `share`: share of all tokens that the sample is expected to hold.
     """
 
     exponents: tuple[float, float, float] = (0.5, 0.7, 0.7)
     min_share: float = 0.005
-    rate: float = 1.0
+    share: float = 0.8
     tolerance: float = 1e-9
     max_rounds: int = 60
     seed: int = 42
@@ -116,15 +116,27 @@ def _uniform(id_col: str, seed: int) -> Column:
 
 
 def probabilities(measured: DataFrame, targets: Targets = Targets()) -> tuple[list[DataFrame], DataFrame]:
-    """Classes of each dimension, and probability by classes, of rows with source, lang, topic, n_tokens."""
+    """Classes of each dimension, and probability by classes, of rows with source, lang, topic, n_tokens.
+
+    Probabilities are in proportion to fitted over own weight, at the level at which the
+    sample holds its share of tokens.  No document is taken twice: a cell that would need
+    more than it has is taken whole.
+    """
     cells = materialize(measured.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "raw-cells")
     classes = [materialize(_classes(cells, name, targets.min_share), f"classes-{name}") for name in DIMENSIONS]
     keys = [f"class_{n}" for n in DIMENSIONS]
     merged = _with_classes(cells, classes).groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
     fitted = rake(materialize(merged, "class-cells"), targets).coalesce(1)
-    ratio = F.col("w") / F.col("tokens")
-    share = ratio / F.max(ratio).over(_over_all())
-    return classes, materialize(fitted.select(*keys, (share * targets.rate).alias("probability")), "probabilities")
+    fitted = fitted.withColumn("ratio", F.col("w") / F.col("tokens"))
+    order = Window.partitionBy("one").orderBy(F.desc("ratio"), *keys)
+    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
+    budget = F.sum("tokens").over(_over_all()) * targets.share
+    # sum of min(tokens, level * w) is the budget at the greatest of these
+    level = F.max("level").over(_over_all())
+    chance = F.least(F.lit(1.0), level * F.col("ratio"))
+    levels = fitted.withColumn("level", (budget - before) / rest)
+    return classes, materialize(levels.select(*keys, chance.alias("probability")), "probabilities")
 
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, language, licences, mixing, sharding, simhash, tokens, topk, toxicity
+from marketlens.llm import decontamination, language, licences, mixing, oracles, sharding, simhash, tokens, topk, toxicity
 from marketlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,25 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-TOP_K_SQL = """
-WITH good AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
-scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
-"""
-
-
 def _remainder(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-@query("op1_license_scan")
+@query("op1_license_scan", oracles.licence_scan())
 def op1(spark, sf_dir):
     found = licences.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "licence", F.round("score", 6).alias("score"), "unit")
@@ -75,9 +61,10 @@ def op3(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-@query("op4_mixture")
+@query("op4_mixture", oracles.mixture())
 def op4(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("probability", F.round("probability", 6))
 
 
 @query("op5_language_id")
@@ -95,7 +82,7 @@ def op6(spark, sf_dir):
     return found.select("doc_id", "item_id", "cosine", "common", "answer", "at_word")
 
 
-@query("op7_exact_top_k", TOP_K_SQL)
+@query("op7_exact_top_k", oracles.TOP_K)
 def op7(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return topk.exact_top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10, scale=1024)

@@ -54,11 +54,17 @@ def plain(rows, targets):
                 now[c[k]] += x
             w = {c: x * goal[k][c[k]] / now[c[k]] for c, x in w.items()}
     ratio = {c: x / cells[c] for c, x in w.items()}
-    top = max(ratio.values())
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(1, level * ratio[c]) * cells[c] for c in ratio) < targets.share * total:
+            low = level
+        else:
+            high = level
     out = []
     for d in docs:
         c = tuple(cls(k, d[1 + k]) for k in range(3))
-        p = ratio[c] / top * targets.rate if c in ratio else 1.0
+        p = min(1.0, level * ratio[c]) if c in ratio else 1.0
         u = int(hashlib.md5(f"{'' if d[0] is None else d[0]}:{targets.seed}".encode()).hexdigest()[:13], 16) / 2**52
         out.append((str(d[0]), d[3], d[4], round(p, 6), u < p))
     return sorted(out), goal, w
@@ -66,7 +72,7 @@ def plain(rows, targets):
 
 @pytest.mark.parametrize("share", [0.005, 0.05])
 def test_equals_plain_raking(spark, share):
-    targets = mixing.Targets(min_share=share, max_rounds=80)
+    targets = mixing.Targets(min_share=share)
     df = spark.createDataFrame(documents(), SCHEMA)
     got = mixing.mix(df.repartition(5), targets).collect()
     want, _, _ = plain(documents(), targets)
