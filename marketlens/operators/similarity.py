@@ -198,3 +198,37 @@ def similar_pairs(offers: DataFrame, small_block: int = SMALL_BLOCK) -> DataFram
         F.expr("(offers * (offers - 1)) div 2").alias("pairs"),
     )
     return pairs.unionByName(copies)
+
+
+def similar_counts(offers: DataFrame, small_block: int = SMALL_BLOCK) -> DataFrame:
+    """For each signature: its offers, the offers it is a near-duplicate of, the first such signature.
+
+    Linear in the number of signatures.  Copies of the signature itself count as well;
+    `first_title` and `first_price` are the smallest other signature, NULL without one.
+    """
+    pairs = similar_pairs(offers, small_block)
+    same = (F.col("title_a") == F.col("title_b")) & (F.col("price_a") == F.col("price_b"))
+
+    def side(own: str, other: str) -> Column:
+        return F.struct(
+            F.col(f"title_{own}").alias("title_norm"),
+            F.col(f"price_{own}").alias("price"),
+            F.struct(F.col(f"title_{other}").alias("t"), F.col(f"price_{other}").alias("p")).alias("other"),
+            F.col(f"offers_{other}").alias("n"),
+        )
+
+    sides = pairs.where(~same).select(*BLOCK, F.explode(F.array(side("a", "b"), side("b", "a"))).alias("s"))
+    found = (
+        sides.select(*BLOCK, "s.*")
+        .groupBy(*BLOCK, *SIGNATURE)
+        .agg(F.sum("n").alias("n"), F.min("other").alias("first"))
+    )
+    own = signature_classes(offers).select(*BLOCK, *SIGNATURE, "offers").alias("o")
+    on = [F.col(f"o.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*BLOCK, *SIGNATURE)]
+    return own.join(found.alias("f"), on, "left").select(
+        *[F.col(f"o.{c}").alias(c) for c in (*BLOCK, *SIGNATURE)],
+        F.col("o.offers").alias("offers"),
+        (F.coalesce(F.col("f.n"), F.lit(0)) + F.col("o.offers") - 1).alias("similar_offers"),
+        F.col("f.first.t").alias("first_title"),
+        F.col("f.first.p").alias("first_price"),
+    )

@@ -186,6 +186,24 @@ def _(t):
     return similarity.similar_pairs(t("offers"), small_block=0)
 
 
+SIMILAR = f"""WITH k AS (SELECT part_id, seller_canonical, title_norm, price, count(*) AS offers FROM ({SIGNED}) GROUP BY ALL),
+    p AS ({PAIRS}),
+    s AS (SELECT part_id, seller_canonical, title_a AS t, price_a AS pr, title_b AS ot, price_b AS op, offers_b AS n FROM p
+      WHERE title_a <> title_b OR price_a <> price_b
+      UNION ALL SELECT part_id, seller_canonical, title_b, price_b, title_a, price_a, offers_a FROM p
+      WHERE title_a <> title_b OR price_a <> price_b),
+    f AS (SELECT part_id, seller_canonical, t, pr, sum(n)::BIGINT AS n, min(struct_pack(t := ot, p := op)) AS o FROM s GROUP BY ALL)
+    SELECT k.part_id, k.seller_canonical, k.title_norm, k.price, k.offers,
+      coalesce(f.n, 0) + k.offers - 1 AS similar_offers, f.o.t AS first_title, f.o.p AS first_price
+    FROM k LEFT JOIN f ON k.part_id = f.part_id AND k.seller_canonical = f.seller_canonical
+      AND k.title_norm = f.t AND k.price = f.pr"""
+
+
+@query("j04_similar_offers_of_signature", SIMILAR)
+def _(t):
+    return similarity.similar_counts(t("offers"))
+
+
 KEYED = "SELECT cache_type || '_' || md5(lower(query)) AS cache_key, cache_type, query, cached_at, value FROM {snapshots}"
 LATEST = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY cached_at DESC) AS rn
     FROM ({KEYED})) WHERE rn = 1"""
