@@ -5,7 +5,8 @@ items, weighted by TF-IDF with counts over all documents.  A distributed randomi
 SVD of these passages gives the main directions of the corpus; together with the span
 of the items they are the latent space.  Because the items lie in that space, a latent
 cosine is never below the plain one, so the reduction loses no candidate.  Windows of
-two passages near an item are then aligned with it: the longest common subsequences of
+two passages whose latent vector covers enough of an item and is near it in direction
+are then aligned with it: the longest common subsequences of
 all its words, of its content words (those that are not common in the corpus) and of the
 words of its last sentence (the answer) decide.
 
@@ -31,10 +32,10 @@ PASSAGE = 32
 ITEMS_A_BLOCK = 224
 WORDS_A_BLOCK = 60_000
 DIRECTIONS, OVERSAMPLE = 24, 8
-COMMON = 0.05  # words in more passages than this weigh nothing
-KEEP_WORDS = 4  # but the rarest of an item always weigh
-COSINE = 0.35
-CHUNK_ROWS = 20_000
+COMMON = 0.02  # words in more passages than this weigh nothing
+KEEP_WORDS = 8  # but the rarest of an item always weigh
+COSINE = 0.35  # of a window and an item in the latent space
+COVERED = 0.2  # of an item's latent length by a window (less for items longer than one)
 
 
 @dataclass(frozen=True)
@@ -297,13 +298,30 @@ def _aligned(item, answer, content, text, low: int, high: int, least: float):
     return best
 
 
+def _lists(items: Items, idf: np.ndarray):
+    """Inverted lists: where a word's items start, the items, what each word covers of them
+    for a unit of its weight; and how much of each item a window has to cover.
+
+    Coverage is the window's latent coordinate along an item over the item's length.  As
+    the items lie in the latent space, plain products of weights give it exactly.
+    """
+    m = item_matrix(items, idf)
+    word, item = np.nonzero(m.T)
+    shares = m[item, word] / np.maximum((m * m).sum(1), 1e-12)[item]
+    lengths = np.array([len(w) for w in items.words])
+    needed = COVERED * np.minimum(1.0, 1.5 * PASSAGE / lengths)
+    return np.searchsorted(word, np.arange(len(idf) + 1)), item, shares, needed
+
+
 def leaks_in_block(words: DataFrame, items: Items, id_type, rule: Rule) -> DataFrame:
     idf = idf_weights(words, items)
     basis = latent_space(words, items, idf).astype(np.float32)
     latent = (item_matrix(items, idf) @ basis).astype(np.float32)
     norms = np.linalg.norm(latent, axis=1)
     latent = latent / np.maximum(norms, 1e-12)[:, None]
-    shared = words.sparkSession.sparkContext.broadcast((idf, basis, latent, items.words, items.answers, items.ids))
+    context = words.sparkSession.sparkContext
+    shared = context.broadcast((idf, basis, latent, items.words, items.answers, items.ids))
+    by_word = context.broadcast(_lists(items, idf))
     schema = T.StructType(
         [
             T.StructField("doc_id", words.schema["doc_id"].dataType),
@@ -319,27 +337,31 @@ def leaks_in_block(words: DataFrame, items: Items, id_type, rule: Rule) -> DataF
     def candidates(column):
         """(document, first passage within it, item, cosine) of windows near an item."""
         weight, b, unit, *_ = shared.value
+        starts_of, items_of, shares_of, needed = by_word.value
         document, passage, word, times = passages(column)
         passage, word, value, starts = _rows(passage, word, times, weight)
-        first = np.searchsorted(document, np.arange(len(column)))
-        rows = passage[starts]
-        for at in range(0, len(starts), CHUNK_ROWS):
-            end = min(at + CHUNK_ROWS, len(starts))
-            reach = min(end + 1, len(starts))  # the next passage completes the last window
-            stop = starts[reach] if reach < len(starts) else len(word)
-            inner = slice(starts[at], stop)
-            one = _project(word[inner], value[inner], starts[at:reach] - starts[at], b)
-            window = one[: end - at].copy()
-            follow = np.flatnonzero(
-                (np.diff(rows[at:reach]) == 1) & (document[rows[at + 1 : reach]] == document[rows[at : reach - 1]])
-            )
-            follow = follow[follow < end - at]
-            # windows: each passage with the one behind it; alone, if that one is empty
-            window[follow] += one[follow + 1]
-            near = (window @ unit.T) / np.maximum(np.linalg.norm(window, axis=1), 1e-12)[:, None]
-            w, item = np.nonzero(near >= COSINE)
-            row = rows[at + w]
-            yield document[row], row - first[document[row]], item, near[w, item]
+        # a passage counts for the window that it begins and for the one before
+        held = starts_of[word + 1] - starts_of[word]
+        entry = np.repeat(np.arange(len(word)), held)
+        at = np.arange(len(entry)) - np.repeat(np.cumsum(held) - held, held) + np.repeat(starts_of[word], held)
+        item, share, own = items_of[at], shares_of[at] * value[entry], passage[entry]
+        second = np.flatnonzero((own > 0) & (document[own - 1] == document[own]))
+        keys, where = np.unique(
+            np.concatenate([own, own[second] - 1]) * len(needed) + np.concatenate([item, item[second]]), return_inverse=True
+        )
+        covered = np.bincount(where, np.concatenate([share, share[second]]), len(keys))
+        keys = keys[covered >= needed[keys % len(needed)]]
+        window, item = keys // len(needed), keys % len(needed)
+        vectors = np.zeros((len(window), b.shape[1]), np.float32)
+        low, high = np.searchsorted(passage, window), np.searchsorted(passage, window + 2)
+        for i in range(len(window)):
+            inner = slice(low[i], high[i])
+            mine = document[passage[inner]] == document[window[i]]
+            vectors[i] = (b[word[inner][mine]] * value[inner][mine][:, None].astype(np.float32)).sum(0)
+        near = (vectors * unit[item]).sum(1) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
+        some = near >= COSINE
+        first = np.searchsorted(document, document[window])
+        return document[window][some], (window - first)[some], item[some], near[some]
 
     def run(batches):
         weight, _, _, item_words, answers, ids = shared.value
@@ -350,16 +372,15 @@ def leaks_in_block(words: DataFrame, items: Items, id_type, rule: Rule) -> DataF
                 part = batch.slice(at, 2000)
                 found: dict[tuple[int, int], tuple] = {}
                 texts: dict[int, np.ndarray] = {}
-                for documents, blocks, its, cosines in candidates(part.column("words")):
-                    for d, p, i, c in zip(documents.tolist(), blocks.tolist(), its.tolist(), cosines.tolist()):
-                        if d not in texts:
-                            texts[d] = np.frombuffer(part.column("words")[d].as_py(), np.uint16)
-                        share, inside, where = _aligned(
-                            item_words[i], answers[i], content, texts[d], p * PASSAGE, (p + 2) * PASSAGE, least
-                        )
-                        if share >= rule.alike or (share >= rule.paraphrase and inside >= rule.answer):
-                            if (share, inside) > found.get((d, i), ((0.0, 0.0),))[0]:
-                                found[d, i] = ((share, inside), c, where)
+                for d, p, i, c in zip(*(x.tolist() for x in candidates(part.column("words")))):
+                    if d not in texts:
+                        texts[d] = np.frombuffer(part.column("words")[d].as_py(), np.uint16)
+                    share, inside, where = _aligned(
+                        item_words[i], answers[i], content, texts[d], p * PASSAGE, (p + 2) * PASSAGE, least
+                    )
+                    if share >= rule.alike or (share >= rule.paraphrase and inside >= rule.answer):
+                        if (share, inside) > found.get((d, i), ((0.0, 0.0),))[0]:
+                            found[d, i] = ((share, inside), c, where)
                 keys = sorted(found)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -8,7 +8,7 @@ from marketlens.llm import decontamination as dc
 
 R = random.Random(11)
 SYLLABLES = ["ka", "lo", "mi", "tre", "un", "sto", "ber", "fi", "gan", "el"]
-WORDS = ["".join(R.choice(SYLLABLES) for _ in range(R.randrange(2, 4))) for _ in range(3000)]
+WORDS = ["".join(R.choice(SYLLABLES) for _ in range(R.randrange(3, 6))) for _ in range(3000)]
 
 
 def prose(r, n):
