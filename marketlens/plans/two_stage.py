@@ -35,9 +35,16 @@ def relevant_cards(
 def processed_offers(
     parts: DataFrame, cards: DataFrame, page_offers: DataFrame, as_of: Column, **limits
 ) -> DataFrame:
-    """Stages A and B and both prices."""
-    top = relevant_cards(parts, cards, as_of, **limits)
-    return offers.with_dual_prices(offers.drill_down(top, page_offers, as_of=as_of))
+    """Stages A and B and both prices.
+
+    The cards are written once, then the offers of the pages they lead to: page offers
+    are scanned (and, if they come from markup, parsed) a single time, and hot pages
+    are looked for among those alone.
+    """
+    top = materialize(relevant_cards(parts, cards, as_of, **limits), "cards")
+    led_to = top.select("product_url").where("product_url <> ''").distinct()
+    wanted = materialize(page_offers.join(led_to, "product_url", "left_semi"), "page-offers")
+    return offers.with_dual_prices(offers.drill_down(top, wanted, as_of=as_of))
 
 
 def reports(processed: DataFrame, as_of: Column) -> dict[str, DataFrame]:

@@ -21,6 +21,15 @@ CARD_FIELDS = [
 ]
 
 
+def latest_pages(pages: DataFrame, stamp: str = "page_id") -> DataFrame:
+    """One page per url, that of the greatest `stamp`, of an archive that has several."""
+    rest = [c for c in pages.columns if c != "url"]
+    last = F.max_by(F.struct(*rest), F.struct(F.col(stamp), *[c for c in rest if c != stamp]))
+    return pages.groupBy("url").agg(last.alias("_p")).select(
+        *[F.col("url") if c == "url" else F.col(f"_p.{c}").alias(c) for c in pages.columns]
+    )
+
+
 # --- embedded JSON (all native) ----------------------------------------------
 
 def with_products(pages: DataFrame) -> DataFrame:

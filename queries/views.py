@@ -138,7 +138,7 @@ VIEWS = {
     "cards": f"""
         SELECT CAST(l_partkey AS STRING) AS part_id,
                CAST(row_number() OVER (PARTITION BY l_partkey
-                    ORDER BY l_orderkey, l_linenumber, l_suppkey) AS INT) AS card_ord,
+                    ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS INT) AS card_ord,
                {_FA_CARD} AS title_raw,
                CASE WHEN l_quantity <= 2 THEN 0 ELSE {_PRICE} END AS price_raw,
                {_PRICE_TEXT} AS price_text,
@@ -154,7 +154,7 @@ VIEWS = {
     "page_offers": f"""
         SELECT CASE WHEN l_discount > 0.04 THEN {_URL} ELSE concat({_URL}, '/old') END AS product_url,
                CAST(row_number() OVER (PARTITION BY l_partkey, l_suppkey
-                    ORDER BY l_orderkey, l_linenumber) - 1 AS INT) AS offer_pos,
+                    ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS INT) AS offer_pos,
                CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN 'فروشگاه'
                     ELSE concat('شرکت ', s_name, ' Store') END AS seller_name,
                CASE WHEN l_quantity <= 3 THEN NULL ELSE {_PRICE} + l_linenumber END AS price_raw,

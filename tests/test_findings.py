@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marketlens import session
 from marketlens.operators import dedupe, offers, summaries
 from marketlens.plans import single_stage, two_stage
+from marketlens.sources import pages
 
 CARD = (
     "part_id string, card_ord int, title_raw string, price_raw long, price_text string, currency_unit string, "
@@ -95,3 +96,18 @@ def test_scratch_can_be_cleared(spark):
     session.clear_scratch(spark)
     assert not system.exists(where)
     assert session.materialize(spark.range(3), "three").count() == 3
+
+
+def test_latest_page_of_each_url(spark):
+    rows = [(1, "a", "old"), (3, "a", "new"), (2, "b", None), (None, "b", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(map(tuple, pages.latest_pages(df).collect())) == [(2, "b", None), (3, "a", "new")]
+
+
+def test_one_huge_price_costs_one_product(spark):
+    product = '{"name1":"%s","price":%s,"price_text":"","web_client_absolute_url":"/p/1","shop_text":"","stock_status":""}'
+    doc = '{"props":{"pageProps":{"products":[%s,%s]}}}' % (product % ("big", "1e20"), product % ("fine", "5"))
+    html = f'<script src="a"></script><script id="__NEXT_DATA__">{doc}</script>'
+    df = spark.createDataFrame([(1, "u", html), (2, "v", "<p>nothing</p>")], "page_id long, url string, html string")
+    assert [r.title_raw for r in pages.cards_from_json(df, "http://x").collect()] == ["fine"]
+    assert [r.title_raw for r in pages.search_cards(df, "http://x").collect()] == ["fine"]
