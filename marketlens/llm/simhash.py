@@ -189,9 +189,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kept = found.groupBy("root").agg(first.alias("k")).select(
         F.col("k.doc_id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash")
     )
-    columns = df.columns
-    rows = df.withColumn("_row_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    hashed = "_row_hash" + "_" * max(map(len, df.columns), default=0)  # no column of df has this name
+    rows = df.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     matched = rows.join(
-        kept, rows[id_col].eqNullSafe(kept["_kept_id"]) & (rows["_row_hash"] == kept["_kept_hash"]), "left_semi"
+        kept, rows[id_col].eqNullSafe(kept["_kept_id"]) & (rows[hashed] == kept["_kept_hash"]), "left_semi"
     )
-    return matched.dropDuplicates([id_col, "_row_hash"]).select(*columns)
+    return matched.dropDuplicates([id_col, hashed]).select(*df.columns)
