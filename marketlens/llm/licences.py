@@ -3,14 +3,21 @@
 Built-in functions only.  Whole texts, their paragraphs and their lines are normalised
 to lower-case words.  Dice is 2 |A and B| / (|A| + |B|), so a template can only reach a
 score s if its number of pairs lies between s / (2 - s) and (2 - s) / s times that of
-the text: other templates are not compared.
+the text: other templates are not compared.  It follows too that a text shares at least
+s / (2 - s) of a template's pairs, so it holds certain of its words; texts and lines
+without them are put aside before they are taken apart.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.operators.columns import with_computed
+
 
 LEAST = 0.8
 
@@ -60,6 +67,33 @@ def template_table(spark, templates: list[tuple[str, str]]) -> DataFrame:
     )
 
 
+def needed_words(pairs_of: list[str], least: float) -> list[list[str]]:
+    """Groups of words; a text that reaches `least` for a template holds a word of each.
+
+    The text lacks at most d of the template's pairs.  Words that stand in more than d
+    pairs together can't all be lacking.  Groups are made of different words, small
+    groups and long words (which few other texts hold) first.
+    """
+    lacking = len(pairs_of) - math.ceil(least / (2 - least) * len(pairs_of) - 1e-9)
+    held = {w: {p for p in pairs_of if w in p.split(" ")} for p in pairs_of for w in p.split(" ")}
+    unused = sorted(held, key=lambda w: (-len(w), w))
+    groups = [[w] for w in unused if len(held[w]) > lacking]
+    unused = [w for w in unused if len(held[w]) <= lacking]
+    while unused:
+        group, covered = [], set()
+        for w in unused:
+            if held[w] - covered:
+                group.append(w)
+                covered |= held[w]
+            if len(covered) > lacking:
+                break
+        if len(covered) <= lacking:
+            break
+        groups.append(group)
+        unused = [w for w in unused if w not in group]
+    return groups
+
+
 def units(text: Column) -> Column:
     """A text, its paragraphs and its lines, each once."""
     return F.array_distinct(F.concat(F.array(text), F.split(text, "\\n[ \\t\\r]*\\n"), F.split(text, "\\n")))
@@ -81,16 +115,27 @@ def scan(
     known = template_table(df.sparkSession, templates)
     span = known.agg(F.min("t_size"), F.max("t_size")).first()
     low, high = (span[0] or 1) * least / (2 - least), (span[1] or 0) * (2 - least) / least
+    rules = [needed_words(r["t_pairs"], least) for r in known.select("t_pairs").collect()]
+
+    def may_match(lower: Column) -> Column:
+        def one_of(group: list[str]) -> Column:
+            return reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in group])
+
+        each = [reduce(lambda a, b: a & b, map(one_of, groups)) for groups in rules]
+        return reduce(lambda a, b: a | b, each, F.lit(False))
+
     text = F.col(text_col)
+    rows = df.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    some = with_computed(rows, "lower", F.lower("text")).filter(may_match(F.col("lower")))
+    split = some.select("doc_id", F.explode(units(F.col("text"))).alias("unit"))
+    cut = with_computed(split, "lower", F.lower("unit")).filter(may_match(F.col("lower"))).drop("lower")
     parts = (
-        df.filter(text.isNotNull())
-        .select(F.col(id_col).alias("doc_id"), F.explode(units(text)).alias("unit"))
-        # pairs need at least as many words and a blank or another sign between them
-        .filter(F.length("unit") > F.lit(2 * low - 1))
-        .select("doc_id", "unit", words(F.col("unit")).alias("ws"))
+        with_computed(cut, "ws", words(F.col("unit")))
+        # a walk over n distinct words has n - 1 distinct pairs at least
+        .filter((F.size("ws") > low) & (F.size(F.array_distinct("ws")) - 1 <= high))
     )
     sized = (
-        parts.select("doc_id", "unit", pairs(F.col("ws")).alias("pairs"))
+        with_computed(parts, "pairs", pairs(F.col("ws")))
         .withColumn("size", F.size("pairs"))
         .filter((F.col("size") >= low) & (F.col("size") <= high))
     )
