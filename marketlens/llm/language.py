@@ -84,28 +84,37 @@ def ranked(ids: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.ndarr
 
 @dataclass(frozen=True)
 class Profiles:
-    """Languages (ascending), n-grams of any profile (ascending), rank by n-gram and language."""
+    """Languages (ascending), n-grams of any profile (ascending) and the languages that have each.
+
+    Those of n-gram i stand at starts[i] to starts[i + 1] of `owners` (number of the
+    language) and `ranks` (rank in its profile): as large as all profiles together.
+    """
 
     languages: list[str]
     grams: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
     ranks: np.ndarray
 
     def distances(self, top: np.ndarray) -> np.ndarray:
         """Out-of-place distance to each language; an absent n-gram counts as the most."""
-        at = np.minimum(np.searchsorted(self.grams, top), max(len(self.grams) - 1, 0))
-        known = self.grams[at] == top
-        ranks = self.ranks[at]
-        off = np.abs(ranks - np.arange(len(top))[:, None])
-        return np.where(known[:, None] & (ranks < PROFILE), off, PROFILE).sum(0)
+        far = np.full(len(self.languages), len(top) * PROFILE, np.int64)
+        if not len(self.grams):
+            return far
+        at = np.minimum(np.searchsorted(self.grams, top), len(self.grams) - 1)
+        mine = np.flatnonzero(self.grams[at] == top)
+        first, last = self.starts[at[mine]], self.starts[at[mine] + 1]
+        held = last - first
+        entry = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) + np.repeat(first, held)
+        off = np.abs(self.ranks[entry] - np.repeat(mine, held)) - PROFILE
+        return far + np.bincount(self.owners[entry], off, len(far)).astype(np.int64)
 
 
-def learn(
-    df: DataFrame, min_share: float = 0.001, lang_col: str = "lang", text_col: str = "text"
-) -> Profiles:
-    """Profiles of every language that has `min_share` of the rows with a language.
+def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Profiles:
+    """Profiles of every language of the rows with a language and a text, however rare.
 
     Counts cover all rows; a task sends one count for each language and n-gram it met.
-    Fewer than 1 / min_share profiles of 400 n-grams reach the driver.  Null languages
+    At most 400 n-grams a language reach the driver, as columns of numbers.  Null languages
     and texts teach nothing; without rows there is no profile.
     """
     ship_package()
@@ -115,36 +124,32 @@ def learn(
 
     def count(batches):
         found: dict[str, list] = {}
-        rows_of: dict[str, int] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 parts = found.setdefault(lang, [])
                 parts.append(grams_of(text.as_py()))
-                rows_of[lang] = rows_of.get(lang, 0) + 1
                 if len(parts) >= 256:
                     found[lang] = [merged(parts)]
         for lang, parts in found.items():
             ids, counts = merged(parts)
-            ids, counts = np.r_[-1, ids], np.r_[rows_of[lang], counts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(ids)), pa.array(ids), pa.array(counts)], names=["lang", "gram", "n"]
             )
 
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # gram -1 (number of rows) comes first: rank 0
-    order = Window.partitionBy("lang").orderBy((F.col("gram") != -1), F.desc("n"), "gram")
-    top = counts.withColumn("r", F.row_number().over(order) - 1).filter(F.col("r") <= PROFILE)
-    with_rows = top.withColumn("rows", F.max(F.when(F.col("gram") == -1, F.col("n"))).over(Window.partitionBy("lang")))
-    total = rows.count()
-    kept = with_rows.filter((F.col("rows") >= total * min_share) & (F.col("gram") != -1)).select("lang", "gram", "r")
-    found = kept.collect()
-    languages = sorted({r["lang"] for r in found})
-    grams = np.array(sorted({r["gram"] for r in found}), np.int64)
-    ranks = np.full((len(grams), len(languages)), PROFILE, np.int64)
-    column = {lang: i for i, lang in enumerate(languages)}
-    for r in found:
-        ranks[np.searchsorted(grams, r["gram"]), column[r["lang"]]] = r["r"] - 1
-    return Profiles(languages, grams, ranks)
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    top = counts.withColumn("r", F.row_number().over(order) - 1).filter(F.col("r") < PROFILE)
+    found = top.select("lang", "gram", "r").toArrow()
+    named = found.column("lang").combine_chunks().dictionary_encode()
+    names = named.dictionary.to_pylist()
+    languages = sorted(names)
+    place = {lang: i for i, lang in enumerate(languages)}
+    number = np.array([place[n] for n in names], np.int32)
+    owners = number[named.indices.to_numpy(zero_copy_only=False)] if names else np.zeros(0, np.int32)
+    every, ranks = found.column("gram").to_numpy(), found.column("r").to_numpy()
+    by_gram = np.lexsort((owners, every))
+    grams, starts = np.unique(every[by_gram], return_index=True)
+    return Profiles(languages, grams, np.r_[starts, len(every)].astype(np.int64), owners[by_gram], ranks[by_gram].astype(np.int64))
 
 
 def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

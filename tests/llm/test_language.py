@@ -71,3 +71,20 @@ def test_distance_is_out_of_place(spark):
         for lang in ("x", "y")
     ]
     assert known.distances(top).tolist() == want
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the cat and the dog and the house", "en") for i in range(30_000)]
+    rows += [(30_000, "wuxu qoqo zuzu wuqu xozu", "qq"), (30_001, "bb cc bb dd cc", None)]
+    rows += [(40_000 + i, f"{chr(0x4E00 + 2 * i)}{chr(0x4E01 + 2 * i)}", f"x{i:04}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    known = language.learn(df)
+    assert known.languages == sorted({r[2] for r in rows if r[2]})
+    asked = [r for r in rows if r[0] in (0, 30_000) or r[0] >= 42_900]
+    found = language.predict(spark.createDataFrame(asked, df.schema), known).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {r[0]: r[2] for r in asked}
+
+
+def test_only_empty_texts_teach_nothing(spark):
+    df = spark.createDataFrame([(1, "", "en"), (2, "12 ?", "de"), (3, "abc", "fr")], "doc_id long, text string, lang string")
+    assert language.learn(df).languages == ["fr"]
