@@ -8,7 +8,9 @@ cosine is never below the plain one, so the reduction loses no candidate.  Windo
 two passages whose latent vector covers enough of an item and is near it in direction
 are then aligned with it: the longest common subsequences of
 all its words, of its content words (those that are not common in the corpus) and of the
-words of its last sentence (the answer) decide.
+words of its last sentence (the answer) decide.  Beside that, a run of RUN words of an item,
+word for word, is a leak wherever it stands in the item; runs are looked up by hash in
+every text, without the latent space.
 
 All text is read once; every later pass reads 16-bit word numbers.
 """
@@ -35,6 +37,7 @@ DIRECTIONS, OVERSAMPLE = 24, 8
 COMMON = 0.02  # words in more passages than this weigh nothing
 KEEP_WORDS = 8  # but the rarest of an item always weigh
 COSINE = 0.35  # of a window and an item in the latent space
+RUN = 13  # words of an item in a row that are a leak in themselves
 COVERED = 0.2  # of an item's latent length by a window (less for items longer than one)
 
 
@@ -298,6 +301,47 @@ def _aligned(item, answer, content, text, low: int, high: int, least: float):
     return best
 
 
+def _run_keys(words: np.ndarray) -> np.ndarray:
+    """A hash of the RUN words from each place on."""
+    n = len(words) - RUN + 1
+    keys = np.zeros(max(n, 0), np.uint64)
+    for k in range(RUN if n > 0 else 0):
+        keys = (keys ^ words[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def _item_runs(items: Items):
+    """Hashes of all runs (ascending), their items and places."""
+    keys = [_run_keys(w) for w in items.words]
+    item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    place = np.concatenate([np.arange(len(k)) for k in keys])
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], item[order], place[order]
+
+
+def _runs_in(text: np.ndarray, known, item_words) -> dict[int, int]:
+    """Items of which the text has a run, and where its first such run begins."""
+    keys, items, places = known
+    found: dict[int, int] = {}
+    if len(text) < RUN or not len(keys):
+        return found
+    # only places whose RUN words are all known
+    unknown = np.r_[0, np.cumsum(text == NONE)]
+    at = np.flatnonzero(unknown[RUN:] == unknown[:-RUN])
+    if not len(at):
+        return found
+    mine = _run_keys(text)[at]
+    low, high = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+    for j in np.flatnonzero(high > low).tolist():
+        for k in range(low[j], high[j]):
+            i, place, start = int(items[k]), int(places[k]), int(at[j])
+            if i not in found and (text[start : start + RUN] == item_words[i][place : place + RUN]).all():
+                found[i] = start
+    return found
+
+
 def _lists(items: Items, idf: np.ndarray):
     """Inverted lists: where a word's items start, the items, what each word covers of them
     for a unit of its weight; and how much of each item a window has to cover.
@@ -322,6 +366,7 @@ def leaks_in_block(words: DataFrame, items: Items, id_type, rule: Rule) -> DataF
     context = words.sparkSession.sparkContext
     shared = context.broadcast((idf, basis, latent, items.words, items.answers, items.ids))
     by_word = context.broadcast(_lists(items, idf))
+    by_run = context.broadcast(_item_runs(items))
     schema = T.StructType(
         [
             T.StructField("doc_id", words.schema["doc_id"].dataType),
@@ -334,8 +379,8 @@ def leaks_in_block(words: DataFrame, items: Items, id_type, rule: Rule) -> DataF
         ]
     )
 
-    def candidates(column):
-        """(document, first passage within it, item, cosine) of windows near an item."""
+    def candidates(column, runs):
+        """(document, first passage within it, item, cosine) of windows near an item or with a run of it."""
         weight, b, unit, *_ = shared.value
         starts_of, items_of, shares_of, needed = by_word.value
         document, passage, word, times = passages(column)
@@ -351,6 +396,9 @@ def leaks_in_block(words: DataFrame, items: Items, id_type, rule: Rule) -> DataF
         )
         covered = np.bincount(where, np.concatenate([share, share[second]]), len(keys))
         keys = keys[covered >= needed[keys % len(needed)]]
+        begins = np.searchsorted(document, np.arange(len(column)))
+        sure = np.array([(begins[d] + at // PASSAGE) * len(needed) + i for (d, i), at in runs.items()], np.int64)
+        keys = np.union1d(keys, sure)
         window, item = keys // len(needed), keys % len(needed)
         vectors = np.zeros((len(window), b.shape[1]), np.float32)
         low, high = np.searchsorted(passage, window), np.searchsorted(passage, window + 2)
@@ -359,7 +407,7 @@ def leaks_in_block(words: DataFrame, items: Items, id_type, rule: Rule) -> DataF
             mine = document[passage[inner]] == document[window[i]]
             vectors[i] = (b[word[inner][mine]] * value[inner][mine][:, None].astype(np.float32)).sum(0)
         near = (vectors * unit[item]).sum(1) / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
-        some = near >= COSINE
+        some = (near >= COSINE) | np.isin(keys, sure)
         first = np.searchsorted(document, document[window])
         return document[window][some], (window - first)[some], item[some], near[some]
 
@@ -372,14 +420,22 @@ def leaks_in_block(words: DataFrame, items: Items, id_type, rule: Rule) -> DataF
                 part = batch.slice(at, 2000)
                 found: dict[tuple[int, int], tuple] = {}
                 texts: dict[int, np.ndarray] = {}
-                for d, p, i, c in zip(*(x.tolist() for x in candidates(part.column("words")))):
+                runs: dict[tuple[int, int], int] = {}
+                for d, b in enumerate(part.column("words")):
+                    text = np.frombuffer(b.as_py(), np.uint16)
+                    runs |= {(d, i): where for i, where in _runs_in(text, by_run.value, item_words).items()}
+                for d, p, i, c in zip(*(x.tolist() for x in candidates(part.column("words"), runs))):
                     if d not in texts:
                         texts[d] = np.frombuffer(part.column("words")[d].as_py(), np.uint16)
                     share, inside, where = _aligned(
-                        item_words[i], answers[i], content, texts[d], p * PASSAGE, (p + 2) * PASSAGE, least
+                        item_words[i], answers[i], content, texts[d], p * PASSAGE, (p + 2) * PASSAGE,
+                        0.0 if (d, i) in runs else least,
                     )
-                    if share >= rule.alike or (share >= rule.paraphrase and inside >= rule.answer):
-                        if (share, inside) > found.get((d, i), ((0.0, 0.0),))[0]:
+                    alike = share >= rule.alike or (share >= rule.paraphrase and inside >= rule.answer)
+                    if (d, i) in runs and not alike:
+                        where = runs[d, i]
+                    if alike or (d, i) in runs:
+                        if (d, i) not in found or (share, inside) > found[d, i][0]:
                             found[d, i] = ((share, inside), c, where)
                 keys = sorted(found)
                 yield pa.RecordBatch.from_arrays(
@@ -409,7 +465,8 @@ def leaks(
     """doc_id, text_hash, item_id, cosine, common, answer, at_word: items found in documents.
 
     Null and empty texts hold no item; items that are null or have no word are never
-    found.  Repeated rows of either table are found again (equal items once).  An empty
+    found.  Repeated rows of either table are found again (equal items once).  Of a leak by its run alone,
+    common and answer are the shares that the text has, at_word is where the run begins.  An empty
     table gives no rows.  Blocks of items are taken one after another, each against all
     documents.
     """

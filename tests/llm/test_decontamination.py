@@ -146,3 +146,30 @@ def test_long_item_and_text(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     assert [(x.doc_id, x.item_id) for x in dc.leaks(df, bench).collect()] == [(1, 1)]
+
+
+def test_verbatim_runs_are_leaks(spark):
+    """Cut ends, cut starts and middles; a shorter run, or one with a word put in, is none."""
+    r = random.Random(21)
+    items = [(i, " ".join(prose(r, n))) for i, n in enumerate([57, 59, 40, 30, 600, 45])]
+    own = [t.split() for _, t in items]
+    parts = {
+        1: (0, own[0][:47]),
+        2: (1, own[1][:46]),
+        3: (2, own[2][20:]),
+        4: (3, own[3][8 : 8 + dc.RUN]),
+        5: (4, own[4][300:360]),
+        6: (4, own[4][-dc.RUN :]),
+        7: (5, own[5][10 : 10 + dc.RUN - 1]),
+        8: (5, [*own[5][10:16], "between", *own[5][16:24]]),
+    }
+    docs = [(0, " ".join(prose(r, 300)))]
+    for d, (_, part) in parts.items():
+        docs.append((d, " ".join(prose(r, 25 * d) + [w.upper().replace(".", "!") for w in part] + prose(r, 200))))
+    docs.append((9, " ".join(own[3][:dc.RUN])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in dc.leaks(df, bench).collect()}
+    assert set(got) == {(d, i) for d, (i, _) in parts.items() if d < 7} | {(9, 3)}
+    assert all(0 <= x.common <= 1 and 0 <= x.answer <= 1 and x.at_word <= len(docs[k[0]][1].split()) for k, x in got.items())
+    assert {x.doc_id for x in dc.without_leaks(df, bench).collect()} == {0, 7, 8}
