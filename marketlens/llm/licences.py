@@ -94,6 +94,16 @@ def needed_words(pairs_of: list[str], least: float) -> list[list[str]]:
     return groups
 
 
+def needed_by_template(known: DataFrame, least: float) -> dict[int, list[list[str]]]:
+    return {r["template"]: needed_words(r["t_pairs"], least) for r in known.select("template", "t_pairs").collect()}
+
+
+def _holds(lower: Column, groups: list[list[str]]) -> Column:
+    """Whether a text has a word of each group."""
+    one_of = [reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in group]) for group in groups]
+    return reduce(lambda a, b: a & b, one_of, F.lit(True))
+
+
 def units(text: Column) -> Column:
     """A text, its paragraphs and its lines, each once."""
     return F.array_distinct(F.concat(F.array(text), F.split(text, "\\n[ \\t\\r]*\\n"), F.split(text, "\\n")))
@@ -115,14 +125,10 @@ def scan(
     known = template_table(df.sparkSession, templates)
     span = known.agg(F.min("t_size"), F.max("t_size")).first()
     low, high = (span[0] or 1) * least / (2 - least), (span[1] or 0) * (2 - least) / least
-    rules = [needed_words(r["t_pairs"], least) for r in known.select("t_pairs").collect()]
+    rules = needed_by_template(known, least)
 
     def may_match(lower: Column) -> Column:
-        def one_of(group: list[str]) -> Column:
-            return reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in group])
-
-        each = [reduce(lambda a, b: a & b, map(one_of, groups)) for groups in rules]
-        return reduce(lambda a, b: a | b, each, F.lit(False))
+        return reduce(lambda a, b: a | b, [_holds(lower, groups) for groups in rules.values()], F.lit(False))
 
     text = F.col(text_col)
     rows = df.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -148,3 +154,80 @@ def scan(
     )
     best = scored.filter(F.col("score") >= least).groupBy("doc_id", "licence")
     return best.agg(F.max("score").alias("score"), F.min_by("unit", F.struct(-F.col("score"), F.col("unit"))).alias("unit"))
+
+
+def runs(
+    df: DataFrame,
+    least: float = LEAST,
+    templates: list[tuple[str, str]] = TEMPLATES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """doc_id, licence, score, unit: licences that a run of a text's words reaches `least` for.
+
+    A run is any stretch of neighbouring words, whatever lines and sentences it crosses,
+    of at most as many pairs as a match of distinct ones can have.  The best run is one
+    that begins and ends with a pair of the template (others only add to the size), so
+    only those are scored, and only where enough of the template's pairs stand close
+    enough together.  unit: the run's words, parted by blanks; the first in order of text
+    of the best.
+    """
+    known = template_table(df.sparkSession, templates)
+    least_pairs = F.ceil(F.col("t_size") * (least / (2 - least)) - 1e-9).cast("int")
+    most_pairs = F.floor(F.col("t_size") * ((2 - least) / least) + 1e-9).cast("int")
+    known = known.select("*", least_pairs.alias("low"), most_pairs.alias("high"))
+    text = F.col(text_col)
+    rows = df.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    met = F.array_compact(
+        F.array(*[F.when(_holds(F.col("lower"), groups), F.lit(i)) for i, groups in needed_by_template(known, least).items()])
+    ).cast("array<int>")
+    some = with_computed(with_computed(rows, "lower", F.lower("text")), "met", met).filter(F.size("met") > 0)
+    worded = with_computed(some.select("doc_id", "text", "met"), "ws", words(F.col("text"))).drop("text")
+    one = F.lit(1)
+    several = F.zip_with(F.col("ws"), F.slice("ws", 2, F.size("ws")), lambda a, b: F.concat_ws(" ", a, b))
+    each = (
+        with_computed(worded, "all", F.slice(several, 1, F.greatest(F.size("ws") - 1, F.lit(0))))
+        .select("doc_id", "ws", "all", F.explode("met").alias("template"))
+        .join(F.broadcast(known), "template")
+        # a template of one word has that word for its pair
+        .withColumn("all", F.when(F.contains(F.col("t_pairs")[0], F.lit(" ")), F.col("all")).otherwise(F.col("ws")))
+    )
+    at = F.filter(F.sequence(one, F.size("all")), lambda i: F.array_contains("t_pairs", F.element_at("all", i.cast("int"))))
+    placed = with_computed(each.filter(F.size("all") > 0), "at", at)
+    # k-th place of a template's pair: `low` of them stand within `high` pairs from there
+    first = F.filter(
+        F.sequence(one, F.size("at") - F.col("low") + 1),
+        lambda k: F.element_at("at", (k + F.col("low") - 1).cast("int")) - F.element_at("at", k.cast("int")) < F.col("high"),
+    )
+    starts = placed.filter(F.size("at") >= F.col("low")).select("*", F.explode(first).alias("k"))
+    ends = F.filter(
+        F.slice("at", F.col("k") + F.col("low") - 1, F.col("high") - F.col("low") + 1),
+        lambda e: e - F.element_at("at", F.col("k").cast("int")) < F.col("high"),
+    )
+    spans = starts.select(
+        "doc_id", "licence", "ws", "all", "t_pairs", "t_size", F.element_at("at", F.col("k").cast("int")).alias("begin"), F.explode(ends).alias("end")
+    )
+    length = F.col("end") - F.col("begin") + 1
+    run = with_computed(spans, "pairs", F.array_distinct(F.slice("all", F.col("begin"), length)))
+    score = 2 * F.size(F.array_intersect("pairs", "t_pairs")) / (F.size("pairs") + F.col("t_size"))
+    word_count = F.when(F.contains(F.col("t_pairs")[0], F.lit(" ")), length + 1).otherwise(length)
+    scored = run.select("doc_id", "licence", F.array_join(F.slice("ws", F.col("begin"), word_count), " ").alias("unit"), score.alias("score"))
+    best = scored.filter(F.col("score") >= least).groupBy("doc_id", "licence")
+    return best.agg(F.max("score").alias("score"), F.min_by("unit", F.struct(-F.col("score"), F.col("unit"))).alias("unit"))
+
+
+def notices(
+    df: DataFrame,
+    least: float = LEAST,
+    templates: list[tuple[str, str]] = TEMPLATES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """What `scan` finds, and the licences that only a run within or across units reaches.
+
+    A licence that a unit reaches keeps that unit and its score.
+    """
+    whole = scan(df, least, templates, id_col, text_col).withColumn("rank", F.lit(0))
+    both = whole.unionByName(runs(df, least, templates, id_col, text_col).withColumn("rank", F.lit(1)))
+    found = both.groupBy("doc_id", "licence").agg(F.min_by(F.struct("score", "unit"), "rank").alias("best"))
+    return found.select("doc_id", "licence", "best.score", "best.unit")

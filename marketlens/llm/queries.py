@@ -36,7 +36,7 @@ def _remainder(modulus: int):
 
 @query("op1_license_scan", oracles.licence_scan())
 def op1(spark, sf_dir):
-    found = licences.scan(table(spark, sf_dir, "documents"))
+    found = licences.notices(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "licence", F.round("score", 6).alias("score"), "unit")
 
 
