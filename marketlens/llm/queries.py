@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import byte_bpe, decontamination, language, licences, mixing, oracles, sharding, simhash, tokens, topk, toxicity, whitening
+from marketlens.llm import byte_bpe, decontamination, language, licences, mixing, oracles, sharding, simhash, spelling, tokens, topk, toxicity, whitening
 from marketlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +118,11 @@ def op10(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query("op12_byte_bpe")
 def op12(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
