@@ -257,23 +257,16 @@ def _encoded_long(df: DataFrame, path: str, pattern: str) -> DataFrame:
 def encode_parts(
     df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """row, doc_id, part, ids (binary: little-endian 32-bit integers) of every text.
+    """row, doc_id, part, whole, ids (binary: little-endian 32-bit integers) of every text.
 
-    A short text is one part and has no row number; the parts of a long text share a row
+    A short text is one whole part and has no row number; the parts of a long text share a row
     number and are in order of part.  Null texts are empty and have no ids.  Repeated rows
     and null ids stay rows of their own.  Other columns are not read.  An empty table
     gives no rows.  Matches of the pattern must not be empty.
     """
     ship_package()
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = T.StructType(
-        [
-            T.StructField("row", T.LongType()),
-            rows.schema["doc_id"],
-            T.StructField("part", T.IntegerType()),
-            T.StructField("ids", T.BinaryType()),
-        ]
-    )
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("ids", T.BinaryType())])
 
     def run(batches):
         bpe, scan = vocabulary(ranks_path), regex.compile(pattern)
@@ -281,18 +274,21 @@ def encode_parts(
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = [bpe.encode(scan.findall(t.as_py())) for t in part.column("text")]
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int64()), part.column("doc_id"), pa.array([0] * n, pa.int32()), pa.array(ids, pa.binary())],
-                    names=schema.names,
-                )
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=schema.names)
 
     long = F.octet_length("text") > CHUNK
-    return rows.filter(~long).mapInArrow(run, schema).union(_encoded_long(rows.filter(long), ranks_path, pattern))
+    short = (
+        rows.filter(~long)
+        .mapInArrow(run, schema)
+        .select(F.lit(None).cast("long").alias("row"), "doc_id", F.lit(0).alias("part"), F.lit(True).alias("whole"), "ids")
+    )
+    stitched = _encoded_long(rows.filter(long), ranks_path, pattern)
+    # whole is a literal on both sides, so a filter on it leaves one side of the union unread
+    return short.union(stitched.select("row", "doc_id", "part", F.lit(False).alias("whole"), "ids"))
 
 
 def decode_parts(parts: DataFrame, ranks_path: str) -> DataFrame:
-    """row, doc_id, part, bytes of rows that `encode_parts` gives; parts in order make the text."""
+    """row, doc_id, part, whole, bytes of rows that `encode_parts` gives; parts in order make the text."""
     ship_package()
     fields = [f for f in parts.schema if f.name != "ids"]
     schema = T.StructType([*fields, T.StructField("bytes", T.BinaryType())])
@@ -317,8 +313,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=schema.names)
 
     listed = F.struct("part", "ids")
-    short = parts.filter("row IS NULL").select("doc_id", F.array(listed).alias("p"))
-    long = parts.filter("row IS NOT NULL").groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(listed)).alias("p"))
+    short = parts.filter("whole").select("doc_id", F.array(listed).alias("p"))
+    long = parts.filter("NOT whole").groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(listed)).alias("p"))
     return short.union(long.select("doc_id", "p")).mapInArrow(run, schema)
 
 
@@ -371,6 +367,6 @@ def digests(parts: DataFrame, ranks_path: str) -> DataFrame:
             [docs, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=schema.names
         )
 
-    short = parts.filter("row IS NULL").select("doc_id", "ids").mapInArrow(whole, schema)
-    long = parts.filter("row IS NOT NULL").repartition("row").sortWithinPartitions("row", "part")
+    short = parts.filter("whole").select("doc_id", "ids").mapInArrow(whole, schema)
+    long = parts.filter("NOT whole").repartition("row").sortWithinPartitions("row", "part")
     return short.union(long.select("row", "doc_id", "ids").mapInArrow(in_order, schema))
