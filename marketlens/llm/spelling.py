@@ -1,15 +1,12 @@
 """Spelling variants: words one edit apart, found through variable-length grams.
 
-The gram dictionary is a trie of word pieces pruned by frequency: a piece that is
-frequent is extended by the next letter, one that is rare (or has GRAM_MAX letters) is a
-gram.  A word has the gram that begins at each of its letters.  One edit changes only
-grams that hold the edited place, so the most grams over one place is a word's bound: two
-words one edit apart share all but that many grams, at the same place or one further.
-
-Lists are merged by that bound.  In a fixed order of grams, rare ones first, the first
-gram that the edit leaves alone stands within the first bound + 1 grams of both words, so
-only these are listed, under gram, length and place.  Pairs that meet in a list must
-share enough grams in all, and are then verified.
+Grams are anchored at the beginning or the end of a word, so their place is part of them.
+The dictionary is two tries (of beginnings, of ends) pruned by frequency: a piece that
+many words share is extended by the next letter, a rare one is a gram.  An edit affects
+the grams that hold its place; for every place an edit may be at, a word stands in the
+list of a gram that the edit leaves alone, or, where it leaves only frequent pieces, in
+the merged list of the beginning and the end that are left.  Two words one edit apart have
+the same pieces left, so they meet in a list; pairs that meet are verified.
 """
 
 from __future__ import annotations
@@ -18,9 +15,8 @@ import re
 import zlib
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.session import materialize, ship_package
@@ -28,12 +24,12 @@ from marketlens.session import materialize, ship_package
 RUN = "[A-Za-zÀ-ÿ]"
 SHORTEST = 7  # code points of a word
 TYPO = 31
-GRAM_MIN = 2
-FREQUENT = 50_000  # a gram is frequent if it has more than this part of all places
-FREQUENT_LEAST = 32  # and stands at this many
-END = "\n"  # closes a word; no letter
+GRAM_MIN, GRAM_MAX = 2, 32  # letters of a piece that may be frequent
+FREQUENT = 100_000  # a piece is frequent if it is more than this part of all
+FREQUENT_LEAST = 8  # and more than this many
+HASH = (1 << 63) - 1
 MEMO_WORDS = 200_000
-LONG_WORD = 512  # grams of longer words are not carried for the count; the edit test decides
+MEMO_PIECES = 1_000_000
 RATIO = 10
 
 
@@ -78,148 +74,108 @@ def word_counts(
     return counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-def gram_max(shortest: int) -> int:
-    """Longest gram: an edit of the shortest word must leave its first or its last gram alone."""
-    return shortest - 1
+def _pieces(word: str) -> tuple[list[int], list[int]]:
+    """Hashes of the word's beginnings by length, and of its ends by length (0 to all)."""
+    starts, ends = [1], [2]
+    for c in word:
+        starts.append((starts[-1] * 1_000_003 + ord(c)) & HASH)
+    for c in reversed(word):
+        ends.append((ends[-1] * 999_983 + ord(c)) & HASH)
+    return starts, ends
 
 
-def frequent_grams(words: DataFrame, shortest: int = SHORTEST) -> dict[str, int]:
-    """Frequent pieces of GRAM_MIN to gram_max letters and their numbers.
+def frequent_grams(words: DataFrame) -> set[int]:
+    """Hashes of the beginnings and ends that many words share: the inner nodes of the gram tries.
 
-    A piece is frequent if it stands at more than 1 / FREQUENT of all places, so there are
-    at most FREQUENT of each length, whatever the number of words.
+    A piece is frequent if it is more than 1 / FREQUENT of all pieces, so there are fewer
+    than FREQUENT, whatever the number of words.
     """
 
     def run(batches):
         held: Counter = Counter()
-        places = 0
+        total = 0
         for batch in batches:
             for word in batch.column(0):
-                closed = word.as_py() + END
-                places += len(closed) - GRAM_MIN + 1
-                for size in range(GRAM_MIN, gram_max(shortest) + 1):
-                    held.update([closed[p : p + size] for p in range(len(closed) - size + 1)])
-                if len(held) > MEMO_WORDS:
-                    yield counted(held, places)
-                    held, places = Counter(), 0
-        yield counted(held, places)
-
-    def counted(held, places):
-        held[""] = places
+                word = word.as_py()
+                for pieces in _pieces(word[:GRAM_MAX])[0], _pieces(word[-GRAM_MAX:])[1]:
+                    held.update(pieces[GRAM_MIN:])
+                    total += len(pieces) - GRAM_MIN
+                if len(held) > MEMO_PIECES:
+                    yield counted(held, total)
+                    held, total = Counter(), 0
+        yield counted(held, total)
+
+    def counted(held, total):
+        held[-1] = total
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], names=["gram", "n"]
+            [pa.array(list(held.keys()), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["gram", "n"]
         )
 
-    found = words.select("word").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    found = materialize(found.filter(f"n > {FREQUENT_LEAST}"), "gram-counts")
-    places = found.filter("gram = ''").agg(F.max("n")).first()[0] or 0
-    rows = found.filter(F.length("gram") > 0).filter(F.col("n") * FREQUENT > places).collect()
-    return {r["gram"]: r["n"] for r in rows}
-
-
-def grams_of(word: str, frequent: dict[str, int], shortest: int = SHORTEST) -> list[str]:
-    """The gram at each letter: as short as may be, and as long as its pieces are frequent."""
-    closed, most = word + END, gram_max(shortest)
-    out = []
-    for p in range(len(word)):
-        size = GRAM_MIN
-        while size < most and p + size < len(closed) and closed[p : p + size] in frequent:
-            size += 1
-        out.append(closed[p : p + size])
-    return out
+    found = words.select("word").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = materialize(found.filter((F.col("n") > FREQUENT_LEAST) | (F.col("gram") == -1)), "gram-counts")
+    total = found.filter("gram = -1").agg(F.sum("n")).first()[0] or 0
+    rows = found.filter((F.col("gram") != -1) & (F.col("n") * FREQUENT > total)).select("gram").collect()
+    return {r["gram"] for r in rows}
 
 
-def affected(grams: list[str]) -> int:
-    """The most grams that hold one place: what a single edit can change."""
-    over = np.zeros(len(grams) + 2, np.int64)
-    for p, gram in enumerate(grams):
-        over[p] += 1
-        over[min(p + len(gram), len(over) - 1)] -= 1
-    return int(np.cumsum(over).max(initial=0))
+def lists_of(word: str, frequent: set[int]) -> set[int]:
+    """Keys of the lists that a word stands in: for any single edit, one that the edit leaves alone.
 
-
-def listed(word: str, frequent: dict[str, int], shortest: int = SHORTEST):
-    """(gram, place) to list, hashes of all grams by their number in the word, how many must be shared."""
-    grams = grams_of(word, frequent, shortest)
-    bound = affected(grams)
-    order = sorted(range(len(grams)), key=lambda p: (frequent.get(grams[p], 0), grams[p], p))
-    times: Counter = Counter()
-    numbered = []
-    if len(word) <= LONG_WORD:
-        for gram in grams:
-            times[gram] += 1
-            numbered.append(zlib.crc32(f"{gram}{times[gram]}".encode()))
-    # an edit takes away `bound` grams at most, and so at most as many different hashes
-    return [(grams[p], p) for p in order[: bound + 1]], numbered, len(set(numbered)) - bound
+    The word's first gram is its shortest rare beginning, its last gram its shortest rare
+    end.  An edit at a place affects what holds the place.  Beyond the first gram it leaves
+    that alone, before the last gram that; if both, the shorter list key is taken.  An edit
+    in between leaves only frequent pieces, and their lists are merged: the key is the
+    beginning up to the place and the end behind it together.
+    """
+    starts, ends = _pieces(word)
+    n = len(word)
+    first = next((e for e in range(GRAM_MIN, n + 1) if e > GRAM_MAX or starts[e] not in frequent), n + 1)
+    last = next((e for e in range(GRAM_MIN, n + 1) if e > GRAM_MAX or ends[e] not in frequent), n + 1)
+    out = set()
+    # i letters before the edit and r behind it: n - 1 in all if a letter goes or is replaced, n if one comes
+    for kept in (n - 1, n):
+        for i in range(kept + 1):
+            r = kept - i
+            if first <= i and (first <= last or last > r):
+                out.add(starts[first])
+            elif last <= r:
+                out.add(ends[last])
+            else:
+                out.add((starts[i] * 0x9E3779B97F4A7C15 ^ ends[r]) & HASH)
+    return out
 
 
-def near_words(words: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+def near_words(words: DataFrame) -> DataFrame:
     """a, b: pairs of words (column word, distinct) that differ by exactly one edit, each once.
 
-    `a` is the shorter word, or the smaller of equal length.  Words have at least
-    `shortest` code points.  No list is cut; a list of many words is split over tasks by
-    the run-time skew join, as every pair is found by its key alone.
+    `a` is the shorter word, or the smaller of equal length.  No list is cut; a list of
+    many words is split over tasks by the run-time skew join, as every pair is found by
+    its key alone.
     """
     ship_package()
-    frequent = words.sparkSession.sparkContext.broadcast(frequent_grams(words, shortest))
-    schema = T.StructType(
-        [
-            T.StructField("gram", T.StringType()),
-            T.StructField("place", T.IntegerType()),
-            T.StructField("word", T.StringType()),
-            T.StructField("size", T.IntegerType()),
-            T.StructField("letters", T.LongType()),
-            T.StructField("grams", T.ArrayType(T.IntegerType())),
-            T.StructField("shared", T.IntegerType()),
-        ]
-    )
+    frequent = words.sparkSession.sparkContext.broadcast(frequent_grams(words))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                rows = []
-                for word in batch.column(0).slice(at, 2000):
-                    word = word.as_py()
-                    some, numbered, shared = listed(word, frequent.value, shortest)
-                    letters = 0
-                    for c in set(word):
-                        letters |= 1 << (ord(c) * 7 % 63)
-                    grams = np.array(numbered, np.uint32).view(np.int32)
-                    rows += [(gram, place, word, len(word), letters, grams, shared) for gram, place in some]
+                rows = [(k, w, len(w)) for w in batch.column(0).slice(at, 2000).to_pylist() for k in lists_of(w, frequent.value)]
+                columns = zip(*rows) if rows else ([], [], [])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, k) for v, k in zip(zip(*rows), KINDS)] if rows else [pa.array([], k) for k in KINDS],
-                    names=schema.names,
+                    [pa.array(v, kind) for v, kind in zip(columns, (pa.int64(), pa.string(), pa.int32()))],
+                    names=["key", "word", "size"],
                 )
 
-    KINDS = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32()]
-    entries = materialize(words.select("word").mapInArrow(run, schema), "word-grams")
-    kept = entries.columns
-    here = entries.select(*[F.col(c).alias(f"a_{c}") for c in kept])
-    # the same place in a word of equal length; the same or the next place in one that is longer by one
-    wanted = F.explode(
-        F.array(
-            F.struct(F.col("a_size").alias("to_size"), F.col("a_place").alias("to_place")),
-            F.struct((F.col("a_size") + 1).alias("to_size"), F.col("a_place").alias("to_place")),
-            F.struct((F.col("a_size") + 1).alias("to_size"), (F.col("a_place") + 1).alias("to_place")),
-        )
-    )
-    asked = here.withColumn("to", wanted).select("*", "to.to_size", "to.to_place").drop("to")
-    there = entries.select(*[F.col(c).alias(f"b_{c}") for c in kept])
+    entries = materialize(words.select("word").mapInArrow(run, "key long, word string, size int"), "word-grams")
+    a, b = entries.alias("a"), entries.alias("b")
     together = (
-        (F.col("a_gram") == F.col("b_gram"))
-        & (F.col("to_size") == F.col("b_size"))
-        & (F.col("to_place") == F.col("b_place"))
-        & ((F.col("a_size") < F.col("b_size")) | (F.col("a_word") < F.col("b_word")))
-        & (F.bit_count(F.col("a_letters").bitwiseXOR(F.col("b_letters"))) <= 2)
+        (F.col("a.key") == F.col("b.key"))
         & (
-            (F.size("a_grams") == 0)
-            | (F.size("b_grams") == 0)
-            | (F.size(F.array_intersect("a_grams", "b_grams")) >= F.greatest("a_shared", "b_shared"))
+            ((F.col("a.size") == F.col("b.size")) & (F.col("a.word") < F.col("b.word")))
+            | (F.col("a.size") + 1 == F.col("b.size"))
         )
-        & (F.levenshtein("a_word", "b_word", 1) == 1)
+        & (F.levenshtein("a.word", "b.word", 1) == 1)
     )
-    met = asked.join(there, together).select(F.col("a_word").alias("a"), F.col("b_word").alias("b"))
-    return met.distinct()
+    return a.join(b, together).select(F.col("a.word").alias("a"), F.col("b.word").alias("b")).distinct()
 
 
 def forms(words: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
@@ -275,9 +231,7 @@ def variants(
     of words.  Rows that are repeated count again.  Words of any length are compared
     whole.  Other columns are not read.  An empty table gives no rows.
     """
-    if shortest <= GRAM_MIN:
-        raise ValueError(f"words must have more than {GRAM_MIN} code points")
     words = materialize(word_counts(df, id_col, text_col, shortest, least), "words")
-    pairs = materialize(near_words(words, shortest), "near-words")
+    pairs = materialize(near_words(words), "near-words")
     table = materialize(forms(words, pairs, ratio), "spelling-forms")
     return with_roots(table).select("word", "form", "root", "n", "n_near", "form_n")
