@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import fixed_values as fv
 from marketlens.functions.text import normalize_part_title, normalize_seller_name, words
 from marketlens.operators.sellers import canonical_seller
+from marketlens.session import materialize
 
 BLOCK = ["part_id", "seller_canonical"]
 SIGNATURE = ["title_norm", "price"]
@@ -65,21 +66,48 @@ def similar(a: str, b: str) -> Column:
     The title test is skipped when a title is empty, the price test when a price
     is not positive: such offers are similar to many unlike ones, by design.
     """
-    ta, tb = F.col(f"{a}.title_norm"), F.col(f"{b}.title_norm")
     pa, pb = F.col(f"{a}.price"), F.col(f"{b}.price")
-    la, lb = F.length(ta).cast("double"), F.length(tb).cast("double")
+    no_title = (F.col(f"{a}.title_norm") == "") | (F.col(f"{b}.title_norm") == "")
+    no_price = (pa <= 0) | (pb <= 0)
+    return (no_title | similar_titles(a, b)) & (no_price | similar_prices(pa, pb))
+
+
+def similar_titles(a: str, b: str) -> Column:
+    """Of two titles with words: about equal lengths, and most words in common."""
+    la, lb = (F.length(F.col(f"{s}.title_norm")).cast("double") for s in (a, b))
     wa, wb = F.col(f"{a}.words"), F.col(f"{b}.words")
     shared = F.size(F.array_intersect(wa, wb))
     union = F.size(wa) + F.size(wb) - shared
-    no_title = (ta == "") | (tb == "")
     titles = (
         F.try_divide(F.least(la, lb), F.greatest(la, lb)) >= fv.MIN_LENGTH_RATIO
     ) & (F.try_divide(shared.cast("double"), union.cast("double")) >= fv.MIN_WORD_OVERLAP)
-    no_price = (pa <= 0) | (pb <= 0)
+    return F.coalesce(titles, F.lit(False))
+
+
+def similar_prices(pa: Column, pb: Column) -> Column:
     gap = F.try_divide(F.abs(pa - pb).cast("double"), F.greatest(pa, pb).cast("double"))
-    return (no_title | F.coalesce(titles, F.lit(False))) & (
-        no_price | F.coalesce(gap <= fv.MAX_PRICE_GAP, F.lit(False))
+    return F.coalesce(gap <= fv.MAX_PRICE_GAP, F.lit(False))
+
+
+def with_rare_words(titles: DataFrame) -> DataFrame:
+    """Adds `prefix`: the words that a similar title has one of, in order of rising frequency.
+
+    `titles` has one row for each title of a block, with its `words`.  Two word sets that
+    overlap enough share a word among the first of each in any order that both follow;
+    with rare words first, few titles meet at each.
+    """
+    each = titles.select(*BLOCK, "title_norm", F.explode("words").alias("word"))
+    counts = each.groupBy(*BLOCK, "word").agg(F.count(F.lit(1)).alias("n"))
+    named = counts.select(*[F.col(c).alias(f"_{c}") for c in (*BLOCK, "word", "n")])
+    same_word = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in BLOCK] + [F.col("word") == F.col("_word")]
+    ordered = (
+        each.join(named, same_word)
+        .groupBy(*BLOCK, "title_norm")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), "word"))).alias("ordered"))
     )
+    size = F.size("ordered")
+    needed = F.ceil(size * F.lit(fv.MIN_WORD_OVERLAP) - F.lit(1e-9)).cast("int")
+    return ordered.select(*BLOCK, "title_norm", F.slice("ordered.word", 1, size - needed + 1).alias("prefix"))
 
 
 def signature_classes(offers: DataFrame) -> DataFrame:
@@ -200,30 +228,143 @@ def similar_pairs(offers: DataFrame, small_block: int = SMALL_BLOCK) -> DataFram
     return pairs.unionByName(copies)
 
 
-def similar_counts(offers: DataFrame, small_block: int = SMALL_BLOCK) -> DataFrame:
-    """For each signature: its offers, the offers it is a near-duplicate of, the first such signature.
+def title_links(titles: DataFrame) -> DataFrame:
+    """Pairs (title_norm, other) of similar titles of a block, both ways, each with itself.
 
-    Linear in the number of signatures.  Copies of the signature itself count as well;
-    `first_title` and `first_price` are the smallest other signature, NULL without one.
+    Titles meet under a word of both prefixes, if their sizes and the places of that word
+    leave room for the overlap that they need, at the first word that they share.
     """
-    pairs = similar_pairs(offers, small_block)
-    same = (F.col("title_a") == F.col("title_b")) & (F.col("price_a") == F.col("price_b"))
-
-    def side(own: str, other: str) -> Column:
-        return F.struct(
-            F.col(f"title_{own}").alias("title_norm"),
-            F.col(f"price_{own}").alias("price"),
-            F.struct(F.col(f"title_{other}").alias("t"), F.col(f"price_{other}").alias("p")).alias("other"),
-            F.col(f"offers_{other}").alias("n"),
-        )
+    own_row = [F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}")) for c in (*BLOCK, "title_norm")]
+    rows = titles.alias("t").join(with_rare_words(titles).alias("p"), own_row).select("t.*", "p.prefix")
+    posted = rows.select("*", F.posexplode("prefix").alias("at", "word"))
+    sa, sb = F.size("a.words"), F.size("b.words")
+    theta = fv.MIN_WORD_OVERLAP
+    needed = F.ceil((sa + sb) * F.lit(theta / (1 + theta)) - F.lit(1e-9))
+    room = F.least(sa - F.col("a.at"), sb - F.col("b.at"))
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in BLOCK] + [
+        F.col("a.word") == F.col("b.word"),
+        F.col("a.title_norm") < F.col("b.title_norm"),
+        F.least(sa, sb) >= F.greatest(sa, sb) * F.lit(theta) - F.lit(1e-9),
+        F.col("a.word") == F.try_element_at(F.array_intersect("a.prefix", "b.prefix"), F.lit(1)),
+        room >= needed,
+        similar_titles("a", "b"),
+    ]
+    met = posted.alias("a").join(posted.alias("b"), on)
+    pair = lambda x, y: F.struct(F.col(f"{x}.title_norm").alias("title_norm"), F.col(f"{y}.title_norm").alias("other"))
+    both = met.select(*[F.col(f"a.{c}").alias(c) for c in BLOCK], F.explode(F.array(pair("a", "b"), pair("b", "a"))).alias("s"))
+    own = titles.select(*BLOCK, "title_norm", F.col("title_norm").alias("other"))
+    return both.select(*BLOCK, "s.title_norm", "s.other").unionByName(own)
+
 
-    sides = pairs.where(~same).select(*BLOCK, F.explode(F.array(side("a", "b"), side("b", "a"))).alias("s"))
+# Price cells are half as wide as the gap allowed: all prices of a cell are similar, and
+# of the cells that a price reaches only the two outermost are reached in part.
+_CELL = BUCKET_WIDTH / 2
+_UNPRICED, _ALL_PRICED = -1, -2  # cells of their own
+_TITLED = "*"  # the series of all titled offers; a title in normal form is never this alone
+_LAST = (1 << 63) - 1
+
+
+def _price_reach(price: Column) -> tuple[Column, Column]:
+    """Smallest and largest price similar to one (exact as long as doubles hold prices)."""
+
+    def near(guess: Column) -> Column:
+        around = F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: guess.cast("bigint") + k)
+        return F.filter(around, lambda q: (q > 0) & similar_prices(price, q))
+
+    ratio = F.lit(1 - fv.MAX_PRICE_GAP)
+    return (
+        F.least(price, F.array_min(near(F.ceil(price * ratio)))),
+        F.greatest(price, F.array_max(near(F.floor(price / ratio)))),
+    )
+
+
+def _cell(price: Column) -> Column:
+    return F.floor(F.ln(price.cast("double")) / F.lit(_CELL)).cast("bigint")
+
+
+def _points(classes: DataFrame) -> DataFrame:
+    """Prices of each series (a title, '' or all titled) by cell, once in rising and once in falling order."""
+    priced = F.col("price") > 0
+    first = F.struct(F.col("title_norm").alias("t"), F.col("price").alias("p"))
+    series = F.when(F.col("title_norm") != "", F.array("title_norm", F.lit(_TITLED))).otherwise(F.array("title_norm"))
+    rows = classes.select(
+        *BLOCK, F.explode(series).alias("series"), F.when(priced, _cell(F.col("price"))).otherwise(_UNPRICED).alias("cell"),
+        "price", "offers", first.alias("first"),
+    )
+    # equal prices of a series are one point, so a series of all titles has one a price
+    points = rows.groupBy(*BLOCK, "series", "cell", F.col("price").alias("v")).agg(
+        F.sum("offers").alias("n"), F.min("first").alias("first")
+    )
+    whole = rows.where(priced).groupBy(*BLOCK, "series").agg(F.sum("offers").alias("n"), F.min("first").alias("first"))
+    whole = whole.withColumns({"cell": F.lit(_ALL_PRICED).cast("bigint"), "v": F.lit(0).cast("bigint")})
+    once = points.unionByName(whole)
+    return once.withColumn("falling", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn(
+        "v", F.when(F.col("falling"), -F.col("v")).otherwise(F.col("v"))
+    )
+
+
+def _questions(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """What each signature asks of each series: cells, up to which price, in which order."""
+
+    def ask(falling: bool, cell: Column, bound: Column) -> Column:
+        return F.struct(F.lit(falling).alias("falling"), cell.cast("bigint").alias("cell"), bound.cast("bigint").alias("bound"))
+
+    named = links.select(*[F.col(c).alias(f"_{c}") for c in (*BLOCK, "title_norm")], F.col("other").alias("series"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*BLOCK, "title_norm")]
+    rows = classes.select(*BLOCK, *SIGNATURE).join(named, same).select(*BLOCK, *SIGNATURE, "series")
+    p, own = F.col("price"), F.col("series") == F.col("title_norm")
+    low, high = _price_reach(p)
+    rows = rows.withColumns({"_low": low, "_high": high})
+    here, first, last = _cell(p), _cell(F.col("_low")), _cell(F.col("_high"))
+    everything = F.lit(_LAST)
+    inner = F.filter(F.sequence(first, last), lambda k: (k != first) & (k != last) & (k != here))
+
+    def around(cell: Column) -> Column:
+        """Its own cell: all of it, or all but itself."""
+        but_own = F.array(ask(False, cell, p - 1), ask(True, cell, -p - 1))
+        return F.when(own, but_own).otherwise(F.array(ask(False, cell, everything)))
+
+    reach = F.concat(
+        F.transform(inner, lambda k: ask(False, k, everything)),
+        around(here),
+        F.when(first < here, F.array(ask(True, first, -F.col("_low")))).otherwise(F.array()),
+        F.when(last > here, F.array(ask(False, last, F.col("_high")))).otherwise(F.array()),
+        F.array(ask(False, F.lit(_UNPRICED), everything)),
+    )
+    no_price = F.concat(F.array(ask(False, F.lit(_ALL_PRICED), everything)), around(F.lit(_UNPRICED)))
+    asked = F.explode(F.when(p > 0, reach).otherwise(no_price)).alias("q")
+    return rows.select(*BLOCK, *SIGNATURE, "series", asked).select(*BLOCK, *SIGNATURE, "series", "q.*")
+
+
+def similar_counts(offers: DataFrame) -> DataFrame:
+    """For each signature: its offers, the offers it is a near-duplicate of, the first such signature.
+
+    Copies of the signature itself count as well; `first_title` and `first_price` are the
+    smallest other signature, NULL without one.
+
+    No pair of signatures is formed.  Similar *titles* of a block are found through their
+    rare words; the offers of a title (of none, of any) within a price range come from
+    running totals over price cells, which also answer for missing prices and titles.
+    """
+    classes = materialize(signature_classes(offers), "signature-classes")
+    titles = classes.where(F.col("title_norm") != "").select(*BLOCK, "title_norm", "words").distinct()
+    kinds = classes.select(*BLOCK, "title_norm").distinct()
+    blank = F.when(F.col("title_norm") == "", F.array(F.lit(""), F.lit(_TITLED))).otherwise(F.array(F.lit("")))
+    links = title_links(titles).unionByName(kinds.select(*BLOCK, "title_norm", F.explode(blank).alias("other")))
+    points = _points(classes).select(*BLOCK, "series", "falling", "cell", "v", "n", "first", F.lit(0).alias("asks"))
+    asked = _questions(classes, links).withColumns({"v": F.col("bound"), "asks": F.lit(1)}).drop("bound")
+    running = (
+        Window.partitionBy(*BLOCK, "series", "falling", "cell").orderBy("v", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    met = points.unionByName(asked, allowMissingColumns=True).withColumns(
+        {"n": F.sum("n").over(running), "first": F.min("first").over(running)}
+    )
     found = (
-        sides.select(*BLOCK, "s.*")
+        met.where((F.col("asks") == 1) & F.col("n").isNotNull())
         .groupBy(*BLOCK, *SIGNATURE)
-        .agg(F.sum("n").alias("n"), F.min("other").alias("first"))
+        .agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     )
-    own = signature_classes(offers).select(*BLOCK, *SIGNATURE, "offers").alias("o")
+    own = classes.select(*BLOCK, *SIGNATURE, "offers").alias("o")
     on = [F.col(f"o.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*BLOCK, *SIGNATURE)]
     return own.join(found.alias("f"), on, "left").select(
         *[F.col(f"o.{c}").alias(c) for c in (*BLOCK, *SIGNATURE)],

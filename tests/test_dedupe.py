@@ -102,6 +102,36 @@ def test_large_blocks_are_cut_at_price_gaps(spark):
     assert kept_ids(spark, rows, large_block=10) == replay(rows)
 
 
+@pytest.mark.parametrize("seed", [11, 12])
+def test_pieces_of_blocks_with_unpriced_and_untitled_offers(spark, seed):
+    rng = random.Random(seed)
+    names = [f"{a} {b} {c}" for a in ("red", "blue", "old") for b in ("rod", "plate") for c in "xyz"]
+    rows = [
+        offer(i, rng.choice(names + ["", "rod x"] * (seed - 11)), rng.choice([0, None, -3, 100, 104, 400, 412, 900, 5000, 5100]),
+              rng.randrange(5), str(rng.randrange(2)))
+        for i in range(500)
+    ]
+    assert kept_ids(spark, rows, large_block=10) == replay(rows)
+
+
+def test_one_part_with_a_third_of_all_rows(spark):
+    """Some of its offers have no price: they tie alike titles, not the whole part."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(3000):
+        part = "hot" if i % 3 == 0 else str(rng.randrange(100))
+        kind = rng.randrange(120)
+        title = f"name{kind} kind{kind} type{kind % 7}" + rng.choice(["", " new", " old"])
+        rows.append(offer(i, title, rng.choice([0, None]) if i % 30 == 0 else rng.choice([100, 102, 300, 900]) * 10, rng.randrange(5), part))
+    events = dedupe._with_bucket(
+        similarity.with_signature(frame(spark, rows)).withColumn("completeness", similarity.completeness_score())
+    )
+    pieces = dedupe._with_pieces(events, dedupe._large_blocks(events, 500))
+    hot = pieces.where("part_id = 'hot'").groupBy("piece").count().collect()
+    assert sum(r["count"] for r in hot) == 1000 and len(hot) > 100 and max(r["count"] for r in hot) < 40
+    assert kept_ids(spark, rows, large_block=500) == replay(rows)
+
+
 def test_ghost(spark):
     """A is replaced by C, which takes B out of the result; B still holds off E."""
     rows = [
