@@ -16,6 +16,7 @@ from marketlens.functions import fixed_values as fv
 from marketlens.functions.text import non_empty, or_empty
 from marketlens.functions.urls import numbered_urls
 from marketlens.operators.offers import export_price_toman
+from marketlens.session import materialize
 
 
 def _zero() -> Column:
@@ -40,45 +41,69 @@ def first_urls(df: DataFrame, keys: Sequence[str], url: Column, n: int) -> DataF
     )
 
 
+_DIGIT_BITS = 16
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Exact median of non-negative integers, truncated, as column `median`.
+    """Exact median of non-negative integers, truncated, as column `median`."""
+    valued = df.where(F.col(value).isNotNull())
+    return median_of_counts(valued.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), keys)
+
 
-    Selection by rank in two levels.  Values are counted per (group, value); a
-    histogram over ``value >> 16`` tells which slot holds the middle ranks; only
-    that slot, of at most 65,536 distinct values, is ordered.  The histogram of
-    a group has one entry per occupied slot, again 65,536 for values below 2^32.
+def median_of_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`median` of each group of (keys, _v, _n): values and how often they occur.
+
+    Radix selection, 16 bits at a time from the top.  At each level tasks count the
+    values of a group by their next digit, partial histograms are merged by key, and the
+    histogram, of at most 65,536 entries whatever the group, says which digit holds each
+    middle rank; only values that begin with it are counted at the next level.  No level
+    sorts a group or holds its values.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_slot", F.shiftright("_v", 16))
-    )
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    hist = (
-        counts.groupBy(*keys, "_slot")
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(upto))
-        .withColumn("_total", F.sum("_n").over(group))
-        .withColumn("_lo", F.expr("(_total + 1) div 2"))
-        .withColumn("_hi", F.expr("_total div 2 + 1"))
-        .where((F.col("_upto") >= F.col("_lo")) & (F.col("_upto") - F.col("_n") < F.col("_hi")))
-        .select(*keys, "_slot", (F.col("_upto") - F.col("_n")).alias("_before"), "_lo", "_hi")
+    counts = materialize(counts, "value-counts")
+    largest = counts.agg(F.max("_v")).first()[0] or 0
+    levels = max(1, -(-int(largest).bit_length() // _DIGIT_BITS))
+    total = F.sum("_n")
+    ranks = F.array(F.expr("(_total + 1) div 2"), F.expr("_total div 2 + 1"))
+    state = (
+        counts.groupBy(*keys).agg(total.alias("_total"))
+        .select(*keys, F.posexplode(ranks).alias("_middle", "_rank"))
+        .withColumn("_prefix", F.lit(0).cast("bigint"))
     )
-    inside = (
-        Window.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    middle = (
-        counts.join(hist, [*keys, "_slot"])
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
-        .where((F.col("_upto") >= F.col("_lo")) & (F.col("_upto") - F.col("_n") < F.col("_hi")))
-    )
-    return middle.groupBy(*keys).agg(
-        F.expr("min(_v) + (max(_v) - min(_v)) div 2").alias("median")
+    for level in reversed(range(levels)):
+        digits = counts.withColumn("_digit", F.shiftright("_v", _DIGIT_BITS * level))
+        if level == levels - 1:  # all values begin alike
+            histogram = digits.groupBy(*keys, "_digit").agg(total.alias("_n"))
+            met = histogram.join(state, list(keys))
+        else:
+            begun = digits.withColumn("_prefix", F.shiftright("_digit", _DIGIT_BITS))
+            met = begun.join(state, [*keys, "_prefix"]).groupBy(*keys, "_middle", "_rank", "_digit").agg(total.alias("_n"))
+        entries = F.array_sort(F.collect_list(F.struct("_digit", "_n")))
+        state = (
+            met.groupBy(*keys, "_middle", "_rank")
+            .agg(entries.alias("_entries"))
+            .select(*keys, "_middle", _slot_of_rank(F.col("_entries"), F.col("_rank")).alias("_s"))
+            .select(*keys, "_middle", F.col("_s.rank").alias("_rank"), F.col("_s.digit").alias("_prefix"))
+        )
+    return state.groupBy(*keys).agg(
+        F.expr("min(_prefix) + (max(_prefix) - min(_prefix)) div 2").alias("median")
     )
 
 
+def _slot_of_rank(entries: Column, rank: Column) -> Column:
+    """The digit that holds a rank, and the rank among values with that digit."""
+    start = F.struct(rank.cast("bigint").alias("rank"), F.lit(None).cast("bigint").alias("digit"))
+
+    def step(found: Column, entry: Column) -> Column:
+        here = found["digit"].isNull() & (found["rank"] <= entry["_n"])
+        passed = found["digit"].isNull() & ~here
+        return F.struct(
+            F.when(passed, found["rank"] - entry["_n"]).otherwise(found["rank"]).alias("rank"),
+            F.when(here, entry["_digit"]).otherwise(found["digit"]).alias("digit"),
+        )
+
+    return F.aggregate(entries, start, step)
+
+
 def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Values of the earliest row of each group."""
     first = F.min_by(F.struct(*values), F.struct(*order))
@@ -257,24 +282,27 @@ def part_summary(
         _seller(offers).alias("_seller"),
         _priced(offers, two_stage).alias("_price"),
         "product_url",
+        F.struct(
+            *order,
+            F.coalesce("part_key", F.lit(fv.UNKNOWN)).alias("_key"),
+            or_empty(F.col("part_name_norm")).alias("_name"),
+        ).alias("_offer"),
     )
-    per_seller = rows.groupBy("part_id", "_seller").agg(*_price_buffers("_price"))
-    stats = per_seller.groupBy("part_id").agg(
-        *_merged_buffers(), F.count(F.lit(1)).alias("seller_count")
-    )
-    named = first_of_group(
-        offers.select(
-            "part_id", *order,
-            F.coalesce("part_key", F.lit(fv.UNKNOWN)).alias("part_key"),
-            or_empty(F.col("part_name_norm")).alias("part_name_norm"),
-        ),
-        ["part_id"], order, ["part_key", "part_name_norm"],
+    # offers are read and shuffled once; all that follows reads this table
+    pieces = materialize(
+        rows.groupBy("part_id", "_seller", "_price", "product_url").agg(*_price_buffers("_price"), F.min("_offer").alias("_first")),
+        "part-pieces",
     )
-    found = first_urls(rows, ["part_id"], F.col("product_url"), n_urls or fv.SAMPLE_URLS[two_stage])
-    median = exact_median(rows.select("part_id", "_price"), ["part_id"], "_price")
+    first = F.min("_first").alias("_first")
+    per_seller = pieces.groupBy("part_id", "_seller").agg(*_merged_buffers(), first)
+    stats = per_seller.groupBy("part_id").agg(
+        *_merged_buffers(), F.count(F.lit(1)).alias("seller_count"), first
+    ).withColumns({"part_key": F.col("_first._key"), "part_name_norm": F.col("_first._name")})
+    found = first_urls(pieces, ["part_id"], F.col("product_url"), n_urls or fv.SAMPLE_URLS[two_stage])
+    prices = pieces.where(F.col("_price").isNotNull()).groupBy("part_id", F.col("_price").alias("_v"))
+    median = median_of_counts(prices.agg(F.sum("_n").alias("_n")), ["part_id"])
     out = (
-        stats.join(named, "part_id")
-        .join(median, "part_id", "left")
+        stats.join(median, "part_id", "left")
         .join(found, "part_id", "left")
         .select(
             *(["part_id"] if keep_part_id else []),
@@ -371,10 +399,18 @@ def single_stage_statistics(parts: DataFrame, found: DataFrame, kept: DataFrame)
 
 
 def export_counts(offers: DataFrame) -> DataFrame:
-    return offers.agg(
-        F.count(F.lit(1)).alias("raw_offers"),
-        F.count_distinct(F.coalesce("seller_name_norm", F.lit(fv.UNKNOWN_SELLER))).alias("sellers"),
-        F.count_distinct("part_id").alias("parts"),
+    """Offers, and how many sellers and parts they have.
+
+    Both distinct counts come from one table of (seller, part), so no row is expanded
+    once a distinct count, and a hot seller or part is spread by the other.
+    """
+    seller = F.coalesce("seller_name_norm", F.lit(fv.UNKNOWN_SELLER)).alias("_seller")
+    pairs = offers.groupBy(seller, "part_id").agg(F.count(F.lit(1)).alias("_n"))
+    parts = pairs.select("part_id").distinct().agg(F.count("part_id").alias("n"))
+    return (
+        pairs.groupBy("_seller").agg(F.sum("_n").alias("_n"))
+        .agg(F.coalesce(F.sum("_n"), _zero()).alias("raw_offers"), F.count(F.lit(1)).alias("sellers"))
+        .withColumn("parts", parts.scalar())
     )
 
 

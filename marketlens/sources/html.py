@@ -1,14 +1,18 @@
-"""Finding fields in page markup: a small helper for the Python workers.
+"""Finding fields in page markup in one pass: a small helper for the Python workers.
 
 Only structure is handled here (which element, whose text).  Cleaning, prices
 and currencies are Spark expressions applied to what comes out.
+
+No tree is built.  While a page is read, each open element that is watched knows the
+first element inside it for every selector; text is kept once, and an element's text
+is a stretch of it.  What an element gives is taken when it closes.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from collections import Counter
+from collections.abc import Sequence
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -16,96 +20,153 @@ SELF_CLOSING = frozenset("p li option dt dd tr td th".split())
 SELECTOR = re.compile(r"^([a-z0-9]*)(?:\.([\w-]+)|\[(\w+)\*=([^\]]+)\])?$", re.IGNORECASE)
 
 
-@lru_cache(maxsize=None)
-def parsed(selector: str) -> tuple[str, str | None, str | None, str | None]:
-    """Tag, class, attribute and part of its value; selectors are a fixed few."""
-    return SELECTOR.match(selector).groups()
+def matcher(*selectors: str):
+    """Test of (tag, attributes) against any of the selectors."""
+    parsed = [SELECTOR.match(s).groups() for s in selectors]
+
+    def matches(tag: str, attrs: dict) -> bool:
+        for wanted, cls, attr, part in parsed:
+            if wanted and tag != wanted:
+                continue
+            if cls:
+                if cls in (attrs.get("class") or "").split():
+                    return True
+            elif not attr or part in (attrs.get(attr) or ""):
+                return True
+        return False
+
+    return matches
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "parent", "items")
+class Found:
+    """An element that a selector found: attributes, its stretch of the text, the first link inside."""
 
-    def __init__(self, tag: str, attrs: dict, parent: "Node | None") -> None:
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.items: list[Node | str] = []
+    __slots__ = ("attrs", "begin", "end", "link")
 
-    def walk(self) -> Iterator["Node"]:
-        """Descendants in document order."""
-        stack = [i for i in reversed(self.items) if isinstance(i, Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += [i for i in reversed(node.items) if isinstance(i, Node)]
+    def __init__(self, attrs: dict, begin: int) -> None:
+        self.attrs, self.begin, self.end, self.link = attrs, begin, begin, None
 
-    def text(self) -> str:
-        out, stack = [], list(reversed(self.items))
-        while stack:
-            item = stack.pop()
-            if isinstance(item, Node):
-                stack += reversed(item.items)
-            else:
-                out.append(item)
-        return "".join(out)
 
-    def matches(self, selector: str) -> bool:
-        tag, cls, attr, part = parsed(selector)
-        if tag and self.tag != tag:
-            return False
-        if cls:
-            return cls in (self.attrs.get("class") or "").split()
-        return part in (self.attrs.get(attr) or "") if attr else True
+class Element:
+    """An open element; `first` holds, for each selector, the first element inside it."""
 
-    def all(self, *selectors: str) -> list["Node"]:
-        return [n for n in self.walk() if any(n.matches(s) for s in selectors)]
+    __slots__ = ("tag", "first", "recorded", "held")
 
-    def first(self, *selectors: str) -> "Node | None":
-        return next((n for n in self.walk() if any(n.matches(s) for s in selectors)), None)
+    def __init__(self, tag: str) -> None:
+        self.tag = tag
+        self.first: dict[int, Found] = {}
+        self.recorded: list[Found] = []
+        self.held: list = []
 
 
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
+class Watch(HTMLParser):
+    """Reads a page and calls `opened` and `closed` for its elements.
+
+    `selectors` are numbered tests.  Elements that `opened` says are watched collect, per
+    number, the first element inside them; an element inside them that is the first of
+    none is not kept.
+    """
+
+    def __init__(self, selectors: Sequence) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.here = Node("", {}, None)
+        self.selectors = list(selectors)
+        self.texts: list[str] = []
+        self.open = [Element("")]
+        self.watched = []
+        self.recording: list[Found] = []
+        self.tags: Counter = Counter()
+
+    def opened(self, element: Element, attrs: dict) -> bool:
+        raise NotImplementedError
+
+    def closed(self, element: Element) -> None:
+        raise NotImplementedError
+
+    def record(self, element: Element, attrs: dict) -> Found:
+        """Keeps where the element's text begins and ends."""
+        found = Found(attrs, len(self.texts))
+        element.recorded.append(found)
+        return found
+
+    def text(self, found: Found) -> str:
+        return "".join(self.texts[found.begin : found.end])
+
+    def first_text(self, element: Element, numbers: Sequence[int], accept) -> tuple[str, Found | None, bool]:
+        """Tries selectors in turn; the first element of each is looked at.
+
+        Returns the last text seen, its element, and whether it was accepted.
+        """
+        text, found = "", None
+        for number in numbers:
+            if number in element.first:
+                found = element.first[number]
+                text = self.text(found)
+                if text.strip() and accept(text):
+                    return text, found, True
+        return text, found, False
+
+    def read(self, source: str) -> None:
+        if self.opened(self.open[0], {}):
+            self.watched.append(self.open[0])
+        self.feed(source)
+        self.close()
+        while self.open:
+            self._end(self.open.pop())
+
+    # --- events ---
 
     def handle_starttag(self, tag, attrs):
-        if tag in SELF_CLOSING and self.here.tag == tag:
-            self.here = self.here.parent
-        node = Node(tag, dict(attrs), self.here)
-        self.here.items.append(node)
-        if tag not in VOID:
-            self.here = node
+        if tag in SELF_CLOSING and self.open[-1].tag == tag:
+            self._close()
+        element = self._begin(tag, dict(attrs))
+        if tag in VOID:
+            self._end(element)
+        else:
+            self.open.append(element)
+            self.tags[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        self.here.items.append(Node(tag, dict(attrs), self.here))
+        self._end(self._begin(tag, dict(attrs)))
 
     def handle_endtag(self, tag):
-        node = self.here
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.here = node.parent
+        while self.tags[tag]:
+            if self._close() == tag:
+                break
 
     def handle_data(self, data):
-        self.here.items.append(data)
-
-
-def parse(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    return builder.root
-
-
-def first_text(scope: Node, selectors: Sequence[str], accept) -> tuple[str, Node | None, bool]:
-    """Tries selectors in turn; the first element of each is looked at.
-
-    Returns the last text seen, its element, and whether it was accepted.
-    """
-    text, node = "", None
-    for selector in selectors:
-        found = scope.first(selector)
-        if found is not None:
-            text, node = found.text(), found
-            if text.strip() and accept(text):
-                return text, node, True
-    return text, node, False
+        self.texts.append(data)
+
+    def _begin(self, tag: str, attrs: dict) -> Element:
+        element = Element(tag)
+        if tag == "a":
+            for found in reversed(self.recording):
+                if found.link is not None:
+                    break  # so have those around it
+                found.link = attrs
+        kept = None
+        for number, matches in enumerate(self.selectors):
+            if not matches(tag, attrs):
+                continue
+            for around in reversed(self.watched):
+                if number in around.first:
+                    break  # so have those around it
+                kept = kept or self.record(element, attrs)
+                around.first[number] = kept
+        if self.opened(element, attrs):
+            self.watched.append(element)
+        self.recording += element.recorded
+        return element
+
+    def _close(self) -> str:
+        element = self.open.pop()
+        self.tags[element.tag] -= 1
+        self._end(element)
+        return element.tag
+
+    def _end(self, element: Element) -> None:
+        for found in element.recorded:
+            found.end = len(self.texts)
+        del self.recording[len(self.recording) - len(element.recorded) :]
+        if self.watched and self.watched[-1] is element:
+            self.watched.pop()
+        self.closed(element)

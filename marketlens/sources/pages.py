@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType
 
 from marketlens import schemas
 from marketlens.functions import fixed_values as fv, text, urls
+from marketlens.operators.columns import with_computed
 from marketlens.session import materialize, ship_package
 from marketlens.sources import html
 
@@ -33,16 +34,14 @@ def latest_pages(pages: DataFrame, stamp: str = "page_id") -> DataFrame:
 # --- embedded JSON (all native) ----------------------------------------------
 
 def with_products(pages: DataFrame) -> DataFrame:
-    """Adds `products`, the embedded product list, NULL or empty if there is none."""
+    """Adds `products`, the embedded product list, NULL or empty if there is none.
+
+    A page is searched and parsed once, whatever later filters ask of the list.
+    """
     marked = F.when(F.col("html").contains(fv.EMBEDDED_MARKER), F.col("html"))
     document = F.regexp_extract(marked, fv.EMBEDDED_JSON, 1)
-    return pages.withColumn(
-        "products",
-        F.from_json(
-            F.get_json_object(document, fv.EMBEDDED_PRODUCTS_PATH),
-            ArrayType(schemas.PRODUCT_JSON),
-        ),
-    )
+    listed = F.get_json_object(document, fv.EMBEDDED_PRODUCTS_PATH)
+    return with_computed(pages, "products", F.from_json(listed, ArrayType(schemas.PRODUCT_JSON)))
 
 
 def _has_products() -> Column:
@@ -87,34 +86,97 @@ def _looks_like_price(value: str) -> bool:
     return re.search(fv.LOOKS_LIKE_PRICE, value) is not None
 
 
-def _always(_: str) -> bool:
-    return True
-
-
-def _surroundings(around: html.Node) -> tuple:
-    """Price, seller and stock near a link: the same for all links of one parent."""
-    price, _, price_ok = html.first_text(around, fv.CARD_PRICE_SELECTORS, _looks_like_price)
-    seller, node, seller_ok = html.first_text(
-        around, fv.CARD_SELLER_SELECTORS, lambda t: not _looks_like_price(t)
-    )
-    seller_link = node.first("a") if seller_ok else None
-    stock = around.first(*fv.AVAILABILITY_SELECTORS)
-    return (
-        price,
-        price_ok,
-        seller if seller_ok else "",
-        (seller_link.attrs.get("href") or "") if seller_link is not None else "",
-        stock.text() if stock is not None else "",
-    )
-
-
-def _card(link: html.Node, seen: dict[int, tuple]) -> tuple:
-    """`seen`: surroundings of the page's parents so far."""
-    title, around = link.text(), link.parent or link
-    if id(around) not in seen:
-        seen[id(around)] = _surroundings(around)
-    shown = title if len(title.strip()) > fv.MIN_CARD_TITLE else ""
-    return (shown, *seen[id(around)], link.attrs.get("href") or "")
+def _numbered(selectors: list[str], numbers: dict[str, int]) -> list[int]:
+    return [numbers.setdefault(s, len(numbers)) for s in selectors]
+
+
+_CARD_NUMBERS: dict[str, int] = {}
+_CARD_PRICE = _numbered(fv.CARD_PRICE_SELECTORS, _CARD_NUMBERS)
+_CARD_SELLER = _numbered(fv.CARD_SELLER_SELECTORS, _CARD_NUMBERS)
+_CARD_TESTS = [html.matcher(s) for s in _CARD_NUMBERS] + [html.matcher(*fv.AVAILABILITY_SELECTORS)]
+_CARD_STOCK = len(_CARD_NUMBERS)
+_NO_RESULTS = html.matcher(*fv.NO_RESULTS_SELECTORS)
+
+
+class _Cards(html.Watch):
+    """Product links with what stands in their parent, taken when the parent closes."""
+
+    def __init__(self, link_part: str) -> None:
+        super().__init__(_CARD_TESTS)
+        self.is_link = html.matcher(f"a[href*={link_part}]")
+        self.links, self.empty = 0, False
+        self.found: list[tuple] = []
+
+    def opened(self, element: html.Element, attrs: dict) -> bool:
+        self.empty = self.empty or _NO_RESULTS(element.tag, attrs)
+        if self.is_link(element.tag, attrs):
+            self.open[-1].held.append((self.links, self.record(element, attrs)))
+            self.links += 1
+        return True
+
+    def closed(self, element: html.Element) -> None:
+        if not element.held:
+            return
+        price, _, price_ok = self.first_text(element, _CARD_PRICE, _looks_like_price)
+        seller, node, seller_ok = self.first_text(element, _CARD_SELLER, lambda t: not _looks_like_price(t))
+        seller_href = ((node.link or {}).get("href") or "") if seller_ok else ""
+        stock = element.first.get(_CARD_STOCK)
+        around = price, price_ok, seller if seller_ok else "", seller_href, self.text(stock) if stock else ""
+        for i, link in element.held:
+            title = self.text(link)
+            shown = title if len(title.strip()) > fv.MIN_CARD_TITLE else ""
+            self.found.append((i, shown, *around, link.attrs.get("href") or ""))
+
+
+def card_fields(source: str, link_part: str = fv.CARD_LINK_PART) -> list[tuple]:
+    """(number, title, price, price_ok, seller, seller_href, availability, href) of a page's links."""
+    cards = _Cards(link_part)
+    cards.read(source)
+    return [] if cards.empty else sorted(cards.found)
+
+
+_OFFER_NUMBERS: dict[str, int] = {}
+_OFFER_SELLER = _numbered(fv.OFFER_SELLER_SELECTORS, _OFFER_NUMBERS)
+_OFFER_PRICE = _numbered(fv.OFFER_PRICE_SELECTORS, _OFFER_NUMBERS)
+_OFFER_LINK = _numbered(fv.OFFER_LINK_SELECTORS, _OFFER_NUMBERS)
+_OFFER_TESTS = [html.matcher(s) for s in _OFFER_NUMBERS]
+_OFFER_KINDS = [html.matcher(s) for s in fv.OFFER_SELECTORS]
+
+
+class _Offers(html.Watch):
+    """Offer elements of the first kind that the page has, taken when they close."""
+
+    def __init__(self) -> None:
+        super().__init__(_OFFER_TESTS)
+        self.kind, self.seen = len(_OFFER_KINDS), 0
+        self.found: list[tuple] = []
+
+    def opened(self, element: html.Element, attrs: dict) -> bool:
+        kinds = [k for k, matches in enumerate(_OFFER_KINDS[: self.kind + 1]) if element.tag and matches(element.tag, attrs)]
+        if not kinds:
+            return False
+        if kinds[0] < self.kind:  # a better kind: what was found of others does not count
+            self.kind, self.found = kinds[0], []
+        element.held.append((kinds, self.seen))
+        self.seen += 1
+        return True
+
+    def closed(self, element: html.Element) -> None:
+        if not element.held or self.kind not in element.held[0][0]:
+            return
+        always = lambda _: True
+        seller, _, seller_ok = self.first_text(element, _OFFER_SELLER, always)
+        price, _, price_ok = self.first_text(element, _OFFER_PRICE, always)
+        targets = [(element.first[n].attrs.get("href") or "") if n in element.first else "" for n in _OFFER_LINK]
+        href = next((t for t in targets if any(word in t for word in fv.SELLER_LINK_WORDS)), "")
+        self.found.append((element.held[0][1], seller if seller_ok else "", price, price_ok, href))
+
+
+def offer_fields(source: str) -> list[tuple]:
+    """(number, seller, price, price_ok, href) of a page's offers."""
+    offers = _Offers()
+    offers.read(source)
+    return [(i, *o[1:]) for i, o in enumerate(sorted(offers.found))]
 
 
 def _find_cards(link_part: str):
@@ -123,36 +185,17 @@ def _find_cards(link_part: str):
         for pdf in batches:
             out = []
             for page_id, url, source in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                root, seen = html.parse(source or ""), {}
-                if root.first(*fv.NO_RESULTS_SELECTORS) is None:
-                    for i, link in enumerate(root.all(f"a[href*={link_part}]")):
-                        out.append((page_id, url, i, *_card(link, seen)))
+                for number, *fields in card_fields(source or "", link_part):
+                    out.append((page_id, url, number, *fields))
             yield pd.DataFrame(out, columns=columns)
 
     return run
 
 
-def _offer(card: html.Node) -> tuple:
-    seller, _, seller_ok = html.first_text(card, fv.OFFER_SELLER_SELECTORS, _always)
-    price, _, price_ok = html.first_text(card, fv.OFFER_PRICE_SELECTORS, _always)
-    href = ""
-    for selector in fv.OFFER_LINK_SELECTORS:
-        link = card.first(selector)
-        target = (link.attrs.get("href") or "") if link is not None else ""
-        if any(word in target for word in fv.SELLER_LINK_WORDS):
-            href = target
-            break
-    return seller if seller_ok else "", price, price_ok, href
-
-
 def _find_offers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in _RAW_OFFER.split(", ")]
     for pdf in batches:
-        out = []
-        for url, source in zip(pdf["url"], pdf["html"]):
-            root = html.parse(source or "")
-            cards = next((c for s in fv.OFFER_SELECTORS if (c := root.all(s))), [])
-            out += [(url, i, *_offer(card)) for i, card in enumerate(cards)]
+        out = [(url, *o) for url, source in zip(pdf["url"], pdf["html"]) for o in offer_fields(source or "")]
         yield pd.DataFrame(out, columns=columns)
 
 

@@ -60,6 +60,49 @@ def test_absent_and_empty_sellers_differ(spark):
     assert rows[""].validation_urls == fv.NO_URLS_TEXT
 
 
+def test_median_of_large_values_and_a_hot_part(spark):
+    """Values up to 2^62, a third of all rows in one part: no task sorts or holds a part."""
+    rng = random.Random(8)
+    rows = [("hot" if i % 3 == 0 else str(i % 40), rng.choice([rng.randrange(1 << 62), rng.randrange(50), 7])) for i in range(6000)]
+    rows += [("even", 1), ("even", 4), ("big", (1 << 62) - 1), ("big", 1 << 62), ("none", None), ("zero", 0)]
+    df = spark.createDataFrame(rows, "part_id string, v long")
+    found = summaries.exact_median(df, ["part_id"], "v")
+    want = {}
+    for p in {p for p, v in rows if v is not None}:
+        vs = sorted(v for q, v in rows if q == p and v is not None)
+        lo, hi = vs[(len(vs) + 1) // 2 - 1], vs[len(vs) // 2]
+        want[p] = lo + (hi - lo) // 2
+    assert {r.part_id: r.median for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert summaries.exact_median(df.limit(0), ["part_id"], "v").collect() == []
+
+
+def test_distinct_counts_expand_no_rows(spark):
+    df = spark.createDataFrame([("a", "1"), ("a", "2"), (None, "1"), ("b", None)], "seller_name_norm string, part_id string")
+    counts = summaries.export_counts(df)
+    assert [tuple(r) for r in counts.collect()] == [(4, 3, 2)]
+    assert [tuple(r) for r in summaries.export_counts(df.limit(0)).collect()] == [(0, 0, 0)]
+    assert "Expand" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_part_summary_reads_offers_once(spark):
+    rows = [(str(i % 3), i, f"s{i % 4}", i * 10, 0, f"u{i % 5}", f"k{i}", f"n{i}") for i in range(30)]
+    df = spark.createDataFrame(
+        rows, "part_id string, ord long, seller_name_norm string, price_toman long, price_missing int, product_url string, part_key string, part_name_norm string"
+    )
+    out = summaries.part_summary(df, ["ord"]).orderBy("part_id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" not in plan and "ExistingRDD" not in plan  # only the written pieces
+    got = out.collect()
+    assert [(r.part_key, r.part_name_norm, r.offers_count, r.seller_count) for r in got] == [
+        (f"k{p}", f"n{p}", 10, 4) for p in range(3)
+    ]
+    for r in got:
+        vs = [v[3] for v in rows if v[0] == r.part_id and v[3] > 0]
+        assert (r.median_price_toman, r.min_price_toman, r.max_price_toman) == (int(statistics.median(vs)), min(vs), max(vs))
+
+
 def test_outliers_need_three_priced_parts(spark):
     def flags(amps):
         df = spark.createDataFrame(
