@@ -60,7 +60,7 @@ def statistics(requests: DataFrame, snapshots: DataFrame, as_of: Column, ttl_hou
     An expired snapshot is dropped by the first request that meets it, so it
     counts once as expired; every request without a fresh one is a miss.
     """
-    known = latest(snapshots).select("cache_key", "cached_at")
+    known = latest(snapshots.select("cache_type", "cache_key", "cached_at")).select("cache_key", "cached_at")
     per_key = requests.groupBy("cache_key").agg(F.count(F.lit(1)).alias("_n"))
     hit = is_fresh(F.col("cached_at"), as_of, ttl_hours)
     counts = per_key.join(known, "cache_key", "left").agg(

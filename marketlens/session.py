@@ -29,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def _hadoop(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path in its terms."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
@@ -38,7 +39,7 @@ def run_dir(spark: SparkSession) -> str:
     """This application's own part of the shared folder; it goes when the application ends."""
     path = f"{shared_dir(spark).rstrip('/')}/marketlens-{spark.sparkContext.applicationId}"
     if path not in _marked:
-        system, where = _hadoop(spark, path)
+        system, where = file_system(spark, path)
         system.mkdirs(where)
         system.deleteOnExit(where)
         _marked.add(path)
@@ -48,7 +49,7 @@ def run_dir(spark: SparkSession) -> str:
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes what was written so far; results that were not read yet are lost."""
     path = run_dir(spark)
-    system, where = _hadoop(spark, path)
+    system, where = file_system(spark, path)
     system.delete(where, True)
     _marked.discard(path)
 

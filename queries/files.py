@@ -315,6 +315,23 @@ def _(t):
     return table.select("cache_key", "cached_at", F.element_at("data", 1)["price_raw"].alias("price"))
 
 
+@query(
+    "k01_snapshot_table_compacted",
+    f"SELECT cache_key, cached_at, CAST(floor(value) AS BIGINT) AS price FROM ({LATEST})",
+)
+def _(t):
+    """Three batches, the first two merged one after the other, the last read as it was added."""
+    path = scratch_path(t.spark, "snapshots")
+    docs = _documents(t)
+    third = F.pmod(F.xxhash64("query", "cached_at"), F.lit(3))
+    for batch in range(3):
+        snapshot_source.write_snapshots(docs.where(third == batch), path, c("cached_at"))
+        if batch < 2:
+            snapshot_source.compact_snapshots(t.spark, path, buckets=8)
+    table = snapshots.latest(snapshot_source.read_snapshot_table(t.spark, path))
+    return table.select("cache_key", "cached_at", F.element_at("data", 1)["price_raw"].alias("price"))
+
+
 @query(
     "q04_refresh_plan",
     f"""SELECT request_id, CASE WHEN cache_key IN (SELECT cache_key FROM ({FRESH})) THEN 'reuse' ELSE 'fetch' END

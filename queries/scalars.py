@@ -330,8 +330,8 @@ def _alternation(lexicon: dict) -> str:
     return d.q("|".join(p for group in lexicon.values() for p in group))
 
 
-# Cards of all parts with their request, filtered and scored.
-RELEVANT = f"""SELECT *, least(CAST(0.0 AS DOUBLE)
+# Cards of all parts with their request, scored; `accepted` says whether the filter lets them pass.
+SCORED = f"""SELECT *, least(CAST(0.0 AS DOUBLE)
       + CASE WHEN part_type <> 'UNKNOWN' THEN CAST(0.3 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
       + CASE WHEN car_model <> 'UNKNOWN' THEN CAST(0.2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
       + CASE WHEN side <> 'UNKNOWN' THEN CAST(0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
@@ -343,12 +343,12 @@ RELEVANT = f"""SELECT *, least(CAST(0.0 AS DOUBLE)
     coalesce(nullif(concat_ws(' ', {d.display('car_model', fv.CAR_MODEL_PATTERNS)},
         {d.display('part_type', fv.POSITIVE_PATTERNS)}, {d.known('side')},
         {d.display('"trim"', fv.TRIM_PATTERNS)}, {d.known('tech')}), ''), title_raw) AS part_name_norm
-    FROM (SELECT *, {_ATTRS}, {d.words('form')} AS tw, {d.words(d.form('query'))} AS qw
+    FROM (SELECT *, NOT regexp_matches(form, {_alternation(fv.NEGATIVE_PATTERNS)})
+        AND regexp_matches(form, {_alternation(fv.POSITIVE_PATTERNS)}) AS accepted, {_ATTRS}, {d.words('form')} AS tw, {d.words(d.form('query'))} AS qw
       FROM (SELECT c.* EXCLUDE (snapshot_ts), TIMESTAMP '{AS_OF}' AS snapshot_ts, part_ord, part_name, part_code,
                    keywords AS query, {d.form('title_raw')} AS form
-            FROM {{cards}} c JOIN {{parts}} p ON c.part_id = p.part_id)
-      WHERE NOT regexp_matches(form, {_alternation(fv.NEGATIVE_PATTERNS)})
-        AND regexp_matches(form, {_alternation(fv.POSITIVE_PATTERNS)}))"""
+            FROM {{cards}} c JOIN {{parts}} p ON c.part_id = p.part_id))"""
+RELEVANT = f"SELECT * EXCLUDE (accepted) FROM ({SCORED}) WHERE accepted"
 
 
 def scored_cards(t):
@@ -373,9 +373,8 @@ def _(t):
 
 @query(
     "c11_filter_and_score_row",
-    f"""SELECT c.part_id, c.card_ord, r.card_ord IS NOT NULL AS kept, coalesce(r.relevance, 0.0) AS relevance
-        FROM {{cards}} c JOIN {{parts}} p ON c.part_id = p.part_id
-        LEFT JOIN ({RELEVANT}) r ON r.part_id = c.part_id AND r.card_ord = c.card_ord""",
+    f"""SELECT part_id, card_ord, accepted AND relevance >= CAST(0.3 AS DOUBLE) AS kept,
+        CASE WHEN accepted THEN relevance ELSE 0.0 END AS relevance FROM ({SCORED})""",
 )
 def _(t):
     rows = offers.attach_request(t("cards"), t("parts"))

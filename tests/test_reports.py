@@ -8,10 +8,11 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from marketlens import schemas
 from marketlens.functions import fixed_values as fv
 from marketlens.operators import audit, offers, snapshots, summaries
 from marketlens.plans import audit as audit_job
-from marketlens.sources import pages, parts as parts_source, reports, snapshots as snapshot_source
+from marketlens.sources import commits, pages, parts as parts_source, reports, snapshots as snapshot_source
 
 
 
@@ -230,11 +231,76 @@ def test_snapshots(spark, tmp_path):
     assert [r.query for r in read.collect()] == ["q"] and [r.document for r in broken.collect()] == [doc[:-9]]
 
 
+def test_a_report_that_fails_leaves_the_one_before(spark, tmp_path):
+    df = _offers(spark)
+    path = str(tmp_path / "r")
+    reports.write_report({n: df for n in reports.REPORT_TABLES}, path)
+    broken = df.withColumn("product_url", F.expr("raise_error('lost')"))
+    with pytest.raises(Exception, match="lost"):
+        reports.write_report({"offers_raw": df.limit(1), "sellers_summary": df.limit(1), "part_summary": broken}, path)
+    assert [t.count() for t in reports.read_report(spark, path).values()] == [3, 3, 3]
+    earlier = reports.read_report(spark, path)
+    for _ in range(2):
+        assert earlier["offers_raw"].count() == 3  # the report before stays for its readers
+        reports.write_report({n: df.limit(2) for n in reports.REPORT_TABLES}, path, csv=True)
+    assert [t.count() for t in reports.read_report(spark, path).values()] == [2, 2, 2]
+    assert reports.read_report(spark, path)["offers_raw"].columns == df.columns
+    whole = [f for f in commits.folders(spark, path)]
+    assert len(whole) == 3  # the last two reports, and what the failed run left
+
+
+def test_snapshots_before_and_after_compaction(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    data = "array(named_struct('price_raw', cast({} as long))) AS data"
+
+    def write(day, keys, price):
+        rows = spark.range(*keys).selectExpr("'search' AS cache_type", "concat('q', id) AS query", data.format(price))
+        empty = spark.createDataFrame([], schemas.SNAPSHOT).select("cache_type", "query", "data")
+        shaped = rows.withColumn("data", F.col("data").cast("array<struct<price_raw:bigint>>"))
+        full = empty.unionByName(shaped.withColumn("data", F.from_json(F.to_json("data"), empty.schema["data"].dataType)))
+        return snapshot_source.write_snapshots(full, path, F.lit(f"2024-01-{day:02d} 00:00:00").cast("timestamp"))
+
+    def prices():
+        rows = snapshots.latest(snapshot_source.read_snapshot_table(spark, path)).collect()
+        return {r.query: r.data[0].price_raw for r in rows}
+
+    assert snapshot_source.read_snapshot_table(spark, path).count() == 0
+    assert snapshot_source.compact_snapshots(spark, path) == 0
+    write(1, (0, 40), 1)
+    write(2, (20, 60), 2)
+    want = {f"q{i}": 1 if i < 20 else 2 for i in range(60)}
+    assert prices() == want and snapshot_source.read_snapshot_table(spark, path).count() == 80
+    assert snapshot_source.compact_snapshots(spark, path, buckets=4) == 2
+    assert prices() == want and snapshot_source.read_snapshot_table(spark, path).count() == 60
+    before = commits.current(spark, path)[1]["buckets"]
+    write(3, (5, 6), 3)  # one key: one bucket is written again
+    assert prices() == want | {"q5": 3} and snapshot_source.read_snapshot_table(spark, path).count() == 61
+    late = write(1, (5, 6), 0)  # an older result that comes late changes nothing
+    assert snapshot_source.compact_snapshots(spark, path, buckets=99) == 2
+    after = commits.current(spark, path)[1]["buckets"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert prices() == want | {"q5": 3} and snapshot_source.read_snapshot_table(spark, path).count() == 60
+    write(4, (100, 101), 4)
+    assert snapshot_source.compact_snapshots(spark, path) == 1
+    assert late not in commits.folders(spark, f"{path}/delta")
+    assert prices() == want | {"q5": 3, "q100": 4}
+
+
+def test_two_commits_of_one_number(spark, tmp_path):
+    path = str(tmp_path)
+    assert commits.current(spark, path) == (0, None)
+    assert commits.commit(spark, path, 0, {"a": 1}) and not commits.commit(spark, path, 0, {"a": 2})
+    assert commits.current(spark, path) == (1, {"a": 1})
+    (tmp_path / "_commits" / "000000000002").write_text("")  # its writer was lost
+    assert commits.current(spark, path) == (2, {"a": 1})
+    assert commits.commit(spark, path, 2, {"a": 3}) and commits.current(spark, path) == (3, {"a": 3})
+
+
 def test_report_round_trip_and_audit(spark, tmp_path):
     df = _offers(spark)
     tables = {"offers_raw": df, "sellers_summary": df.limit(0), "part_summary": df}
     path = reports.write_report(tables, str(tmp_path / "r"))
-    assert spark.read.parquet(f"{path}/part_summary").count() == 3
+    assert reports.read_report(spark, path)["part_summary"].count() == 3
     reports.write_report(tables | {"sellers_summary": df}, path)
     reports.write_report(tables, path)
     assert reports.read_report(spark, path)["sellers_summary"].count() == 0
