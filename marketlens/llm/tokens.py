@@ -2,13 +2,14 @@
 
 Texts go to the tokenizer as pieces between blanks and line feeds, which is exact
 for tokenizers that drop white space: no token, normalisation or special string
-reaches across a blank.  A worker remembers the ids of pieces it has met, so most
-of a text is looked up instead of encoded.  The memory is bounded and never decides
-a result.
+reaches across a blank.  Whether one does is read from its file; others get whole
+texts.  A worker remembers the ids of pieces it has met, so most of a text is looked up
+instead of encoded.  The memory is bounded and never decides a result.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import types
@@ -17,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ from marketlens.session import materialize, ship_package
 
 SLICE_CHARS = 1 << 20  # longer texts are cut at a blank
 BATCH_BYTES = 1 << 20  # pieces that go to the tokenizer at a time
-MEMO_PIECES = 500_000  # pieces remembered by a worker before it starts anew
+MEMO_PIECES = 400_000  # pieces in the newer of a worker's two memories, which then becomes the older
 LONG_PIECE = 64  # longer pieces are not remembered
 TAIL = ".,;:!?"
 WORD_END = "</w>"  # how a vocabulary marks tokens that end a word
@@ -43,18 +46,55 @@ def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def _drops_white_space(tokenizer: dict) -> bool:
+    """Whether no token, normalisation or special string of a tokenizer file reaches across a blank.
+
+    So it is if white space is at most turned into blanks, and a first split keeps
+    matches without white space alone.
+    """
+    step = tokenizer.get("normalizer") or {}
+    steps = step.get("normalizers", [step] if step else [])
+    for step in steps:
+        blank = step["type"] == "Replace" and step["pattern"] == {"Regex": "\\s+"} and step["content"] == " "
+        if not blank and step["type"] not in ("NFC", "NFD", "Lowercase"):
+            return False
+    split = tokenizer.get("pre_tokenizer") or {}
+    split = split.get("pretokenizers", [split])[0]
+    if split.get("type") != "Split" or split["behavior"] != "Removed" or not split["invert"] or "Regex" not in split["pattern"]:
+        return False
+    matches = regex.findall(split["pattern"]["Regex"], _PROBE)
+    return not any(c.isspace() for m in matches for c in m) and not any(
+        c.isspace() for token in tokenizer["added_tokens"] for c in token["content"]
+    )
+
+
+_BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u2003\u2028\u3000"
+_PROBE = "".join(a + w + b for w in [*_BLANKS, "  ", " \n", "\r\n"] for a in ("ab", "7", "'s", "é", ".!", "日") for b in ("cd", "8", "'t", "-"))
+
+
 class PieceEncoder:
-    """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
+    """Ids of texts as bytes of little-endian unsigned integers, of 16 bits if all ids fit, else 32.
 
-    def __init__(self, path: str, white_space_dropped: bool = True) -> None:
+    `white_space_dropped` says whether texts may be cut at blanks; by default it is read
+    from the tokenizer file, and texts of other tokenizers are encoded whole.
+    """
+
+    def __init__(self, path: str, white_space_dropped: bool | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as lines:
+            described = json.load(lines)
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = white_space_dropped
+        self.split = _drops_white_space(described) if white_space_dropped is None else white_space_dropped
+        self.lower = "Lowercase" in json.dumps(described.get("normalizer"))
+        self.added = [t["content"].lower() for t in described["added_tokens"]]
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        largest = max(vocabulary.values(), default=0)
+        self.kind = np.dtype("<u2" if largest < 1 << 16 else "<u4")
+        self.ends_word = np.zeros(largest + 1, bool)
         self.ends_word[[i for w, i in vocabulary.items() if w.endswith(WORD_END)]] = True
 
     def _encode(self, pieces: list[str]) -> Iterator[bytes]:
@@ -65,41 +105,65 @@ class PieceEncoder:
             size += len(piece) + 8
             if size >= BATCH_BYTES or i + 1 == len(pieces):
                 for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False):
-                    yield np.array(e.ids, dtype="<u4").tobytes()
+                    yield np.array(e.ids, dtype=self.kind).tobytes()
                 batch, size = [], 0
 
     def _encode_words(self, words: list[str]) -> Iterator[bytes]:
-        """Lower-case Latin words, many in one text: each ends at a token that ends a word."""
+        """Latin words in the form the tokenizer gives them, many in one text: each ends at a token that ends a word."""
+        width = self.kind.itemsize
         for at in range(0, len(words), WORDS_A_TEXT):
             part = words[at : at + WORDS_A_TEXT]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.kind)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(part) or (len(ids) and ends[-1] != len(ids)):
                 yield from self._encode(part)
                 continue
             whole, last = ids.tobytes(), 0
-            for end in (4 * ends).tolist():
+            for end in (width * ends).tolist():
                 yield whole[last:end]
                 last = end
 
+    def _recall(self, pieces: set[str]) -> set[str]:
+        """Pieces that are not remembered; those of the older memory move to the newer."""
+        missing = pieces.difference(self.memo)
+        if missing and self.older:
+            older = self.older
+            found = {p: older[p] for p in missing if p in older}
+            self.memo.update(found)
+            missing = missing.difference(found)
+        return missing
+
     def _learn(self, pieces: set[str]) -> None:
         """A Latin word with punctuation behind it is the word and the punctuation."""
         memo, parts, words, others = self.memo, {}, set(), set()
         for piece in pieces:
             word = piece.rstrip(TAIL)
             if word.isalpha() and (word.isascii() or max(word) < "Ā"):
-                tail, word = piece[len(word) :], word.lower()
+                tail = piece[len(word) :]
+                word = word.lower() if self.lower else word
                 parts[piece] = (word, tail)
                 words.add(word)
                 others.add(tail)
             else:
                 others.add(piece)
-        words = [w for w in words if w not in memo]
-        others = [w for w in others if w not in memo]
+        words, others = list(self._recall(words)), list(self._recall(others))
         memo.update(zip(words, self._encode_words(words)))
         memo.update(zip(others, self._encode(others)))
         for piece, (word, tail) in parts.items():
             memo[piece] = memo[word] + memo[tail] if tail else memo[word]
+            if len(word) > LONG_PIECE:
+                self.passing.append(word)
+
+    def _folded(self, part: str) -> str:
+        """Lower case where the tokenizer lowers anyway, letter by letter, and no special string comes of it."""
+        if not self.lower:
+            return part
+        try:
+            part.encode("latin-1")
+        except UnicodeEncodeError:
+            return part
+        low = part.lower()
+        return part if any(a in low for a in self.added) else low
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         if not self.split:
@@ -108,21 +172,21 @@ class PieceEncoder:
         for text in texts:
             out = []
             for part in slices(text):
-                pieces = part.replace("\n", " ").split(" ")
-                unknown = set(pieces).difference(self.memo)
+                pieces = self._folded(part).replace("\n", " ").split(" ")
+                distinct = set(pieces)
+                if len(self.memo) + len(distinct) > MEMO_PIECES:
+                    self.older, self.memo = self.memo, {}
+                unknown = self._recall(distinct)
+                self.passing = [p for p in unknown if len(p) > LONG_PIECE]
                 if unknown:
-                    if len(self.memo) > MEMO_PIECES:
-                        self.memo.clear()
-                        unknown = set(pieces)
                     self._learn(unknown)
                 out.append(b"".join(map(self.memo.__getitem__, pieces)))
-                for p in unknown:
-                    if len(p) > LONG_PIECE:
-                        del self.memo[p]
+                for p in self.passing:
+                    self.memo.pop(p, None)
             yield b"".join(out)
 
 
-def encoder(path: str, white_space_dropped: bool) -> PieceEncoder:
+def encoder(path: str, white_space_dropped: bool | None) -> PieceEncoder:
     """One encoder for a worker process and tokenizer, kept from task to task."""
     kept = sys.modules.setdefault("_marketlens_encoders", types.ModuleType("_marketlens_encoders"))
     key = f"{path}|{white_space_dropped}"
@@ -133,21 +197,25 @@ def encoder(path: str, white_space_dropped: bool) -> PieceEncoder:
 
 def _small(batch: pa.RecordBatch, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about `limit` bytes of text at most."""
-    sizes = np.cumsum([len(t) for t in batch.column("text").to_pylist()]) if batch.num_rows else np.array([])
+    ends = np.cumsum(_byte_lengths(batch.column("text")))
     start = 0
     while start < batch.num_rows:
-        base = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, base + limit, "right")))
+        base = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield batch.slice(start, end - start)
         start = end
 
 
+def _byte_lengths(texts: pa.Array) -> np.ndarray:
+    return pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _input(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def count_tokens(
-    df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", white_space_dropped: bool = True
+    df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", white_space_dropped: bool | None = None
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens for every row; only lengths leave the workers.
 
@@ -168,11 +236,12 @@ def count_tokens(
         for whole in batches:
             for batch in _small(whole):
                 texts = batch.column("text").to_pylist()
-                counts = [len(b) // 4 for b in encode(texts)]
+                width = encode.kind.itemsize
+                counts = [len(b) // width for b in encode(texts)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
-                        pa.array([len(t.encode()) for t in texts], pa.int64()),
+                        pa.array(_byte_lengths(batch.column("text"))),
                         pa.array(counts, pa.int64()),
                     ],
                     names=["doc_id", "n_bytes", "n_tokens"],
@@ -188,7 +257,7 @@ def write_token_ids(
     end_id: int,
     id_col: str = "doc_id",
     text_col: str = "text",
-    white_space_dropped: bool = True,
+    white_space_dropped: bool | None = None,
 ) -> str:
     """Writes an ORC row (seq, doc_id, ids) for each document, in ascending order of id.
 
@@ -196,31 +265,52 @@ def write_token_ids(
     and each task writes its own files: integers are run-length encoded, every 10,000
     rows have an index entry, and a Bloom filter of doc_id lets a reader skip whole
     stripes.  seq rises through all files in order (partition << 33 | row).  Null ids
-    come first, a null text has only the end id, equal ids are in order of text.
+    come first, a null text has only the end id, equal ids are in order of the hash of
+    their texts.
     """
     ship_package()
-    schema = T.StructType(
-        [
-            T.StructField("doc_id", df.schema[id_col].dataType),
-            T.StructField("ids", T.ArrayType(T.IntegerType())),
-        ]
-    )
-    end = np.array([end_id], dtype="<u4").tobytes()
+    id_field = T.StructField("doc_id", df.schema[id_col].dataType)
+    order = T.StructField("text_hash", T.LongType())
+    packed = T.StructType([id_field, order, T.StructField("wide", T.BooleanType()), T.StructField("ids", T.BinaryType())])
+    unpacked = T.StructType([id_field, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    def run(batches):
+    def encode_texts(batches):
         encode = encoder(tokenizer_path, white_space_dropped)
+        wide = encode.kind.itemsize == 4 or end_id >= 1 << 16
+        end = np.array([end_id], "<u4" if wide else "<u2").tobytes()
         for whole in batches:
             for batch in _small(whole, 4 << 20):
-                rows = [b + end for b in encode(batch.column("text").to_pylist())]
-                offsets = np.concatenate(([0], np.cumsum([len(b) // 4 for b in rows]))).astype(np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
-
-    rows = _input(df, id_col, text_col)
-    spread = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+                rows = list(encode(batch.column("text").to_pylist()))
+                if wide and encode.kind.itemsize == 2:
+                    rows = [np.frombuffer(b, "<u2").astype("<u4").tobytes() for b in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"),
+                        batch.column("text_hash"),
+                        pa.array([wide] * len(rows), pa.bool_()),
+                        pa.array([b + end for b in rows], pa.binary()),
+                    ],
+                    names=packed.names,
+                )
+
+    def to_lists(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = np.dtype("<u4" if batch.column("wide")[0].as_py() else "<u2")
+            rows = batch.column("ids").to_pylist()
+            offsets = np.concatenate(([0], np.cumsum([len(b) // kind.itemsize for b in rows]))).astype(np.int32)
+            values = np.frombuffer(b"".join(rows), kind).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=unpacked.names)
+
+    # encoded where the texts lie; what is dealt out afterwards is a third of their size
+    rows = _input(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    encoded = materialize(rows.select("doc_id", "text_hash", "text").mapInArrow(encode_texts, packed), "packed-ids")
+    by = ["doc_id", "text_hash", "ids"]
+    spread = encoded.repartitionByRange("doc_id", "text_hash").sortWithinPartitions(*by)
     (
-        spread.mapInArrow(run, schema)
+        spread.mapInArrow(to_lists, unpacked)
         .select(F.monotonically_increasing_id().alias("seq"), "doc_id", "ids")
         .write.option("orc.compress", "ZSTD")
         .option("orc.stripe.size", str(32 << 20))

@@ -1,5 +1,6 @@
 """Token counts and files against the tokenizer itself."""
 
+import json
 import random
 import zlib
 
@@ -33,7 +34,7 @@ def test_pieces_are_exact():
     texts = [t for t in TEXTS if t is not None] + random_texts(3000, 1)
     plain = reference()
     for text, got in zip(texts, encode(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+        assert np.frombuffer(got, encode.kind).tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
 def test_slices_end_at_blanks():
@@ -49,7 +50,37 @@ def test_long_text_and_full_memory(monkeypatch):
     texts = [" ".join(random_texts(200, 3)), "one two"] * 2
     encode, plain = tokens.PieceEncoder(PATH), reference()
     for text, got in zip(texts, encode(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got, encode.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_long_pieces_are_not_remembered():
+    encode = tokens.PieceEncoder(PATH)
+    list(encode(["A" * 500 + " " + "b" * 500 + ", x"]))
+    assert max(map(len, encode.memo)) <= tokens.LONG_PIECE
+
+
+def test_special_strings_keep_their_case():
+    encode, plain = tokens.PieceEncoder(PATH), reference()
+    for text in ["<|ENDOFTEXT|> a", "<|endoftext|> A", "X<|EndOfText|>", "É<|startoftext|>ß"]:
+        assert np.frombuffer(next(encode([text])), encode.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    cased = public_tokenizers.path("byte_bpe_50k.json")
+    encode, plain = tokens.PieceEncoder(cased), Tokenizer.from_file(cased)
+    assert not encode.split and not encode.lower
+    assert tokens.PieceEncoder(PATH).split and tokens.PieceEncoder(PATH).lower
+    for text in ["Hello  World A b", "  two  blanks\n\n", "ÀB ß"]:
+        assert np.frombuffer(next(encode([text])), encode.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
+    described = json.loads(open(PATH, encoding="utf-8").read())
+    described["normalizer"]["normalizers"].pop()  # the same without lower case
+    path = str(tmp_path / "cased.json")
+    with open(path, "w", encoding="utf-8") as out:
+        json.dump(described, out)
+    encode, plain = tokens.PieceEncoder(path), Tokenizer.from_file(path)
+    assert encode.split and not encode.lower
+    for text in TEXTS[1:] + random_texts(300, 4):
+        assert np.frombuffer(next(encode([text])), encode.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_counts(spark):
