@@ -27,7 +27,7 @@ from marketlens.session import materialize, ship_package
 
 SLICE_CHARS = 1 << 20  # longer texts are cut at a blank
 BATCH_BYTES = 1 << 20  # pieces that go to the tokenizer at a time
-MEMO_PIECES = 400_000  # pieces in the newer of a worker's two memories, which then becomes the older
+MEMO_PIECES = 200_000  # pieces in the newer of a worker's two memories, which then becomes the older
 LONG_PIECE = 64  # longer pieces are not remembered
 TAIL = ".,;:!?"
 WORD_END = "</w>"  # how a vocabulary marks tokens that end a word
