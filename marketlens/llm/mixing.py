@@ -9,29 +9,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.session import materialize
 
-OTHER = "(other)"
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS_A_PLAN = 4
+CHECK_ROUNDS = 4
 
 
 @dataclass(frozen=True)
 class Targets:
-    """Target of a value: its token share to the power `exponents`, normalised.
+    """Target of a value: its token share to the power `exponents`, at most `boost` times the share, normalised.
 
-    An exponent of 1 keeps the marginal as it is, 0 makes it even.  `min_share`: values
-    with a smaller share of all tokens are one class, so a dimension has at most
-    1 / min_share + 1 classes and the table of cells is bounded, whatever the corpus.
-    `share`: share of all tokens that the sample is expected to hold.
+    An exponent of 1 keeps the marginal as it is, 0 makes it even.  Every value, however
+    rare, and null too, has a target of its own.  `share`: share of all tokens that the
+    sample is expected to hold; None: the most that takes no document twice.
     """
 
     exponents: tuple[float, float, float] = (0.5, 0.7, 0.7)
-    min_share: float = 0.005
-    share: float = 0.8
+    boost: float = 4.0
+    share: float | None = None
     tolerance: float = 1e-9
     max_rounds: int = 60
     seed: int = 42
@@ -54,58 +52,51 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[^ \\t\\n\\r]+")).cast("long")
 
 
-def _classes(cells: DataFrame, name: str, min_share: float) -> DataFrame:
-    """Values of a dimension that are a class of their own (fewer than 1 / min_share)."""
-    sums = cells.groupBy(name).agg(F.sum("tokens").alias("t"))
-    total = sums.agg(F.sum("t")).first()[0] or 0
-    return (
-        sums.filter(F.col(name).isNotNull() & (F.col("t") > 0) & (F.col("t") >= total * min_share))
-        .select(F.col(name).alias(f"known_{name}"), F.col(name).alias(f"class_{name}"))
-    )
-
+def _joined(df: DataFrame, other: DataFrame, names, how: str = "inner") -> DataFrame:
+    """Join on dimensions in which null equals null."""
+    named = other.select(*[F.col(n).alias(f"_{n}") if n in names else F.col(n) for n in other.columns])
+    return df.join(named, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names], how).drop(*[f"_{n}" for n in names])
 
-def _with_classes(df: DataFrame, classes: list[DataFrame]) -> DataFrame:
-    for name, known in zip(DIMENSIONS, classes):
-        df = df.join(F.broadcast(known), F.col(name) == F.col(f"known_{name}"), "left").drop(f"known_{name}")
-        df = df.withColumn(f"class_{name}", F.coalesce(f"class_{name}", F.lit(OTHER)))
-    return df
 
+def _total(df: DataFrame, value: Column) -> float:
+    """One number: the sum of a value over a table, 0 of an empty one."""
+    return float(df.agg(F.sum(value)).first()[0] or 0)
 
-def _over(name: str):
-    return Window.partitionBy(f"class_{name}").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
-
-def _over_all():
-    return Window.partitionBy("one").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def _goals(cells: DataFrame, name: str, power: float, boost: float) -> DataFrame:
+    """Target share of each value of a dimension."""
+    sums = materialize(cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("t")), f"shares-{name}")
+    own = F.col("t") / F.lit(_total(sums, F.col("t")))
+    raw = F.pow(own, F.lit(power))
+    low = F.least(raw / F.lit(_total(sums, raw)), own * F.lit(boost))
+    return sums.select(name, (low / F.lit(_total(sums, low))).alias(f"goal_{name}"))
 
 
 def rake(cells: DataFrame, targets: Targets) -> DataFrame:
-    """Cells (class_source, class_lang, class_topic, tokens) with their fitted weight.
+    """Cells (source, lang, topic, tokens) with their fitted weight `w`, whose marginals are the targets.
 
-    The table is bounded (see Targets), so one task fits it; every few rounds are
-    written, which keeps plans short and survives lost executors.
+    Cells stay a distributed table: each step sums the weights of a dimension's values
+    and joins the sums back, so a value with a third of all cells is no single task's.
+    Every round is written, which keeps plans short and survives lost executors.
     """
-    now = cells.filter("tokens > 0").withColumn("one", F.lit(1)).coalesce(1)
-    now = now.withColumn("total", F.sum("tokens").over(_over_all()))
+    some = cells.filter("tokens > 0")
+    now = some.withColumn("w", F.col("tokens") / F.lit(_total(some, F.col("tokens"))))
     for name, power in zip(DIMENSIONS, targets.exponents):
-        own = F.sum("tokens").over(_over(name))
-        now = now.withColumn(f"own_{name}", own).withColumn(
-            f"raw_{name}", F.pow(F.col(f"own_{name}") / F.col("total"), F.lit(power))
-        )
-        whole = F.sum(F.col(f"raw_{name}") * F.col("tokens") / F.col(f"own_{name}")).over(_over_all())
-        now = now.withColumn(f"goal_{name}", F.col(f"raw_{name}") / whole).drop(f"own_{name}", f"raw_{name}")
-    now = materialize(now.withColumn("w", F.col("tokens") / F.col("total")).drop("total"), "cells")
-    for _ in range(0, targets.max_rounds, ROUNDS_A_PLAN):
-        now = now.coalesce(1)
-        for _ in range(ROUNDS_A_PLAN):
-            for name in DIMENSIONS:
-                now = now.withColumn("w", F.col("w") * F.col(f"goal_{name}") / F.sum("w").over(_over(name)))
+        now = _joined(now, _goals(some, name, power, targets.boost), [name])
+    now = materialize(now, "cells")
+    for done in range(1, targets.max_rounds + 1):
+        for name in DIMENSIONS:
+            # the table is named twice here, so plans double with every step: a round is written
+            sums = now.groupBy(name).agg(F.sum("w").alias("_sum"))
+            now = _joined(now, sums, [name]).withColumn("w", F.col("w") * F.col(f"goal_{name}") / F.col("_sum")).drop("_sum")
         now = materialize(now, "raked")
-        off = now.coalesce(1)
-        gaps = [F.abs(F.sum("w").over(_over(n)) - F.col(f"goal_{n}")).alias(f"gap_{n}") for n in DIMENSIONS]
-        worst = off.select(*gaps).agg(F.max(F.greatest(*[f"gap_{n}" for n in DIMENSIONS])).alias("gap")).first()["gap"]
-        if worst is None or worst < targets.tolerance:
-            break
+        if done % CHECK_ROUNDS == 0:
+            off = [
+                now.groupBy(n).agg(F.abs(F.sum("w") - F.max(f"goal_{n}")).alias("gap")).select("gap") for n in DIMENSIONS[:2]
+            ]  # topics were fitted last
+            worst = off[0].union(off[1]).agg(F.max("gap")).first()[0]
+            if worst is None or worst < targets.tolerance:
+                break
     return now
 
 
@@ -115,28 +106,24 @@ def _uniform(id_col: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def probabilities(measured: DataFrame, targets: Targets = Targets()) -> tuple[list[DataFrame], DataFrame]:
-    """Classes of each dimension, and probability by classes, of rows with source, lang, topic, n_tokens.
+def probabilities(rows: DataFrame, targets: Targets = Targets()) -> DataFrame:
+    """source, lang, topic, probability of the cells of rows that have n_tokens.
 
-    Probabilities are in proportion to fitted over own weight, at the level at which the
-    sample holds its share of tokens.  No document is taken twice: a cell that would need
-    more than it has is taken whole.
+    Probabilities are in proportion to fitted over own weight and never cut, so the
+    sample's marginals are the targets in expectation.  The level is that at which the
+    largest is 1, or the sample holds the share of tokens that the targets name; then a
+    document is taken as often as the whole of its probability says, and once more by
+    the rest.
     """
-    cells = materialize(measured.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "raw-cells")
-    classes = [materialize(_classes(cells, name, targets.min_share), f"classes-{name}") for name in DIMENSIONS]
-    keys = [f"class_{n}" for n in DIMENSIONS]
-    merged = _with_classes(cells, classes).groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
-    fitted = rake(materialize(merged, "class-cells"), targets).coalesce(1)
-    fitted = fitted.withColumn("ratio", F.col("w") / F.col("tokens"))
-    order = Window.partitionBy("one").orderBy(F.desc("ratio"), *keys)
-    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    budget = F.sum("tokens").over(_over_all()) * targets.share
-    # sum of min(tokens, level * w) is the budget at the greatest of these
-    level = F.max("level").over(_over_all())
-    chance = F.least(F.lit(1.0), level * F.col("ratio"))
-    levels = fitted.withColumn("level", (budget - before) / rest)
-    return classes, materialize(levels.select(*keys, chance.alias("probability")), "probabilities")
+    cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "raw-cells")
+    total = _total(cells, F.col("tokens"))
+    fitted = rake(cells, targets).withColumn("ratio", F.col("w") / F.col("tokens"))
+    if targets.share is None:
+        level = 1 / (fitted.agg(F.max("ratio")).first()[0] or 1.0)
+    else:
+        level = targets.share * total
+    chances = fitted.select(*DIMENSIONS, (F.col("ratio") * F.lit(level)).alias("probability"))
+    return materialize(chances, "probabilities")
 
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,36 +138,36 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def _placed(rows: DataFrame, classes: list[DataFrame], chances: DataFrame) -> DataFrame:
-    """Rows with their probability; cells without tokens have that of certainty."""
-    keys = [f"class_{n}" for n in DIMENSIONS]
-    return _with_classes(rows, classes).join(F.broadcast(chances), keys, "left").withColumn(
-        "probability", F.coalesce("probability", F.lit(1.0))
-    )
+def _placed(rows: DataFrame, chances: DataFrame, seed: int) -> DataFrame:
+    """Rows with probability and copies; cells without tokens are taken whole, once."""
+    placed = _joined(rows, chances, DIMENSIONS, "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
+    sure = F.floor("probability")
+    more = _uniform("doc_id", seed) < F.col("probability") - sure
+    return placed.withColumn("copies", (sure + more.cast("long")).cast("int"))
 
 
 def mix(df: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, probability, kept for every row.
+    """doc_id, source, lang, topic, n_tokens, probability, copies, kept for every row.
 
-    Null sources and languages belong to the class of the rare ones.  A null text has
-    no tokens and stays like any other of its cell; cells without tokens stay whole.
-    Rows with one id share one fate.  An empty table gives no rows.
+    Null is a source or language like any other.  A null text has no tokens and stays
+    like any other of its cell; cells without tokens stay whole.  Rows with one id share
+    one fate.  An empty table gives no rows.
     """
     rows = materialize(measured(df, id_col, text_col), "measured")
-    classes, chances = probabilities(rows, targets)
-    placed = _placed(rows, classes, chances)
-    return placed.select(
-        "doc_id", "source", "lang", "topic", "n_tokens", "probability",
-        (_uniform("doc_id", targets.seed) < F.col("probability")).alias("kept"),
+    return _placed(rows, probabilities(rows, targets), targets.seed).select(
+        "doc_id", "source", "lang", "topic", "n_tokens", "probability", "copies", (F.col("copies") > 0).alias("kept")
     )
 
 
 def sample(df: DataFrame, targets: Targets = Targets(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of df that `mix` keeps, all columns as they are; texts are not shuffled."""
+    """Rows of df that `mix` keeps, as many times as it says, all columns as they are."""
     rows = materialize(measured(df, id_col, text_col), "measured")
-    classes, chances = probabilities(rows, targets)
-    row = F.struct("*")
+    chances = probabilities(rows, targets)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    thin = df.select(row.alias("row"), F.col(id_col).alias("doc_id"), "source", "lang", surface_topic(text).alias("topic"))
-    kept = _placed(thin, classes, chances).filter(_uniform("doc_id", targets.seed) < F.col("probability"))
-    return kept.select("row.*")
+    thin = df.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), "source", "lang", surface_topic(text).alias("topic")
+    )
+    kept = _placed(thin, chances, targets.seed).filter("copies > 0")
+    if targets.share is None:
+        return kept.select("row.*")
+    return kept.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")

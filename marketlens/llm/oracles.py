@@ -46,27 +46,23 @@ SELECT doc_id, licence, round(score, 6) AS score, unit FROM r WHERE n = 1
 def mixture(targets: mixing.Targets = mixing.Targets(), rounds: int = 24) -> str:
     dims = mixing.DIMENSIONS
     count = lambda pattern: f"len(regexp_extract_all(text, '{pattern}'))"
-    classes = ", ".join(
-        f"CASE WHEN {d} IS NOT NULL AND sum(tokens) OVER (PARTITION BY {d}) > 0 AND sum(tokens) OVER (PARTITION BY {d}) "
-        f">= sum(tokens) OVER () * {targets.min_share} THEN {d} ELSE '{mixing.OTHER}' END AS class_{d}"
-        for d in dims
+    steps = []
+    for d, power in zip(dims, targets.exponents):
+        steps.append(
+            f"""own_{d} AS (SELECT {d}, sum(tokens)::DOUBLE / (SELECT sum(tokens) FROM cells) AS own FROM cells GROUP BY {d}),
+            raw_{d} AS (SELECT {d}, least(pow(own, {power}) / (SELECT sum(pow(own, {power})) FROM own_{d}), own * {targets.boost}) AS raw FROM own_{d}),
+            goal_{d} AS (SELECT {d}, raw / (SELECT sum(raw) FROM raw_{d}) AS goal_{d} FROM raw_{d})"""
+        )
+    goals = " ".join(f"JOIN goal_{d} ON cells.{d} IS NOT DISTINCT FROM goal_{d}.{d}" for d in dims)
+    columns = ", ".join(f"goal_{d}" for d in dims)
+    steps.append(
+        f"start AS (SELECT cells.*, {columns}, tokens::DOUBLE / (SELECT sum(tokens) FROM cells) AS w FROM cells {goals})"
     )
-    keys = ", ".join(f"class_{d}" for d in dims)
-    raw = ", ".join(
-        f"pow(sum(tokens) OVER (PARTITION BY class_{d})::DOUBLE / sum(tokens) OVER (), {p}) AS raw_{d}, "
-        f"sum(tokens) OVER (PARTITION BY class_{d})::DOUBLE AS own_{d}"
-        for d, p in zip(dims, targets.exponents)
-    )
-    goals = ", ".join(f"raw_{d} / sum(raw_{d} * tokens / own_{d}) OVER () AS goal_{d}" for d in dims)
-    fitted = f"SELECT *, tokens::DOUBLE / sum(tokens) OVER () AS w, {goals} FROM raw"
-    steps = ["start AS (" + fitted + ")"]
     last = "start"
     for i in range(rounds):
         for d in dims:
             name = f"r{i}_{d}"
-            steps.append(
-                f"{name} AS (SELECT * REPLACE (w * goal_{d} / sum(w) OVER (PARTITION BY class_{d}) AS w) FROM {last})"
-            )
+            steps.append(f"{name} AS (SELECT * REPLACE (w * goal_{d} / sum(w) OVER (PARTITION BY {d}) AS w) FROM {last})")
             last = name
     return f"""
 WITH m AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
@@ -75,19 +71,13 @@ d AS (SELECT doc_id, source, lang, CASE
     WHEN {count('[#$%&*=<>{}|_]')} / greatest(length(text), 1)::DOUBLE >= 0.03 THEN 'symbols'
     WHEN length(text) < 600 THEN 'brief' ELSE 'prose' END AS topic,
     {count('[^ \\t\\n\\r]+')} AS n_tokens FROM m),
-cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
-named AS (SELECT source, lang, topic, tokens, {classes} FROM cells),
-classed AS (SELECT {keys}, sum(tokens) AS tokens FROM named GROUP BY ALL HAVING sum(tokens) > 0),
-raw AS (SELECT *, {raw} FROM classed),
+cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
 {', '.join(steps)},
-levels AS (SELECT *, w / tokens AS ratio, (sum(tokens) OVER () * {targets.share}
-    - coalesce(sum(tokens) OVER (ORDER BY w / tokens DESC, {keys} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(w) OVER (ORDER BY w / tokens DESC, {keys} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {last}),
-p AS (SELECT {keys}, least(1.0, max(level) OVER () * ratio) AS probability FROM levels)
+p AS (SELECT source, lang, topic, w / tokens / max(w / tokens) OVER () AS probability FROM {last})
 SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(coalesce(probability, 1.0), 6) AS probability,
-  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{targets.seed}'), 1, 13) AS BIGINT) / 4503599627370496.0
-    < coalesce(probability, 1.0) AS kept
-FROM d LEFT JOIN named n ON d.source IS NOT DISTINCT FROM n.source AND d.lang IS NOT DISTINCT FROM n.lang
-  AND d.topic IS NOT DISTINCT FROM n.topic
-LEFT JOIN p USING ({keys})
+  CASE WHEN coalesce(probability, 1.0) >= 1.0 THEN 1 WHEN
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{targets.seed}'), 1, 13) AS BIGINT) / 4503599627370496.0
+      < probability THEN 1 ELSE 0 END AS copies, copies = 1 AS kept
+FROM d LEFT JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang
+  AND d.topic IS NOT DISTINCT FROM p.topic
 """

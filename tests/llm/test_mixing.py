@@ -1,6 +1,8 @@
 """Raking against a plain loop."""
 
 import hashlib
+import math
+import random
 from collections import Counter
 
 import pytest
@@ -36,60 +38,76 @@ def plain(rows, targets):
     for d in docs:
         for k in range(3):
             sums[k][d[1 + k]] += d[4]
-    cls = lambda k, v: v if v is not None and sums[k][v] >= total * targets.min_share and sums[k][v] else mixing.OTHER
     cells = Counter()
     for d in docs:
-        cells[tuple(cls(k, d[1 + k]) for k in range(3))] += d[4]
+        cells[d[1:4]] += d[4]
     w = {c: t / total for c, t in cells.items() if t}
-    own = [Counter() for _ in range(3)]
-    for c, x in w.items():
-        for k in range(3):
-            own[k][c[k]] += x
-    raw = [{v: x ** targets.exponents[k] for v, x in own[k].items()} for k in range(3)]
-    goal = [{v: x / sum(raw[k].values()) for v, x in raw[k].items()} for k in range(3)]
+    goal = []
+    for k in range(3):
+        own = Counter()
+        for c, x in w.items():
+            own[c[k]] += x
+        raw = {v: x ** targets.exponents[k] for v, x in own.items()}
+        low = {v: min(x / sum(raw.values()), own[v] * targets.boost) for v, x in raw.items()}
+        goal.append({v: x / sum(low.values()) for v, x in low.items()})
     for _ in range(targets.max_rounds):
         for k in range(3):
             now = Counter()
             for c, x in w.items():
                 now[c[k]] += x
             w = {c: x * goal[k][c[k]] / now[c[k]] for c, x in w.items()}
-    ratio = {c: x / cells[c] for c, x in w.items()}
-    low, high = 0.0, 1e12
-    for _ in range(200):
-        level = (low + high) / 2
-        if sum(min(1, level * ratio[c]) * cells[c] for c in ratio) < targets.share * total:
-            low = level
-        else:
-            high = level
+    level = 1 / max(w[c] / cells[c] for c in w) if targets.share is None else targets.share * total
     out = []
     for d in docs:
-        c = tuple(cls(k, d[1 + k]) for k in range(3))
-        p = min(1.0, level * ratio[c]) if c in ratio else 1.0
+        c = d[1:4]
+        p = level * w[c] / cells[c] if c in w else 1.0
         u = int(hashlib.md5(f"{'' if d[0] is None else d[0]}:{targets.seed}".encode()).hexdigest()[:13], 16) / 2**52
-        out.append((str(d[0]), d[3], d[4], round(p, 6), u < p))
-    return sorted(out), goal, w
+        out.append((str(d[0]), d[3], d[4], round(p, 6), math.floor(p + 1e-12) + (u < p - math.floor(p + 1e-12))))
+    return sorted(out), goal
+
+
+def reached(rows):
+    """Expected share of every value of a dimension in the sample."""
+    out = []
+    for name in mixing.DIMENSIONS:
+        now = Counter()
+        for r in rows:
+            now[r[name]] += r.n_tokens * r.probability
+        out.append({v: x / sum(now.values()) for v, x in now.items() if x})
+    return out
 
 
-@pytest.mark.parametrize("share", [0.005, 0.05])
-def test_equals_plain_raking(spark, share):
-    targets = mixing.Targets(min_share=share)
+@pytest.mark.parametrize("options", [{}, {"boost": 1.5, "share": 0.9}])
+def test_equals_plain_raking(spark, options):
+    """Many cells are empty here, so rounds bring the marginals only near the targets."""
+    targets = mixing.Targets(max_rounds=6, **options)
     df = spark.createDataFrame(documents(), SCHEMA)
     got = mixing.mix(df.repartition(5), targets).collect()
-    want, _, _ = plain(documents(), targets)
-    assert sorted((str(r.doc_id), r.topic, r.n_tokens, round(r.probability, 6), r.kept) for r in got) == want
+    want, goal = plain(documents(), targets)
+    assert sorted((str(r.doc_id), r.topic, r.n_tokens, round(r.probability, 6), r.copies) for r in got) == want
+    assert "share" in options or max(r.probability for r in got) <= 1
+    for share, target in zip(reached(got), goal):
+        assert share.keys() == target.keys() and all(abs(share[v] - x) < 0.05 for v, x in target.items())
     kept = mixing.sample(df, targets)
     assert kept.columns == df.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(w[0] for w in want if w[4])
-
-
-def test_marginals_hold():
-    targets = mixing.Targets()
-    _, goal, w = plain(documents(), targets)
-    for k in range(3):
-        now = Counter()
-        for c, x in w.items():
-            now[c[k]] += x
-        assert all(abs(now[v] - x) < 1e-6 for v, x in goal[k].items())
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(w[0] for w in want for _ in range(w[4]))
+
+
+def test_a_thousand_sources_and_a_hot_one(spark):
+    """A third of all rows in one source, a thousand about equal ones, some very rare."""
+    rows, r = [], random.Random(5)
+    for i in range(12_000):
+        source = "hot" if i % 3 == 0 else f"rare{i}" if i % 1000 == 1 else f"https://site{r.randrange(1000)}"
+        text = "1 2 3 4 5 " * 20 if r.random() < 0.3 else "word " * r.randrange(90, 130)
+        rows.append((i, text, r.choice(["en", "en", "de"]), source, 1, "x", "y"))
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()
+    want, goal = plain(rows, mixing.Targets())
+    assert len(goal[0]) > 900
+    found = sorted((str(r.doc_id), r.topic, r.n_tokens, r.probability, r.copies) for r in got)
+    assert [f[:3] + f[4:] for f in found] == [w[:3] + w[4:] for w in want]
+    assert all(abs(f[3] - w[3]) < 2e-6 for f, w in zip(found, want))
+    for share, target in zip(reached(got), goal):
+        assert all(abs(share[v] - x) < 1e-6 for v, x in target.items())
 
 
 def test_empty(spark):
