@@ -6,7 +6,10 @@ Posting lists of single bytes would hold 1/256 of all rows each, so that tallies
 pair would grow with the square of the table.  The index therefore has one posting
 list for each set of five positional bytes: a pair that shares t bytes stands in
 C(t, 5) of them, so standing in any list *is* the count filter, and the rest fall out
-without being paired.  Pairs of a list are verified by their differing bits.
+without being paired.  Within a list the bytes that a pair shares are tallied and pairs with
+the guaranteed minimum are verified by their differing bits; in long lists members are
+looked up by the bits that may differ, all together, so a hot list takes time in
+proportion to its members.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from marketlens.session import materialize, ship_package
 SHINGLE = 3
 MAX_BITS = 3
 BLOCK_WORDS = 1 << 16
-PAIRWISE = 1024  # longer posting lists look neighbours up instead of comparing all
+PAIRWISE = 1024  # members of longer posting lists are looked up instead of compared
 BYTES = 8
 
 
@@ -53,42 +56,86 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
-def spanning_links(values: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Edges that connect what is connected by links of at most `max_bits` bits.
+def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Roots of all members after the members a are joined with the members b, and which pairs did it.
 
-    `values`: sorted distinct uint64.  A search from each unseen value: short lists are
-    compared, in long ones every value within reach is looked up by its bits.
+    The smallest member is the root; each pair that is named joins two trees.
     """
+    used, left = [], np.arange(len(a))
+    while True:
+        ra, rb = parent[a[left]], parent[b[left]]
+        left, ra, rb = left[ra != rb], ra[ra != rb], rb[ra != rb]
+        if not len(left):
+            return parent, np.concatenate(used) if used else left
+        high, one = np.unique(np.maximum(ra, rb), return_index=True)
+        parent[high] = np.minimum(ra, rb)[one]
+        used.append(left[one])
+        while True:
+            onward = parent[parent]
+            if (onward == parent).all():
+                break
+            parent = onward
+
+
+def _linked_pairwise(values: np.ndarray, max_bits: int) -> np.ndarray:
+    """Short lists: tally the bytes that a member shares with each unseen one, keep the least number, verify bits."""
     n = len(values)
     seen, edges = np.zeros(n, bool), []
-    flips = None
-    if n > PAIRWISE:
-        free = np.bitwise_or.reduce(values ^ values[0])
-        ones = [1 << b for b in range(64) if (int(free) >> b) & 1]
-        flips = [sum(c) for k in range(1, max_bits + 1) for c in combinations(ones, k)]
     for first in range(n):
         if seen[first]:
             continue
         seen[first] = True
-        front = np.array([first])
-        while len(front):
-            found = []
-            if flips is None:
-                for i in front:
-                    near = np.flatnonzero(~seen & (np.bitwise_count(values ^ values[i]) <= max_bits))
-                    seen[near] = True
-                    edges.append(np.stack([np.full(len(near), values[i]), values[near]], 1))
-                    found.append(near)
+        front = [first]
+        while front:
+            i = front.pop()
+            rest = np.flatnonzero(~seen)
+            differing = values[rest] ^ values[i]
+            shared = (differing.view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
+            rest, differing = rest[shared >= BYTES - max_bits], differing[shared >= BYTES - max_bits]
+            near = rest[np.bitwise_count(differing) <= max_bits]
+            seen[near] = True
+            edges.append(np.stack([np.full(len(near), values[i]), values[near]], 1))
+            front += near.tolist()
+    return np.concatenate(edges)
+
+
+def _linked_by_flips(values: np.ndarray, max_bits: int) -> np.ndarray:
+    """Long lists: all members are looked up together, once for each way to flip the bits in which they differ."""
+    n = len(values)
+    free = int(np.bitwise_or.reduce(values ^ values[0]))
+    ones = [b for b in range(64) if (free >> b) & 1]
+    places = None
+    if len(ones) <= 8 * MAX_BITS:  # three free bytes: a table of 2^24 places (64 MB at most)
+        short = np.zeros(n, np.uint32)
+        for k, b in enumerate(ones):
+            short |= ((values >> np.uint64(b)) & np.uint64(1)).astype(np.uint32) << np.uint32(k)
+        places = np.full(1 << len(ones), -1, np.int32)
+        places[short] = np.arange(n, dtype=np.int32)
+    parent, edges = np.arange(n), [np.zeros((0, 2), np.uint64)]
+    for count in range(1, max_bits + 1):
+        for bits in combinations(range(len(ones)), count):
+            if places is not None:
+                at = places[short ^ np.uint32(sum(1 << k for k in bits))]
+                here = np.flatnonzero(at > np.arange(n))
+                there = at[here]
             else:
-                for flip in flips:
-                    wanted = values[front] ^ np.uint64(flip)
-                    at = np.minimum(np.searchsorted(values, wanted), n - 1)
-                    near = at[(values[at] == wanted) & ~seen[at]]
-                    seen[near] = True
-                    edges.append(np.stack([values[near] ^ np.uint64(flip), values[near]], 1))
-                    found.append(near)
-            front = np.concatenate(found)
-    return np.concatenate(edges) if edges else np.zeros((0, 2), np.uint64)
+                wanted = values ^ np.uint64(sum(1 << ones[k] for k in bits))
+                at = np.minimum(np.searchsorted(values, wanted), n - 1)
+                here = np.flatnonzero((values[at] == wanted) & (at > np.arange(n)))
+                there = at[here]
+            parent, used = _merge(parent, here, there)
+            edges.append(np.stack([values[here[used]], values[there[used]]], 1))
+    return np.concatenate(edges)
+
+
+def spanning_links(values: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
+    """Edges that connect what is connected by links of at most `max_bits` bits.
+
+    `values`: sorted distinct uint64.  The two ways differ in speed alone.
+    """
+    if not len(values):
+        return np.zeros((0, 2), np.uint64)
+    return (_linked_pairwise if len(values) <= PAIRWISE else _linked_by_flips)(values, max_bits)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:

@@ -1,9 +1,11 @@
 """Fingerprints and their classes against plain loops."""
 
 import random
+import time
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -62,23 +64,45 @@ def test_hash_is_that_of_spark(spark):
     assert got % 2**64 == xxhash.xxh64_intdigest("a b ç".encode(), 42)
 
 
-def test_links_of_long_lists():
-    r = np.random.default_rng(0)
-    base = np.uint64(0xABCDEF0123000000)
-    values = np.unique(base | r.integers(0, 1 << 24, 3000).astype(np.uint64))
-    for size in (500, len(values)):
-        v = values[:size]
-        edges = simhash.spanning_links(v)
-        assert np.all(np.bitwise_count(edges[:, 0] ^ edges[:, 1]) <= 3) and len(edges) < len(v)
-        where = {int(x): i for i, x in enumerate(v)}
-        label = np.arange(len(v))
-        for _ in range(len(v)):
-            before = label.copy()
-            for a, b in edges.tolist():
-                label[where[a]] = label[where[b]] = min(label[where[a]], label[where[b]])
-            if np.array_equal(before, label):
-                break
-        assert label.tolist() == plain_classes(v.tolist()) if size <= 500 else True
+def labels(values, edges):
+    """Number of the smallest member that edges lead to, for each value."""
+    where, parent = {int(x): i for i, x in enumerate(values)}, list(range(len(values)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in edges.tolist():
+        x, y = root(where[a]), root(where[b])
+        parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(values))]
+
+
+@pytest.mark.parametrize("size", [1, 2, 500, 1024, 1025, 2500])
+@pytest.mark.parametrize("spread", [14, 24, 40])
+def test_links_equal_all_pairs(size, spread):
+    r = np.random.default_rng(size)
+    v = np.unique(np.uint64(0xABCDEF0123000000) ^ r.integers(0, 1 << spread, size).astype(np.uint64))
+    edges = simhash.spanning_links(v)
+    assert np.all(np.bitwise_count(edges[:, 0] ^ edges[:, 1]) <= 3) and len(edges) < len(v)
+    assert labels(v, edges) == plain_classes(v.tolist())
+
+
+def test_a_list_of_100_000_members():
+    """Random members of one list, and clusters: under a minute, and whole by a sample against all."""
+    r = np.random.default_rng(1)
+    some = r.integers(0, 1 << 24, 60_000)
+    near = some[:50_000] ^ (1 << r.integers(0, 24, 50_000)) ^ (1 << r.integers(0, 24, 50_000))
+    v = np.unique(np.uint64(0xABCDEF0123000000) | np.concatenate([some, near]).astype(np.uint64))
+    start = time.monotonic()
+    edges = simhash.spanning_links(v)
+    assert time.monotonic() - start < 60 and len(v) > 100_000 and len(edges) < len(v)
+    assert np.all(np.bitwise_count(edges[:, 0] ^ edges[:, 1]) <= 3)
+    label = np.array(labels(v, edges))
+    for i in r.integers(0, len(v), 400):
+        assert (label[np.bitwise_count(v ^ v[i]) <= 3] == label[i]).all()
 
 
 def test_classes(spark):
