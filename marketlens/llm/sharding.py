@@ -79,12 +79,23 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["h"])
 
 
-def ordered_number(name: str, kind: str) -> Column:
-    """A number in the order of the values (of their first seven bytes for texts)."""
-    if kind == "string":
-        first = F.substring(F.rpad(F.hex(F.encode(F.substring(name, 1, 7), "UTF-8")), 14, "0"), 1, 14)
-        return F.conv(first, 16, 10).cast("double")
-    return F.col(name).cast("double")
+def numbered(df: DataFrame, dimensions: list[str], names: list[str]) -> DataFrame:
+    """Adds a number for each dimension, in the order of its values; null for null.
+
+    Values of a text are numbered by their full order: the distinct ones are sorted over
+    all tasks and take the places they have there, so values that begin alike differ.
+    """
+    kinds = dict(df.dtypes)
+    for c, name in zip(dimensions, names):
+        if kinds[c] != "string":
+            df = df.withColumn(name, F.col(c).cast("double"))
+            continue
+        value = f"{name}_value"
+        values = df.select(F.col(c).alias(value)).filter(F.col(value).isNotNull()).distinct()
+        in_order = values.repartitionByRange(value).sortWithinPartitions(value)
+        places = materialize(in_order.select(value, F.monotonically_increasing_id().cast("double").alias(name)), "values-in-order")
+        df = df.join(places, F.col(c) == F.col(value), "left").drop(value)
+    return df
 
 
 def cell_of(number: Column, bounds: list[float]) -> Column:
@@ -95,14 +106,11 @@ def cell_of(number: Column, bounds: list[float]) -> Column:
     return F.when(number.isNull(), F.lit(0)).otherwise(below + 1)
 
 
-def curve_order(df: DataFrame, dimensions: list[str], bits: int = BITS) -> Column:
+def curve_order(df: DataFrame, numbers: list[str], bits: int = BITS) -> Column:
     """Curve index of each row; bounds are quantiles over all rows (2^bits - 2 a dimension)."""
-    numbers = {c: ordered_number(c, dict(df.dtypes)[c]) for c in dimensions}
     shares = [i / ((1 << bits) - 1) for i in range(1, (1 << bits) - 1)]
-    row = df.agg(*[F.percentile_approx(numbers[c], shares, 10_000).alias(f"q{i}") for i, c in enumerate(dimensions)]).first()
-    return hilbert_index(
-        [cell_of(numbers[c], sorted(set(row[f"q{i}"] or []))) for i, c in enumerate(dimensions)], bits
-    )
+    row = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(f"q{i}") for i, c in enumerate(numbers)]).first()
+    return hilbert_index([cell_of(F.col(c), sorted(set(row[f"q{i}"] or []))) for i, c in enumerate(numbers)], bits)
 
 
 def shard(
@@ -122,17 +130,18 @@ def shard(
     any other and copies of a text lie together.  Repeated rows get a slot each, null
     ids and null dimensions come first, an empty table gives no rows.
     """
-    kinds = dict(df.dtypes)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    numbers = [f"dim_{i}" for i in range(len(dimensions))]
     thin = df.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        *[ordered_number(c, kinds[c]).alias(f"dim_{i}") for i, c in enumerate(dimensions)],
+        *[F.col(c).alias(f"of_{i}") for i, c in enumerate(dimensions)],
     )
-    thin = materialize(thin, "shard-keys")
-    index = curve_order(thin, [f"dim_{i}" for i in range(len(dimensions))], bits)
-    keys = ["curve", "text_crc32", "doc_id"] + [f"dim_{i}" for i in range(len(dimensions))]
+    values = [f"of_{i}" for i in range(len(dimensions))]
+    thin = materialize(numbered(materialize(thin, "shard-values"), values, numbers).drop(*values), "shard-keys")
+    index = curve_order(thin, numbers, bits)
+    keys = ["curve", "text_crc32", "doc_id", *numbers]
     placed = materialize(
         thin.withColumn("curve", index)
         .repartitionByRange(*keys)
@@ -180,9 +189,12 @@ def write_shards(df: DataFrame, path: str, shards: int = 24, dimensions: tuple[s
 
     Gives the manifest: for each file the least and greatest value of every dimension.
     """
-    ordered = df.withColumn("_curve", curve_order(df, list(dimensions), bits)).repartitionByRange(
-        shards, "_curve", *dimensions, F.xxhash64(*df.columns)
+    own = "_curve" + "_" * max(map(len, df.columns), default=0)  # no column of df has this name
+    numbers = [f"{own}_{i}" for i in range(len(dimensions))]
+    known = materialize(numbered(df, list(dimensions), numbers), "shard-rows")
+    ordered = known.withColumn(own, curve_order(known, numbers, bits)).repartitionByRange(
+        shards, own, *dimensions, F.xxhash64(*df.columns)
     )
-    ordered.sortWithinPartitions("_curve", *dimensions).drop("_curve").write.parquet(path)
+    ordered.sortWithinPartitions(own, *dimensions).select(*df.columns).write.parquet(path)
     stats = [f(c).alias(f"{n}_{c}") for c in dimensions for n, f in (("least", F.min), ("most", F.max))]
     return df.sparkSession.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n_rows"), *stats)

@@ -105,15 +105,17 @@ def train(
 ) -> Model:
     """Model of the rows of `labels` (doc_id, toxic) that have a document.
 
-    At most `settings.max_rows` labels are taken, those of the smallest hash of the id,
-    so one task holds a bounded number of rows; fewer labels are all taken.  Null labels
-    and ids are left out, contradicting labels of an id count as toxic; without labels
-    every score is the one of an even prior.
+    At most `settings.max_rows` labels of documents are taken, those of the smallest hash
+    of the id, and one row an id (of repeated ids the text of the smallest hash), so one
+    task holds a bounded number of rows; fewer labels are all taken.  Null labels and ids
+    are left out, contradicting labels of an id count as toxic; without labels every
+    score is the one of an even prior.
     """
     ship_package()
     order = F.xxhash64(F.col("doc_id").cast("string"))
     known = (
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
+        .join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("long").alias("y"))
         .orderBy(order, "doc_id")
@@ -123,7 +125,8 @@ def train(
     rows = (
         docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .join(F.broadcast(known), F.col("_id") == F.col("_labelled"))
-        .select("o", "_id", "y", "text")
+        .groupBy("o", "_id", "y")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     )
     memo = WordHashes()
 
@@ -155,12 +158,14 @@ def scorer(spark, model: Model):
     """A column function: text to score in 0 to 1.  Null texts score as empty ones."""
     ship_package()
     shared = spark.sparkContext.broadcast((model.ids, model.weights, model.bias))
-    memo = WordHashes()
+    memo, held = WordHashes(), []
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
         ids, weights, bias = shared.value
-        dense = Model(ids, weights, bias).dense()
+        if not held:  # once a task
+            held.append(Model(ids, weights, bias).dense())
+        dense = held[0]
         sums = [bias + dense[features(t or "", memo)].sum() for t in texts]
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(sums, np.float64), -35, 35))))
 

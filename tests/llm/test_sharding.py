@@ -1,5 +1,6 @@
 """Curve and shards against plain versions."""
 
+import math
 import zlib
 from itertools import product
 
@@ -45,6 +46,56 @@ def test_counts_and_slots(spark, count):
     assert walk == sorted(walk)
 
 
+def plain_shards(rows, shards=24, bits=sharding.BITS):
+    """(doc_id, crc, shard, slot) by sorting all rows; cells from exact ranks, the curve from its tables."""
+    digits, states = sharding.curve_tables(3)
+
+    def numbers(k):
+        values = sorted({r[k] for r in rows if r[k] is not None})
+        return {v: float(i) for i, v in enumerate(values)}
+
+    columns = [(3, numbers(3)), (2, numbers(2)), (4, None)]
+    cells = []
+    for k, number in columns:
+        of = [None if r[k] is None else number[r[k]] if number else float(r[k]) for r in rows]
+        known = sorted(x for x in of if x is not None)
+        parts = (1 << bits) - 1
+        bounds = sorted({known[max(0, math.ceil(len(known) * i / parts) - 1)] for i in range(1, parts)}) if known else []
+        cells.append([0 if x is None else 1 + sum(b < x for b in bounds) for x in of])
+    out = []
+    for row, cell in zip(rows, zip(*cells)):
+        state, place = 0, 0
+        for level in range(bits - 1, -1, -1):
+            at = sum(((c >> level) & 1) << i for i, c in enumerate(cell))
+            state, place = states[state * 8 + at], place * 8 + digits[state * 8 + at]
+        crc = zlib.crc32((row[1] or "").encode())
+        out.append((place, crc, (row[0] is not None, row[0] or 0), row[3], row[0], crc))
+    out.sort(key=lambda o: o[:4])
+    small, more = divmod(len(rows), shards)
+    sizes = [small + (k < more) for k in range(shards)]
+    slots = [(k, i) for k, size in enumerate(sizes) for i in range(size)]
+    return sorted(((o[4] or 0, o[5], *slot) for o, slot in zip(out, slots)))
+
+
+def test_order_equals_plain_sort(spark):
+    got = sharding.shard(spark.createDataFrame(ROWS, SCHEMA).repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text_crc32, r.shard, r.slot) for r in got) == plain_shards(ROWS)
+
+
+def test_sources_that_begin_alike_have_cells_of_their_own(spark):
+    rows = [(i, "t", "en", f"https://site{i % 30:02d}.example", 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len({r.curve for r in sharding.shard(df).collect()}) > 10
+
+
+def test_written_shards_keep_all_columns(spark, tmp_path):
+    rows = [(i, "t", "en", f"s{i % 3}", i, i * 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _curve long")
+    sharding.write_shards(df, str(tmp_path / "shards"), 4)
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    assert written.columns == df.columns and sorted(map(tuple, written.collect())) == rows
+
+
 def test_written_shards_prune(spark, tmp_path):
     rows = [(i, "t", "en" if i % 2 else "de", f"s{i % 16:02d}", i) for i in range(4096)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

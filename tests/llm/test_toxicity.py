@@ -71,6 +71,17 @@ def test_held_out_accuracy(spark):
     assert len(model.ids) < 5000
 
 
+def test_repeated_ids_and_labels_without_documents_do_not_crowd_out_others(spark):
+    docs = [(1, "bad word")] * 500 + [(i, "good word" if i % 2 else "bad thing") for i in range(2, 40)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = [(i, 0 if i % 2 else 1) for i in range(2, 40)]
+    settings = toxicity.Settings(l1=0.1, max_rows=45)
+    plain = toxicity.train(docs.distinct(), spark.createDataFrame(rows + [(1, 1)], "doc_id long, toxic int"), settings)
+    crowd = rows + [(1, 1)] + [(i, 1) for i in range(1000, 3000)]  # none of these has a document
+    found = toxicity.train(docs, spark.createDataFrame(crowd, "doc_id long, toxic int"), settings)
+    assert found.ids.tolist() == plain.ids.tolist() and np.allclose(found.weights, plain.weights) and len(plain.ids)
+
+
 def test_odd_rows(spark):
     rows = [(1, "bad word", 1), (2, "good word", 0), (3, None, None), (3, "", None), (None, "bad", None), (1, "bad word", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
