@@ -27,7 +27,7 @@ from marketlens.session import materialize, ship_package
 
 SLICE_CHARS = 1 << 20  # longer texts are cut at a blank
 BATCH_BYTES = 1 << 20  # pieces that go to the tokenizer at a time
-MEMO_PIECES = 200_000  # pieces in the newer of a worker's two memories, which then becomes the older
+MEMO_PIECES = 250_000  # pieces in the newer of a worker's two memories, which then becomes the older
 LONG_PIECE = 64  # longer pieces are not remembered
 TAIL = ".,;:!?"
 WORD_END = "</w>"  # how a vocabulary marks tokens that end a word
@@ -269,48 +269,28 @@ def write_token_ids(
     their texts.
     """
     ship_package()
-    id_field = T.StructField("doc_id", df.schema[id_col].dataType)
-    order = T.StructField("text_hash", T.LongType())
-    packed = T.StructType([id_field, order, T.StructField("wide", T.BooleanType()), T.StructField("ids", T.BinaryType())])
-    unpacked = T.StructType([id_field, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType(
+        [T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    )
 
-    def encode_texts(batches):
+    def run(batches):
         encode = encoder(tokenizer_path, white_space_dropped)
-        wide = encode.kind.itemsize == 4 or end_id >= 1 << 16
-        end = np.array([end_id], "<u4" if wide else "<u2").tobytes()
         for whole in batches:
             for batch in _small(whole, 4 << 20):
-                rows = list(encode(batch.column("text").to_pylist()))
-                if wide and encode.kind.itemsize == 2:
-                    rows = [np.frombuffer(b, "<u2").astype("<u4").tobytes() for b in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        batch.column("text_hash"),
-                        pa.array([wide] * len(rows), pa.bool_()),
-                        pa.array([b + end for b in rows], pa.binary()),
-                    ],
-                    names=packed.names,
-                )
+                rows = [np.frombuffer(b, encode.kind) for b in encode(batch.column("text").to_pylist())]
+                # each row and the end id behind it
+                offsets = np.concatenate(([0], np.cumsum([len(r) + 1 for r in rows]))).astype(np.int32)
+                values = np.full(offsets[-1], end_id, np.int32)
+                inner = np.ones(len(values), bool)
+                inner[offsets[1:] - 1] = False
+                values[inner] = np.concatenate(rows) if rows else []
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=schema.names)
 
-    def to_lists(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kind = np.dtype("<u4" if batch.column("wide")[0].as_py() else "<u2")
-            rows = batch.column("ids").to_pylist()
-            offsets = np.concatenate(([0], np.cumsum([len(b) // kind.itemsize for b in rows]))).astype(np.int32)
-            values = np.frombuffer(b"".join(rows), kind).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=unpacked.names)
-
-    # encoded where the texts lie; what is dealt out afterwards is a third of their size
     rows = _input(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    encoded = materialize(rows.select("doc_id", "text_hash", "text").mapInArrow(encode_texts, packed), "packed-ids")
-    by = ["doc_id", "text_hash", "ids"]
-    spread = encoded.repartitionByRange("doc_id", "text_hash").sortWithinPartitions(*by)
+    spread = rows.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text")
     (
-        spread.mapInArrow(to_lists, unpacked)
+        spread.select("doc_id", "text").mapInArrow(run, schema)
         .select(F.monotonically_increasing_id().alias("seq"), "doc_id", "ids")
         .write.option("orc.compress", "ZSTD")
         .option("orc.stripe.size", str(32 << 20))
