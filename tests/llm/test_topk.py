@@ -7,23 +7,22 @@ from marketlens.llm import topk
 
 
 def plain(rows, k):
-    good = {}
+    good = []
     for i, v in rows:
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            good[(i, tuple(math.floor(1024 * x) for x in v))] = None
-    out = {}
-    for q, qv in good:
+            good.append((i, tuple(math.floor(1024 * x) for x in v)))
+    out = []
+    for at, (q, qv) in enumerate(good):
         if q % 10:
             continue
-        scored = [(-sum(a * b for a, b in zip(qv, v)), i) for i, v in good if i != q and len(v) == len(qv)]
-        out.setdefault(q, []).extend(sorted(scored)[:k])
-    return {(q, n + 1): (i, -s) for q, all_ in out.items() for n, (s, i) in enumerate(sorted(all_)[:k])}
+        scored = [(-sum(a * b for a, b in zip(qv, v)), i) for n, (i, v) in enumerate(good) if n != at and len(v) == len(qv)]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
 
 
 def search(spark, rows, k=5):
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
-    found = topk.exact_top_k(df.repartition(4), df.filter("vec_id % 10 = 0"), k=k)
-    return {(r.query_id, r.rank): (r.vec_id, r.score) for r in found.collect()}
+    return sorted(map(tuple, topk.exact_top_k(df.repartition(4), df.filter("vec_id % 10 = 0"), k=k).collect()))
 
 
 def vectors(n, dim, seed, step=64):
@@ -34,7 +33,7 @@ def vectors(n, dim, seed, step=64):
 def test_equals_plain_search(spark, monkeypatch):
     rows = vectors(300, 8, 1)
     rows += [(1000 + i, rows[0][1]) for i in range(12)]  # ties
-    rows += [rows[5], (2000, None), (2010, []), (2020, [float("nan")] * 8), (2030, [None] * 8), (None, rows[1][1])]
+    rows += [rows[5], rows[20], rows[20], (20, rows[7][1]), (2000, None), (2010, []), (2020, [float("nan")] * 8), (2030, [None] * 8), (None, rows[1][1])]
     rows += [(3000 + i, [0.5 * i, 0.25]) for i in range(15)] + [(4000, [0.0] * 8), (4010, [float("inf")] * 8)]
     assert search(spark, rows) == plain(rows, 5)
     for name, value in (("SEEDS", 20), ("CHUNK", 16), ("STEP", 3), ("QUERY_BYTES", 4000)):
@@ -44,7 +43,7 @@ def test_equals_plain_search(spark, monkeypatch):
 
 def test_few_and_none(spark):
     assert search(spark, vectors(3, 4, 2)) == plain(vectors(3, 4, 2), 5)
-    assert search(spark, []) == {}
+    assert search(spark, []) == []
 
 
 def test_bounds_save_work():
@@ -59,6 +58,6 @@ def test_bounds_save_work():
     lower = np.abs(d - q_d).max(1)
     true = np.sqrt(((x - q) ** 2).sum(1))
     assert np.all(lower <= true + 1e-6)
-    ids, scores = topk.search_chunk(-1, q, q_d, -np.inf, np.arange(4000), x, d, 10)
+    ids, scores = topk.search_chunk(-1, q, q_d, -np.inf, np.arange(4000), np.arange(4000), x, d, 10)
     order = np.lexsort((np.arange(4000), -(x @ q)))[:10]
     assert ids.tolist() == order.tolist() and scores.tolist() == (x @ q)[order].tolist()
