@@ -12,7 +12,8 @@ words of its last sentence (the answer) decide.  Beside that, a run of RUN words
 word for word, is a leak wherever it stands in the item; runs are looked up by hash in
 every text, without the latent space.
 
-All text is read once; every later pass reads 16-bit word numbers.
+A block of items reads all text once; its later passes read word numbers of 16 bits (32
+for a block whose vocabulary needs them).
 """
 
 from __future__ import annotations
@@ -23,15 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
 
 from marketlens.session import materialize, ship_package
 
 WORD = re.compile(r"\w+")
-NONE = 0xFFFF  # a word that no item of the block has
+NONE = -1  # a word that no item of the block has
 PASSAGE = 32
 ITEMS_A_BLOCK = 224
+PIECE_ROWS, PIECE_BYTES = 2000, 4 << 20  # of texts worked on at a time
 WORDS_A_BLOCK = 60_000
 DIRECTIONS, OVERSAMPLE = 24, 8
 COMMON = 0.02  # words in more passages than this weigh nothing
@@ -63,6 +66,30 @@ class Items:
     answers: list[np.ndarray]
     vocabulary: dict[str, int]
 
+    @property
+    def kind(self) -> str:
+        """Integers in which words are kept; the greatest stands for none."""
+        return "<u2" if len(self.vocabulary) < 0xFFFF else "<u4"
+
+
+def numbers_of(kept: bytes, kind: str) -> np.ndarray:
+    """Word numbers of a text, NONE where no item has the word."""
+    words = np.frombuffer(kept, kind)
+    numbers = words.astype(np.int64)
+    numbers[words == np.iinfo(kind).max] = NONE
+    return numbers
+
+
+def _pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES):
+    """Runs of rows of about `limit` bytes of words at most."""
+    ends = np.cumsum(pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        end = min(max(start + 1, int(np.searchsorted(ends, base + limit, "right"))), start + PIECE_ROWS)
+        yield batch.slice(start, end - start)
+        start = end
+
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
@@ -99,8 +126,9 @@ def _items(block, vocabulary) -> Items:
 
 
 def encoded(df: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_hash, words: every word of every text as a 16-bit number."""
+    """doc_id, text_hash, words: every word of every text as a number of 16 or 32 bits."""
     ship_package()
+    kind, none = items.kind, np.iinfo(items.kind).max
     vocabulary = df.sparkSession.sparkContext.broadcast(items.vocabulary)
     schema = T.StructType(
         [
@@ -112,7 +140,7 @@ def encoded(df: DataFrame, items: Items, id_col: str, text_col: str) -> DataFram
 
     class Numbers(dict):
         def __missing__(self, word):
-            return NONE
+            return none
 
     def run(batches):
         known = Numbers(vocabulary.value)
@@ -120,7 +148,7 @@ def encoded(df: DataFrame, items: Items, id_col: str, text_col: str) -> DataFram
             out = []
             for t in batch.column("text"):
                 words = WORD.findall(t.as_py().lower())
-                out.append(np.fromiter(map(known.__getitem__, words), np.uint16, len(words)).tobytes())
+                out.append(np.fromiter(map(known.__getitem__, words), kind, len(words)).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(out, pa.binary())],
                 names=["doc_id", "text_hash", "words"],
@@ -131,20 +159,20 @@ def encoded(df: DataFrame, items: Items, id_col: str, text_col: str) -> DataFram
     return rows.mapInArrow(run, schema)
 
 
-def passages(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def passages(column, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Passages of a batch: document of each, and (passage, word, times) where words are known."""
-    texts = [np.frombuffer(b.as_py(), np.uint16) for b in column]
+    texts = [numbers_of(b.as_py(), kind) for b in column]
     lengths = np.array([len(t) for t in texts], np.int64)
     blocks = -(-lengths // PASSAGE)
     first = np.r_[0, np.cumsum(blocks)]
     document = np.repeat(np.arange(len(texts)), blocks)
-    words = np.concatenate(texts) if texts else np.zeros(0, np.uint16)
+    words = np.concatenate(texts) if texts else np.zeros(0, np.int64)
     at = np.flatnonzero(words != NONE)
     ends = np.cumsum(lengths)
     owner = np.searchsorted(ends, at, "right")
     passage = first[owner] + (at - (ends - lengths)[owner]) // PASSAGE
-    keys, times = np.unique((passage << 16) | words[at], return_counts=True)
-    return document, keys >> 16, keys & 0xFFFF, times
+    keys, times = np.unique((passage << 32) | words[at], return_counts=True)
+    return document, keys >> 32, keys & 0xFFFFFFFF, times
 
 
 def _summed(frames: DataFrame, width: int) -> np.ndarray:
@@ -156,14 +184,14 @@ def _summed(frames: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def _matrix_pass(words: DataFrame, size: int, width: int, add) -> np.ndarray:
+def _matrix_pass(words: DataFrame, kind: str, size: int, width: int, add) -> np.ndarray:
     """`add(total, passages...)` over all batches of every task, summed by Spark."""
 
     def run(batches):
         total = np.zeros((size, width))
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                add(total, *passages(batch.column("words").slice(at, 2000)))
+            for part in _pieces(batch):
+                add(total, *passages(part.column("words"), kind))
         rows = np.flatnonzero(total.any(1))
         values = pa.FixedSizeListArray.from_arrays(pa.array(total[rows].ravel()), width).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), values], names=["row", "values"])
@@ -180,7 +208,7 @@ def idf_weights(words: DataFrame, items: Items) -> np.ndarray:
         total[:size, 0] += np.bincount(word, minlength=size)
         total[size, 0] += len(document)
 
-    counts = _matrix_pass(words, size + 1, 1, add)[:, 0]
+    counts = _matrix_pass(words, items.kind, size + 1, 1, add)[:, 0]
     n, df = counts[size] + len(items.ids), counts[:size] + 1
     idf = np.log1p(n / df)
     common = df > COMMON * n
@@ -246,7 +274,7 @@ def latent_space(words: DataFrame, items: Items, idf: np.ndarray, seed: int = 42
         first = np.flatnonzero(np.r_[True, np.diff(word[order]) != 0])
         total[word[order][first]] += np.add.reduceat(part[order], first, 0)
 
-    basis = beside(_matrix_pass(words, size, width, power))
+    basis = beside(_matrix_pass(words, items.kind, size, width, power))
     rank = basis.shape[1]
     if not rank:
         return span
@@ -259,7 +287,7 @@ def latent_space(words: DataFrame, items: Items, idf: np.ndarray, seed: int = 42
             y = _project(word, value, starts, b)
             total += y.T @ y
 
-    eigen = np.linalg.eigh(_matrix_pass(words, rank, rank, gram))
+    eigen = np.linalg.eigh(_matrix_pass(words, items.kind, rank, rank, gram))
     main = basis @ eigen[1][:, ::-1][:, :DIRECTIONS]
     return np.concatenate([span, main], 1)
 
@@ -363,7 +391,7 @@ def leaks_in_block(words: DataFrame, items: Items, id_type, rule: Rule) -> DataF
     latent = (item_matrix(items, idf) @ basis).astype(np.float32)
     norms = np.linalg.norm(latent, axis=1)
     latent = latent / np.maximum(norms, 1e-12)[:, None]
-    context = words.sparkSession.sparkContext
+    context, kind = words.sparkSession.sparkContext, items.kind
     shared = context.broadcast((idf, basis, latent, items.words, items.answers, items.ids))
     by_word = context.broadcast(_lists(items, idf))
     by_run = context.broadcast(_item_runs(items))
@@ -383,7 +411,7 @@ def leaks_in_block(words: DataFrame, items: Items, id_type, rule: Rule) -> DataF
         """(document, first passage within it, item, cosine) of windows near an item or with a run of it."""
         weight, b, unit, *_ = shared.value
         starts_of, items_of, shares_of, needed = by_word.value
-        document, passage, word, times = passages(column)
+        document, passage, word, times = passages(column, kind)
         passage, word, value, starts = _rows(passage, word, times, weight)
         # a passage counts for the window that it begins and for the one before
         held = starts_of[word + 1] - starts_of[word]
@@ -416,17 +444,16 @@ def leaks_in_block(words: DataFrame, items: Items, id_type, rule: Rule) -> DataF
         content = weight > 0
         least = min(rule.alike, rule.paraphrase)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in _pieces(batch):
                 found: dict[tuple[int, int], tuple] = {}
                 texts: dict[int, np.ndarray] = {}
                 runs: dict[tuple[int, int], int] = {}
                 for d, b in enumerate(part.column("words")):
-                    text = np.frombuffer(b.as_py(), np.uint16)
+                    text = numbers_of(b.as_py(), kind)
                     runs |= {(d, i): where for i, where in _runs_in(text, by_run.value, item_words).items()}
                 for d, p, i, c in zip(*(x.tolist() for x in candidates(part.column("words"), runs))):
                     if d not in texts:
-                        texts[d] = np.frombuffer(part.column("words")[d].as_py(), np.uint16)
+                        texts[d] = numbers_of(part.column("words")[d].as_py(), kind)
                     share, inside, where = _aligned(
                         item_words[i], answers[i], content, texts[d], p * PASSAGE, (p + 2) * PASSAGE,
                         0.0 if (d, i) in runs else least,

@@ -117,7 +117,7 @@ def test_latent_space_holds_items_and_directions(spark):
     assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-5)
     assert np.allclose((m @ basis) @ basis.T, m, atol=1e-4)
     table = words.toArrow()
-    document, passage, word, times = dc.passages(table.column("words").combine_chunks())
+    document, passage, word, times = dc.passages(table.column("words").combine_chunks(), block.kind)
     a = np.zeros((len(document), len(idf)))
     a[passage, word] = (1 + np.log(times)) * idf[word]
     span = np.linalg.svd(m, full_matrices=False)[2].T
@@ -148,6 +148,13 @@ def test_long_item_and_text(spark):
     assert [(x.doc_id, x.item_id) for x in dc.leaks(df, bench).collect()] == [(1, 1)]
 
 
+def test_an_item_of_more_words_than_16_bits_count(spark):
+    item = " ".join(f"w{i}x" for i in range(70_000))
+    docs = spark.createDataFrame([(1, "a b c " + item + " d"), (2, "w1x w2x"), (3, None)], "doc_id long, text string")
+    found = dc.leaks(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(1, 9)]
+
+
 def test_verbatim_runs_are_leaks(spark):
     """Cut ends, cut starts and middles; a shorter run, or one with a word put in, is none."""
     r = random.Random(21)
