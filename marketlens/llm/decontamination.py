@@ -40,6 +40,7 @@ DIRECTIONS, OVERSAMPLE = 24, 8
 COMMON = 0.02  # words in more passages than this weigh nothing
 KEEP_WORDS = 8  # but the rarest of an item always weigh
 COSINE = 0.35  # of a window and an item in the latent space
+LONG_ITEM = 512  # words; windows of longer items begin on a grid of a quarter of their length
 RUN = 13  # words of an item in a row that are a leak in themselves
 COVERED = 0.2  # of an item's latent length by a window (less for items longer than one)
 
@@ -305,18 +306,26 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _aligned(item, answer, content, text, low: int, high: int, least: float):
+def _aligned(item, answer, content, text, low: int, high: int, least: float, seen: set | None = None):
     """Best share of the item, and of its answer there, in windows of 1.3 times its length.
 
+    `seen`: where windows of a long item that were looked at before begin (then on a grid,
+    so neighbouring candidates do not align the same stretch again).
     `content`: which word numbers are content; a share is the smaller of that of all words
     and that of content words.
     """
     m, rare = len(item), item[content[item]]
     width, step = int(np.ceil(1.3 * m)), max(1, m // 4)
     low, high = max(0, low - m), min(len(text), high + m)
+    if seen is not None:
+        low -= low % step
     held = Counter(rare.tolist())
     best = (0.0, 0.0, low)
     for at in range(low, max(low + 1, high - width + step), step):
+        if seen is not None:
+            if at in seen:
+                continue
+            seen.add(at)
         part = text[at : at + width]
         part = part[part != NONE]
         own = part[content[part]]
@@ -448,6 +457,7 @@ def leaks_in_block(words: DataFrame, items: Items, id_type, rule: Rule) -> DataF
                 found: dict[tuple[int, int], tuple] = {}
                 texts: dict[int, np.ndarray] = {}
                 runs: dict[tuple[int, int], int] = {}
+                seen: dict[tuple[int, int], set] = {}
                 for d, b in enumerate(part.column("words")):
                     text = numbers_of(b.as_py(), kind)
                     runs |= {(d, i): where for i, where in _runs_in(text, by_run.value, item_words).items()}
@@ -457,6 +467,7 @@ def leaks_in_block(words: DataFrame, items: Items, id_type, rule: Rule) -> DataF
                     share, inside, where = _aligned(
                         item_words[i], answers[i], content, texts[d], p * PASSAGE, (p + 2) * PASSAGE,
                         0.0 if (d, i) in runs else least,
+                        seen.setdefault((d, i), set()) if len(item_words[i]) > LONG_ITEM else None,
                     )
                     alike = share >= rule.alike or (share >= rule.paraphrase and inside >= rule.answer)
                     if (d, i) in runs and not alike:
