@@ -2,11 +2,11 @@
 
 Documents become passages of 32 words over the vocabulary of a block of benchmark
 items, weighted by TF-IDF with counts over all documents.  A distributed randomised
-SVD of these passages gives the main directions of the corpus; together with the span
-of the items they are the latent space.  Because the items lie in that space, a latent
-cosine is never below the plain one, so the reduction loses no candidate.  Windows of
-two passages whose latent vector covers enough of an item and is near it in direction
-are then aligned with it: the longest common subsequences of
+SVD of these passages gives the main directions of the corpus, the latent space; it has
+fewer directions than a block has items.  Candidates are windows of two passages that
+are near an item in that space; inverted lists of the items' words leave out, before any
+vector is formed, those that hold too little of an item to be a leak.  Candidates are
+then aligned with the item: the longest common subsequences of
 all its words, of its content words (those that are not common in the corpus) and of the
 words of its last sentence (the answer) decide.  Beside that, a run of RUN words of an item,
 word for word, is a leak wherever it stands in the item; runs are looked up by hash in
@@ -36,7 +36,7 @@ PASSAGE = 32
 ITEMS_A_BLOCK = 224
 PIECE_ROWS, PIECE_BYTES = 2000, 4 << 20  # of texts worked on at a time
 WORDS_A_BLOCK = 60_000
-DIRECTIONS, OVERSAMPLE = 24, 8
+DIRECTIONS, LEAST_DIRECTIONS, OVERSAMPLE = 64, 16, 8  # a third of the items, within these
 COMMON = 0.02  # words in more passages than this weigh nothing
 KEEP_WORDS = 8  # but the rarest of an item always weigh
 COSINE = 0.35  # of a window and an item in the latent space
@@ -242,27 +242,24 @@ def item_matrix(items: Items, idf: np.ndarray) -> np.ndarray:
 
 
 def latent_space(words: DataFrame, items: Items, idf: np.ndarray, seed: int = 42) -> np.ndarray:
-    """Orthonormal basis: the span of the items, then the corpus's main directions beside it.
+    """Orthonormal basis of the corpus's main directions, fewer than a block has items.
 
     Randomised SVD: a random start, one power step A'(A start) summed over all tasks,
     and the small Gram matrix of A in that basis, whose eigenvectors are the singular
     directions.  Only matrices of the block's vocabulary reach the driver.
     """
-    size, width = len(idf), DIRECTIONS + OVERSAMPLE
+    directions = min(DIRECTIONS, max(LEAST_DIRECTIONS, len(items.ids) // 3))
+    size, width = len(idf), directions + OVERSAMPLE
     context = words.sparkSession.sparkContext
-    own = np.linalg.svd(item_matrix(items, idf), full_matrices=False)
-    span = own[2][own[1] > 1e-9 * max(own[1].max(initial=0), 1e-300)].T
 
-    def beside(z):
-        z = z - span @ (span.T @ z)
-        z = z - span @ (span.T @ z)
+    def orthonormal(z):
         u, s, _ = np.linalg.svd(z, full_matrices=False)
-        return u[:, s > 1e-9 * max(s.max(initial=0), 1e-300)] if s.max(initial=0) > 1e-9 else u[:, :0]
+        return u[:, s > 1e-9 * s.max(initial=0)] if s.max(initial=0) > 1e-9 else u[:, :0]
 
-    shared = context.broadcast((idf, beside(np.random.default_rng(seed).standard_normal((size, width))).astype(np.float32)))
+    shared = context.broadcast((idf, orthonormal(np.random.default_rng(seed).standard_normal((size, width))).astype(np.float32)))
     width = shared.value[1].shape[1]
     if not width:
-        return span
+        return np.zeros((size, 0))
 
     def power(total, document, passage, word, times):
         weight, start = shared.value
@@ -275,10 +272,10 @@ def latent_space(words: DataFrame, items: Items, idf: np.ndarray, seed: int = 42
         first = np.flatnonzero(np.r_[True, np.diff(word[order]) != 0])
         total[word[order][first]] += np.add.reduceat(part[order], first, 0)
 
-    basis = beside(_matrix_pass(words, items.kind, size, width, power))
+    basis = orthonormal(_matrix_pass(words, items.kind, size, width, power))
     rank = basis.shape[1]
     if not rank:
-        return span
+        return basis
     shared_basis = context.broadcast((idf, basis.astype(np.float32)))
 
     def gram(total, document, passage, word, times):
@@ -289,8 +286,7 @@ def latent_space(words: DataFrame, items: Items, idf: np.ndarray, seed: int = 42
             total += y.T @ y
 
     eigen = np.linalg.eigh(_matrix_pass(words, items.kind, rank, rank, gram))
-    main = basis @ eigen[1][:, ::-1][:, :DIRECTIONS]
-    return np.concatenate([span, main], 1)
+    return basis @ eigen[1][:, ::-1][:, :directions]
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -383,8 +379,7 @@ def _lists(items: Items, idf: np.ndarray):
     """Inverted lists: where a word's items start, the items, what each word covers of them
     for a unit of its weight; and how much of each item a window has to cover.
 
-    Coverage is the window's latent coordinate along an item over the item's length.  As
-    the items lie in the latent space, plain products of weights give it exactly.
+    Coverage is the window's coordinate along an item over the item's length.
     """
     m = item_matrix(items, idf)
     word, item = np.nonzero(m.T)
