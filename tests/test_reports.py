@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens import schemas
 from marketlens.functions import fixed_values as fv
-from marketlens.operators import audit, offers, snapshots, summaries
+from marketlens.operators import audit, offers, skew, snapshots, summaries
 from marketlens.plans import audit as audit_job
 from marketlens.sources import commits, pages, parts as parts_source, reports, snapshots as snapshot_source
 
@@ -145,6 +145,18 @@ def test_drill_down_with_a_hot_page(spark, salting):
         assert not kept.drilled_down and kept.seller_name_norm is None and kept.seller_name == "raw" and kept.attributes
 
 
+def test_hot_keys_have_bins_by_their_own_size(spark):
+    rows = [("third",)] * 4000 + [("warm",)] * 150 + [(f"k{i % 2000}",) for i in range(7850)] + [(None,)] * 50
+    df = spark.createDataFrame(rows, "k string")
+    bins = dict(skew.hot_keys(df, "k", share=0.01, min_rows=10, salts=64).collect())
+    assert bins == {"third": 34, "warm": 2}
+    assert dict(skew.hot_keys(df, "k", share=0.01, min_rows=10, salts=8).collect()) == {"third": 8, "warm": 2}
+    left = spark.createDataFrame([("third", 1), ("warm", 2), ("k5", 3), (None, 4), ("none", 5)], "k string, l int")
+    joined = skew.salted_left_join(left, df.withColumn("r", F.monotonically_increasing_id()), "k", [F.col("l")], [F.col("r")], 0.01, 10)
+    got = {r.l: (r.n, r.d) for r in joined.groupBy("l").agg(F.count("*").alias("n"), F.count_distinct("r").alias("d")).collect()}
+    assert got == {1: (4000, 4000), 2: (150, 150), 3: (got[3][0], got[3][0]), 4: (1, 0), 5: (1, 0)} and got[3][0] >= 3
+
+
 def test_caps_are_limited_before_the_shuffle(spark):
     cards = _cards(spark, [("1", "u")] * 30)
     capped = offers.first_cards(cards, 7)
