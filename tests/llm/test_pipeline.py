@@ -34,7 +34,7 @@ def brute_pipeline(spark):
     bad = {d for d, _ in brute(items, docs, decontamination.Rule())}
     docs = [d for d in docs if d[0] not in bad]
     yield {d[0] for d in docs}
-    rows, _, _ = plain_mixture(docs, mixing.Targets())
+    rows, _ = plain_mixture(docs, mixing.Targets())
     kept = {int(r[0]) for r in rows if r[4]}
     docs = [d for d in docs if d[0] in kept]
     yield {d[0] for d in docs}

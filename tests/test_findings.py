@@ -91,7 +91,7 @@ def test_shared_folder_is_needed_on_a_cluster(spark):
 def test_scratch_can_be_cleared(spark):
     df = session.materialize(spark.range(5), "five")
     assert df.count() == 5
-    system, where = session._hadoop(spark, session.run_dir(spark))
+    system, where = session.file_system(spark, session.run_dir(spark))
     assert len(system.listStatus(where)) > 0
     session.clear_scratch(spark)
     assert not system.exists(where)
