@@ -275,15 +275,15 @@ def write_token_ids(
 
     def run(batches):
         encode = encoder(tokenizer_path, white_space_dropped)
+        kind = encode.kind if end_id <= np.iinfo(encode.kind).max else np.dtype("<u4")
+        end = np.array([end_id], kind).tobytes()
         for whole in batches:
             for batch in _small(whole, 4 << 20):
-                rows = [np.frombuffer(b, encode.kind) for b in encode(batch.column("text").to_pylist())]
-                # each row and the end id behind it
-                offsets = np.concatenate(([0], np.cumsum([len(r) + 1 for r in rows]))).astype(np.int32)
-                values = np.full(offsets[-1], end_id, np.int32)
-                inner = np.ones(len(values), bool)
-                inner[offsets[1:] - 1] = False
-                values[inner] = np.concatenate(rows) if rows else []
+                rows = list(encode(batch.column("text").to_pylist()))
+                if kind != encode.kind:
+                    rows = [np.frombuffer(b, encode.kind).astype(kind).tobytes() for b in rows]
+                offsets = np.concatenate(([0], np.cumsum([len(b) // kind.itemsize + 1 for b in rows]))).astype(np.int32)
+                values = np.frombuffer(end.join(rows) + (end if rows else b""), kind).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=schema.names)
 
@@ -292,7 +292,8 @@ def write_token_ids(
     (
         spread.select("doc_id", "text").mapInArrow(run, schema)
         .select(F.monotonically_increasing_id().alias("seq"), "doc_id", "ids")
-        .write.option("orc.compress", "ZSTD")
+        # runs of ids are packed to their bits; what is left hardly compresses
+        .write.option("orc.compress", "NONE")
         .option("orc.stripe.size", str(32 << 20))
         .option("orc.row.index.stride", "10000")
         .option("orc.bloom.filter.columns", "doc_id")
@@ -326,8 +327,8 @@ def token_offsets(rows: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column("ids")
             offsets = ids.offsets.to_numpy()
-            values = np.asarray(ids.values.to_numpy(zero_copy_only=False)).astype("<u4")
-            crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
+            values = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)).view(np.uint8)
+            crcs = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("seq"),

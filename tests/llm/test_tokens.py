@@ -111,4 +111,6 @@ def test_files_round_trip(spark):
     for r in tokens.token_offsets(stored).collect():
         assert (r.start, r.n_tokens, r.ids_crc32) in starts[r.doc_id]
     assert stored.filter("doc_id = 14").count() == 1
+    wide = tokens.read_token_ids(spark, tokens.write_token_ids(df, PATH, scratch_path(spark, "ids"), end_id=70_000))
+    assert sorted((str(r.doc_id), list(r.ids)[:-1], r.ids[-1]) for r in wide.collect()) == [(i, v[:-1], 70_000) for i, v in found]
     assert tokens.token_offsets(tokens.read_token_ids(spark, path).limit(0)).collect() == []
