@@ -3,14 +3,16 @@
 Texts go to the tokenizer as pieces between blanks and line feeds, which is exact
 for tokenizers that drop white space: no token, normalisation or special string
 reaches across a blank.  Whether one does is read from its file; others get whole
-texts.  A worker remembers the ids of pieces it has met, so most of a text is looked up
-instead of encoded.  The memory is bounded and never decides a result.
+texts.  The distinct pieces of many texts are found by Arrow; a worker remembers the ids
+of those it has met, so most of a text is looked up instead of encoded.  The memory is
+bounded and never decides a result.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import types
 import zlib
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 from marketlens.session import materialize, ship_package
 
 SLICE_CHARS = 1 << 20  # longer texts are cut at a blank
+GROUP_BYTES = 8 << 20  # text whose distinct pieces are found at a time
 BATCH_BYTES = 1 << 20  # pieces that go to the tokenizer at a time
-MEMO_PIECES = 200_000  # pieces in the newer of a worker's two memories, which then becomes the older
+MEMO_PIECES = 600_000  # pieces in a worker's memory, two Arrow columns
 LONG_PIECE = 64  # longer pieces are not remembered
 TAIL = ".,;:!?"
+LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"  # the letters below U+0100: neither NFC nor lower case joins or parts them
 WORD_END = "</w>"  # how a vocabulary marks tokens that end a word
 WORDS_A_TEXT = 4096
 
@@ -72,8 +76,27 @@ _BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u2003\u2028\u3000"
 _PROBE = "".join(a + w + b for w in [*_BLANKS, "  ", " \n", "\r\n"] for a in ("ab", "7", "'s", "é", ".!", "日") for b in ("cd", "8", "'t", "-"))
 
 
+def _letters_apart(tokenizer: dict) -> bool:
+    """Whether a tokenizer file keeps a run of letters whole, with signs behind it apart.
+
+    Its first split must do so, the next only spells the parts in bytes.
+    """
+    split, *rest = (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    pattern = split.get("pattern", {}).get("Regex", "")
+    first, letters, then = pattern.partition("[\\p{L}]+|")
+    contractions = first.removesuffix("|").split("|") if first else []  # start at an apostrophe, so take no letter from a run
+    return (
+        bool(letters)
+        and '"NFD"' not in json.dumps(tokenizer.get("normalizer"))  # which takes accents off their letters
+        and all(re.fullmatch("'[a-z]+", c) for c in contractions)
+        and set(then.split("|")) <= {"[\\p{N}]", "[\\p{N}]+", "[^\\s\\p{L}\\p{N}]+"}
+        and [{k: r.get(k) for k in ("type", "add_prefix_space", "use_regex")} for r in rest]
+        == [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+    )
+
+
 class PieceEncoder:
-    """Ids of texts as bytes of little-endian unsigned integers, of 16 bits if all ids fit, else 32.
+    """Ids of texts as little-endian unsigned integers, of 16 bits if all ids fit, else 32.
 
     `white_space_dropped` says whether texts may be cut at blanks; by default it is read
     from the tokenizer file, and texts of other tokenizers are encoded whole.
@@ -81,21 +104,32 @@ class PieceEncoder:
 
     def __init__(self, path: str, white_space_dropped: bool | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as lines:
             described = json.load(lines)
         self.tokenizer = Tokenizer.from_file(path)
         self.split = _drops_white_space(described) if white_space_dropped is None else white_space_dropped
+        self.letters_apart = _drops_white_space(described) and _letters_apart(described)
         self.lower = "Lowercase" in json.dumps(described.get("normalizer"))
-        self.added = [t["content"].lower() for t in described["added_tokens"]]
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.added = "|".join(re.escape(t["content"].lower()) for t in described["added_tokens"])
+        # the same model behind a plain split: enough for Latin words in the form the tokenizer gives them
+        self.words_only = Tokenizer(self.tokenizer.model)
+        self.words_only.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocabulary = self.tokenizer.get_vocab()
         largest = max(vocabulary.values(), default=0)
         self.kind = np.dtype("<u2" if largest < 1 << 16 else "<u4")
         self.ends_word = np.zeros(largest + 1, bool)
         self.ends_word[[i for w, i in vocabulary.items() if w.endswith(WORD_END)]] = True
+        self.pieces, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        self.met, self.tick = np.zeros(0, np.int64), 0
+
+    @property
+    def memo(self) -> list[str]:
+        """The remembered pieces."""
+        return self.pieces.to_pylist()
 
     def _encode(self, pieces: list[str]) -> Iterator[bytes]:
         """Batches of about equal bytes."""
@@ -108,82 +142,105 @@ class PieceEncoder:
                     yield np.array(e.ids, dtype=self.kind).tobytes()
                 batch, size = [], 0
 
-    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
-        """Latin words in the form the tokenizer gives them, many in one text: each ends at a token that ends a word."""
+    def _encode_words(self, words: list[str]) -> pa.Array:
+        """Plain words, many in one text: each ends at a token that ends a word."""
         width = self.kind.itemsize
+        found = [pa.array([], pa.large_binary())]
         for at in range(0, len(words), WORDS_A_TEXT):
             part = words[at : at + WORDS_A_TEXT]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.kind)
+            (encoded,) = self.words_only.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(encoded.ids, dtype=self.kind)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(part) or (len(ids) and ends[-1] != len(ids)):
-                yield from self._encode(part)
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                found.append(pa.array(self._encode(part), pa.large_binary()))
                 continue
-            whole, last = ids.tobytes(), 0
-            for end in (width * ends).tolist():
-                yield whole[last:end]
-                last = end
-
-    def _recall(self, pieces: set[str]) -> set[str]:
-        """Pieces that are not remembered; those of the older memory move to the newer."""
-        missing = pieces.difference(self.memo)
-        if missing and self.older:
-            older = self.older
-            found = {p: older[p] for p in missing if p in older}
-            self.memo.update(found)
-            missing = missing.difference(found)
-        return missing
-
-    def _learn(self, pieces: set[str]) -> None:
-        """A Latin word with punctuation behind it is the word and the punctuation."""
-        memo, parts, words, others = self.memo, {}, set(), set()
-        for piece in pieces:
-            word = piece.rstrip(TAIL)
-            if word.isalpha() and (word.isascii() or max(word) < "Ā"):
-                tail = piece[len(word) :]
-                word = word.lower() if self.lower else word
-                parts[piece] = (word, tail)
-                words.add(word)
-                others.add(tail)
-            else:
-                others.add(piece)
-        words, others = list(self._recall(words)), list(self._recall(others))
-        memo.update(zip(words, self._encode_words(words)))
-        memo.update(zip(others, self._encode(others)))
-        for piece, (word, tail) in parts.items():
-            memo[piece] = memo[word] + memo[tail] if tail else memo[word]
-            if len(word) > LONG_PIECE:
-                self.passing.append(word)
-
-    def _folded(self, part: str) -> str:
-        """Lower case where the tokenizer lowers anyway, letter by letter, and no special string comes of it."""
-        if not self.lower:
-            return part
-        try:
-            part.encode("latin-1")
-        except UnicodeEncodeError:
-            return part
-        low = part.lower()
-        return part if any(a in low for a in self.added) else low
+            offsets = pa.py_buffer(np.concatenate(([0], width * ends)).astype(np.int64))
+            found.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, offsets, pa.py_buffer(ids)]))
+        return pa.concat_arrays(found)
+
+    def _plain(self, pieces: pa.Array, words: pa.Array) -> pa.Array:
+        """Whether words, parts of pieces, are of Latin letters and no special string is in their pieces."""
+        if not self.letters_apart:
+            return pa.repeat(False, len(pieces))
+        plain = pc.match_substring_regex(words, f"^[{LATIN}]+$")
+        if self.added:
+            plain = pc.and_not(plain, pc.match_substring_regex(pc.utf8_lower(pieces), self.added))
+        return plain
+
+    def _learned(self, pieces: pa.Array) -> pa.Array:
+        """Ids of pieces that are not remembered."""
+        plain = self._plain(pieces, pieces)
+        words, others = pieces.filter(plain), pieces.filter(pc.invert(plain))
+        ids = pa.concat_arrays([self._encode_words(words.to_pylist()), pa.array(self._encode(others.to_pylist()), pa.large_binary())])
+        plain = plain.to_numpy(zero_copy_only=False)
+        places = np.where(plain, np.cumsum(plain), len(words) + np.cumsum(~plain)) - 1
+        return ids.take(pa.array(places))
+
+    def _remember(self, pieces: pa.Array, ids: pa.Array) -> None:
+        """Beyond the bound the half met last stays."""
+        short = pc.less_equal(pc.utf8_length(pieces), LONG_PIECE)
+        self.pieces = pa.concat_arrays([self.pieces, pieces.filter(short)])
+        self.ids = pa.concat_arrays([self.ids, ids.filter(short)])
+        self.met = np.append(self.met, np.full(len(self.pieces) - len(self.met), self.tick))
+        if len(self.pieces) > MEMO_PIECES:
+            kept = np.sort(np.argsort(-self.met, kind="stable")[: MEMO_PIECES // 2])
+            self.pieces, self.ids, self.met = self.pieces.take(pa.array(kept)), self.ids.take(pa.array(kept)), self.met[kept]
+
+    def _ids(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces; a remembered one is looked up."""
+        self.tick += 1
+        places = pc.index_in(pieces, value_set=self.pieces)
+        missing = pieces.filter(pc.is_null(places))
+        learned = self._learned(missing)
+        places = places.to_numpy(zero_copy_only=False)
+        new = np.isnan(places) if len(missing) else np.zeros(len(pieces), bool)
+        self.met[places[~new].astype(np.int64)] = self.tick
+        places = np.where(new, len(self.pieces) + np.cumsum(new) - 1, places).astype(np.int64)
+        ids = pa.concat_arrays([self.ids, learned]).take(pa.array(places))
+        self._remember(missing, learned)
+        return ids
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Like `columns`, of texts that are not long: a Latin word with punctuation behind it is the word and the punctuation."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.values.dictionary_encode()
+        pieces = coded.dictionary
+        words = pc.ascii_rtrim(pieces, TAIL)
+        plain = self._plain(pieces, words)
+        words = pc.if_else(plain, pc.utf8_lower(words) if self.lower else words, pieces)
+        tailed = pc.not_equal(pc.binary_length(words), pc.binary_length(pieces))
+        tails = pc.extract_regex(pieces.filter(tailed), f"(?P<tail>[{TAIL}]+)$").field("tail")
+        keys = pa.concat_arrays([words, tails, pa.array([""])]).dictionary_encode()
+        places = keys.indices.to_numpy()
+        behind = np.full(len(pieces), places[-1])
+        behind[tailed.to_numpy(zero_copy_only=False)] = places[len(pieces) : -1]
+        ids = self._ids(keys.dictionary)
+        ids = pc.binary_join_element_wise(ids.take(pa.array(places[: len(pieces)])), ids.take(pa.array(behind)), pa.scalar(b"", pa.large_binary()))
+        found = ids.take(coded.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1][lists.offsets.to_numpy()]
+        return np.diff(ends) // self.kind.itemsize, np.frombuffer(found.buffers()[2] or b"", self.kind, ends[-1] // self.kind.itemsize)
+
+    def columns(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids of all texts."""
+        if not len(texts):
+            return np.zeros(0, np.int64), np.zeros(0, self.kind)
+        if not self.split:
+            rows = list(self._encode(texts.to_pylist()))
+            return np.array([len(b) // self.kind.itemsize for b in rows]), np.frombuffer(b"".join(rows), self.kind)
+        if _byte_lengths(texts).max() <= SLICE_CHARS:
+            return self._cut(texts)
+        cut = [list(slices(text)) for text in texts.to_pylist()]
+        parts = pa.RecordBatch.from_arrays([pa.array([part for row in cut for part in row], pa.string())], names=["text"])
+        lengths, ids = zip(*(self._cut(some.column("text")) for some in _small(parts)))
+        firsts = np.cumsum([0] + [len(row) for row in cut[:-1]])
+        return np.add.reduceat(np.concatenate(lengths), firsts), np.concatenate(ids)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        if not self.split:
-            yield from self._encode(texts)
-            return
-        for text in texts:
-            out = []
-            for part in slices(text):
-                pieces = self._folded(part).replace("\n", " ").split(" ")
-                distinct = set(pieces)
-                if len(self.memo) + len(distinct) > MEMO_PIECES:
-                    self.older, self.memo = self.memo, {}
-                unknown = self._recall(distinct)
-                self.passing = [p for p in unknown if len(p) > LONG_PIECE]
-                if unknown:
-                    self._learn(unknown)
-                out.append(b"".join(map(self.memo.__getitem__, pieces)))
-                for p in self.passing:
-                    self.memo.pop(p, None)
-            yield b"".join(out)
+        lengths, ids = self.columns(pa.array(texts, pa.string()))
+        at = 0
+        for end in np.cumsum(lengths).tolist():
+            yield ids[at:end].tobytes()
+            at = end
 
 
 def encoder(path: str, white_space_dropped: bool | None) -> PieceEncoder:
@@ -195,7 +252,7 @@ def encoder(path: str, white_space_dropped: bool | None) -> PieceEncoder:
     return kept.__dict__[key]
 
 
-def _small(batch: pa.RecordBatch, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _small(batch: pa.RecordBatch, limit: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about `limit` bytes of text at most."""
     ends = np.cumsum(_byte_lengths(batch.column("text")))
     start = 0
@@ -235,9 +292,7 @@ def count_tokens(
         encode = encoder(tokenizer_path, white_space_dropped)
         for whole in batches:
             for batch in _small(whole):
-                texts = batch.column("text").to_pylist()
-                width = encode.kind.itemsize
-                counts = [len(b) // width for b in encode(texts)]
+                counts, _ = encode.columns(batch.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
@@ -275,15 +330,14 @@ def write_token_ids(
 
     def run(batches):
         encode = encoder(tokenizer_path, white_space_dropped)
-        kind = encode.kind if end_id <= np.iinfo(encode.kind).max else np.dtype("<u4")
-        end = np.array([end_id], kind).tobytes()
         for whole in batches:
-            for batch in _small(whole, 4 << 20):
-                rows = list(encode(batch.column("text").to_pylist()))
-                if kind != encode.kind:
-                    rows = [np.frombuffer(b, encode.kind).astype(kind).tobytes() for b in rows]
-                offsets = np.concatenate(([0], np.cumsum([len(b) // kind.itemsize + 1 for b in rows]))).astype(np.int32)
-                values = np.frombuffer(end.join(rows) + (end if rows else b""), kind).astype(np.int32)
+            for batch in _small(whole):
+                counts, found = encode.columns(batch.column("text"))
+                offsets = np.concatenate(([0], np.cumsum(counts + 1))).astype(np.int32)
+                values = np.full(offsets[-1], end_id, np.int32)
+                inner = np.ones(len(values), bool)
+                inner[offsets[1:] - 1] = False
+                values[inner] = found
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=schema.names)
 

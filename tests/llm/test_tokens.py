@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from marketlens.llm import tokens
@@ -114,3 +115,78 @@ def test_files_round_trip(spark):
     wide = tokens.read_token_ids(spark, tokens.write_token_ids(df, PATH, scratch_path(spark, "ids"), end_id=70_000))
     assert sorted((str(r.doc_id), list(r.ids)[:-1], r.ids[-1]) for r in wide.collect()) == [(i, v[:-1], 70_000) for i, v in found]
     assert tokens.token_offsets(tokens.read_token_ids(spark, path).limit(0)).collect() == []
+
+
+def test_rare_words_of_many_texts_are_encoded_together():
+    encode, plain, calls = tokens.PieceEncoder(PATH), reference(), []
+    for name in ("_encode", "_encode_words"):
+        kept = getattr(encode, name)
+        setattr(encode, name, lambda part, kept=kept: (calls.append(len(part)), kept(part))[1])
+    r = random.Random(5)
+    words = ["".join(r.choice("aeinorstéÈ") for _ in range(9)) for _ in range(1000)]
+    texts = [f"{words[2 * i]} {words[2 * i + 1]}, {words[i]}." for i in range(500)]
+    for _ in range(2):
+        got = [np.frombuffer(b, encode.kind).tolist() for b in encode(texts)]
+        assert got == [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    assert len(calls) <= 4 and sum(calls) <= 1004
+
+
+def test_memory_drops_what_was_met_longest_ago(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 40)
+    encode, plain = tokens.PieceEncoder(PATH), reference()
+    for i, text in enumerate(random_texts(300, 6)):
+        text += " kept, always."
+        assert np.frombuffer(next(encode([text])), encode.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(encode.memo) <= 40 and {"kept", "always", ",", "."} <= set(encode.memo)
+
+
+def test_long_texts_among_short_ones(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE_CHARS", 100)
+    texts = ["", *random_texts(50, 7), " ".join(random_texts(100, 8)), "", "y" * 1000, "a\nb", ""]
+    encode, plain = tokens.PieceEncoder(PATH), reference()
+    column = pa.array(["out", *texts, "side"]).slice(1, len(texts))
+    lengths, ids = encode.columns(column)
+    want = [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    assert lengths.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def edited(path, change):
+    described = json.loads(open(PATH, encoding="utf-8").read())
+    change(described)
+    with open(path, "w", encoding="utf-8") as out:
+        json.dump(described, out)
+    return str(path)
+
+
+def test_special_strings_of_letters_and_signs(tmp_path):
+    def change(described):
+        for i, content in enumerate(["abc", "end."]):
+            described["added_tokens"].append({**described["added_tokens"][0], "id": 49408 + i, "content": content})
+
+    path = edited(tmp_path / "special.json", change)
+    encode, plain = tokens.PieceEncoder(path), Tokenizer.from_file(path)
+    assert encode.letters_apart
+    for text in ["xabcx ABC abc, Abc!", "the end. END. end end.. bend.x", "dabce.,"]:
+        assert np.frombuffer(next(encode([text])), encode.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_words_split_otherwise_are_encoded_as_they_are(tmp_path):
+    for i, pattern in enumerate([r"[^\s]+", r"[^\s\p{L}\p{N}]?[\p{L}]+|[^\s\p{L}]+", r"[\p{L}]+[.]|[\p{L}]+|[^\s\p{L}]+"]):
+        def change(described):
+            described["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = pattern
+
+        path = edited(tmp_path / f"split{i}.json", change)
+        encode, plain = tokens.PieceEncoder(path), Tokenizer.from_file(path)
+        assert encode.split and not encode.letters_apart
+        for text in ["word, word. WORD", "(a) b.c é, it's", *random_texts(100, 9)]:
+            assert np.frombuffer(next(encode([text])), encode.kind).tolist() == plain.encode(text, add_special_tokens=False).ids, pattern
+
+
+def test_accents_taken_off_by_the_tokenizer(tmp_path):
+    def change(described):
+        described["normalizer"]["normalizers"][0]["type"] = "NFD"
+
+    path = edited(tmp_path / "nfd.json", change)
+    encode, plain = tokens.PieceEncoder(path), Tokenizer.from_file(path)
+    for text in ["Été, à côté. plain", *random_texts(100, 10)]:
+        assert np.frombuffer(next(encode([text])), encode.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
