@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -93,7 +94,7 @@ def _numbered(selectors: list[str], numbers: dict[str, int]) -> list[int]:
 _CARD_NUMBERS: dict[str, int] = {}
 _CARD_PRICE = _numbered(fv.CARD_PRICE_SELECTORS, _CARD_NUMBERS)
 _CARD_SELLER = _numbered(fv.CARD_SELLER_SELECTORS, _CARD_NUMBERS)
-_CARD_TESTS = [html.matcher(s) for s in _CARD_NUMBERS] + [html.matcher(*fv.AVAILABILITY_SELECTORS)]
+_CARD_TESTS = html.Tests([html.matcher(s) for s in _CARD_NUMBERS] + [html.matcher(*fv.AVAILABILITY_SELECTORS)])
 _CARD_STOCK = len(_CARD_NUMBERS)
 _NO_RESULTS = html.matcher(*fv.NO_RESULTS_SELECTORS)
 
@@ -139,8 +140,8 @@ _OFFER_NUMBERS: dict[str, int] = {}
 _OFFER_SELLER = _numbered(fv.OFFER_SELLER_SELECTORS, _OFFER_NUMBERS)
 _OFFER_PRICE = _numbered(fv.OFFER_PRICE_SELECTORS, _OFFER_NUMBERS)
 _OFFER_LINK = _numbered(fv.OFFER_LINK_SELECTORS, _OFFER_NUMBERS)
-_OFFER_TESTS = [html.matcher(s) for s in _OFFER_NUMBERS]
-_OFFER_KINDS = [html.matcher(s) for s in fv.OFFER_SELECTORS]
+_OFFER_TESTS = html.Tests([html.matcher(s) for s in _OFFER_NUMBERS])
+_OFFER_KINDS = html.Tests([html.matcher(s) for s in fv.OFFER_SELECTORS])
 
 
 class _Offers(html.Watch):
@@ -148,12 +149,12 @@ class _Offers(html.Watch):
 
     def __init__(self) -> None:
         super().__init__(_OFFER_TESTS)
-        self.kind, self.seen = len(_OFFER_KINDS), 0
+        self.kind, self.seen = len(fv.OFFER_SELECTORS), 0
         self.found: list[tuple] = []
 
     def opened(self, element: html.Element, attrs: dict) -> bool:
-        kinds = [k for k, matches in enumerate(_OFFER_KINDS[: self.kind + 1]) if element.tag and matches(element.tag, attrs)]
-        if not kinds:
+        known = _OFFER_KINDS.numbers(element.tag, attrs) if element.tag else ()
+        if not known or not (kinds := [k for k in known if k <= self.kind]):
             return False
         if kinds[0] < self.kind:  # a better kind: what was found of others does not count
             self.kind, self.found = kinds[0], []
@@ -192,33 +193,43 @@ def _find_cards(link_part: str):
     return run
 
 
-def _find_offers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in _RAW_OFFER.split(", ")]
-    for pdf in batches:
-        out = [(url, *o) for url, source in zip(pdf["url"], pdf["html"]) for o in offer_fields(source or "")]
-        yield pd.DataFrame(out, columns=columns)
+_ARROW_OFFER = pa.schema(
+    [(c.split()[0], {"int": pa.int32(), "boolean": pa.bool_()}.get(c.split()[1], pa.string())) for c in _RAW_OFFER.split(", ")]
+)
+
 
+def _find_offers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pages = zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())
+        out = [(url, *o) for url, source in pages for o in offer_fields(source or "")]
+        columns = zip(*out) if out else [()] * len(_ARROW_OFFER)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW_OFFER)], schema=_ARROW_OFFER)
 
-def _price_columns() -> dict[str, Column]:
+
+def _cleaned(found: DataFrame, **more: Column) -> DataFrame:
+    """Adds the seller, the price's text, number and unit, and `more`: each computed once, whatever filters follow."""
     ok = F.col("price_ok")
-    cleaned = text.clean_whitespace(F.col("price"))
-    return {
+    texts = with_computed(found, "_text", F.when(ok, text.clean_whitespace(F.col("price"))))
+    cleaned = F.col("_text")
+    fields = {
         "price_text": F.when(ok, cleaned).otherwise(F.col("price")),
         "price_raw": F.when(ok, text.extract_price(cleaned)),
         "currency_unit": F.when(ok, text.detect_currency_unit(cleaned)).otherwise("unknown"),
+        "seller_name": text.clean_whitespace(F.col("seller")),
+        **more,
     }
+    rows = with_computed(texts, "_fields", F.struct(*[c.alias(name) for name, c in fields.items()]))
+    return rows.withColumns({name: F.col(f"_fields.{name}") for name in fields})
 
 
 def cards_from_markup(pages: DataFrame, base_url: str, link_part: str = fv.CARD_LINK_PART) -> DataFrame:
     """One card per product link; its surroundings give price, seller, stock."""
     ship_package()
-    found = pages.select("page_id", "url", "html").mapInPandas(_find_cards(link_part), _RAW_CARD)
+    raw = pages.select("page_id", "url", "html").mapInPandas(_find_cards(link_part), _RAW_CARD)
+    found = _cleaned(raw, title_raw=text.clean_whitespace(F.col("title")))
     return (
         found.withColumns(
             {
-                "title_raw": text.clean_whitespace(F.col("title")),
-                **_price_columns(),
-                "seller_name": text.clean_whitespace(F.col("seller")),
                 "seller_url": urls.absolute_url(F.col("seller_href"), base_url),
                 "availability": text.clean_whitespace(F.col("availability")),
                 "product_url": urls.absolute_url(F.col("href"), base_url),
@@ -247,16 +258,9 @@ def search_cards(pages: DataFrame, base_url: str) -> DataFrame:
 def page_offers(pages: DataFrame, base_url: str) -> DataFrame:
     """Offers of product pages that name a seller or a price."""
     ship_package()
-    found = pages.select("url", "html").mapInPandas(_find_offers, _RAW_OFFER)
+    found = _cleaned(pages.select("url", "html").mapInArrow(_find_offers, _RAW_OFFER))
     return (
-        found.withColumns(
-            {
-                **_price_columns(),
-                "seller_name": text.clean_whitespace(F.col("seller")),
-                "seller_url": urls.absolute_url(F.col("href"), base_url),
-                "availability": F.lit(""),
-            }
-        )
+        found.withColumns({"seller_url": urls.absolute_url(F.col("href"), base_url), "availability": F.lit("")})
         .select(*schemas.PAGE_OFFER.names)
         .where((F.col("seller_name") != "") | (F.coalesce("price_raw", F.lit(0)) > 0))
     )
