@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import fixed_values as fv
-from marketlens.functions.text import normalize_part_title, normalize_seller_name, words
+from marketlens.functions.text import let, normalize_part_title, normalize_seller_name, words
 from marketlens.operators.sellers import canonical_seller
 from marketlens.session import materialize
 
@@ -60,22 +60,26 @@ def price_bucket(price: Column) -> Column:
     return F.floor(F.ln(price.cast("double")) / F.lit(BUCKET_WIDTH))
 
 
-def similar(a: str, b: str) -> Column:
-    """Similarity of two offers of one part and seller, as columns `a.*`, `b.*`.
+def _of(row: str | Column, name: str) -> Column:
+    return F.col(f"{row}.{name}") if isinstance(row, str) else row[name]
+
+
+def similar(a: str | Column, b: str | Column) -> Column:
+    """Similarity of two offers of one part and seller, as columns `a.*`, `b.*` or structs.
 
     The title test is skipped when a title is empty, the price test when a price
     is not positive: such offers are similar to many unlike ones, by design.
     """
-    pa, pb = F.col(f"{a}.price"), F.col(f"{b}.price")
-    no_title = (F.col(f"{a}.title_norm") == "") | (F.col(f"{b}.title_norm") == "")
+    pa, pb = _of(a, "price"), _of(b, "price")
+    no_title = (_of(a, "title_norm") == "") | (_of(b, "title_norm") == "")
     no_price = (pa <= 0) | (pb <= 0)
-    return (no_title | similar_titles(a, b)) & (no_price | similar_prices(pa, pb))
+    return (no_price | similar_prices(pa, pb)) & (no_title | similar_titles(a, b))
 
 
-def similar_titles(a: str, b: str) -> Column:
+def similar_titles(a: str | Column, b: str | Column) -> Column:
     """Of two titles with words: about equal lengths, and most words in common."""
-    la, lb = (F.length(F.col(f"{s}.title_norm")).cast("double") for s in (a, b))
-    wa, wb = F.col(f"{a}.words"), F.col(f"{b}.words")
+    la, lb = (F.length(_of(s, "title_norm")).cast("double") for s in (a, b))
+    wa, wb = _of(a, "words"), _of(b, "words")
     shared = F.size(F.array_intersect(wa, wb))
     union = F.size(wa) + F.size(wb) - shared
     titles = (
@@ -336,21 +340,71 @@ def _questions(classes: DataFrame, links: DataFrame) -> DataFrame:
     return rows.select(*BLOCK, *SIGNATURE, "series", asked).select(*BLOCK, *SIGNATURE, "series", "q.*")
 
 
-def similar_counts(offers: DataFrame) -> DataFrame:
+def _counts_of_small_blocks(classes: DataFrame) -> DataFrame:
+    """`n` and `first` of the other signatures that each is similar to, block by block.
+
+    A block is one array of its few signatures, so each is shuffled once.
+    """
+    member = F.struct("title_norm", "price", "offers")
+    blocks = classes.groupBy(*BLOCK).agg(F.collect_list(member).alias("_members"))
+    with_words = F.transform("_members", lambda m: m.withField("words", words(m["title_norm"])))
+
+    def row(a: Column, members: Column) -> Column:
+        other = lambda b: (a["title_norm"] != b["title_norm"]) | (a["price"] != b["price"])
+        near = F.filter(members, lambda b: other(b) & similar(a, b))
+        found = F.transform(near, lambda b: F.struct(b["title_norm"].alias("t"), b["price"].alias("p")))
+        return F.struct(
+            a["title_norm"].alias("title_norm"), a["price"].alias("price"), a["offers"].alias("offers"),
+            F.aggregate(near, F.lit(0).cast("bigint"), lambda n, b: n + b["offers"]).alias("n"),
+            F.array_min(found).alias("first"),
+        )
+
+    rows = let(with_words, lambda members: F.transform(members, lambda a: row(a, members)))
+    return blocks.select(*BLOCK, F.inline(rows))
+
+
+def _similar_offers() -> list[Column]:
+    """The columns of `similar_counts` out of a signature's `n` and `first`."""
+    return [
+        *[F.col(c) for c in (*BLOCK, *SIGNATURE)],
+        F.col("offers"),
+        (F.coalesce(F.col("n"), F.lit(0)) + F.col("offers") - 1).alias("similar_offers"),
+        F.col("first.t").alias("first_title"),
+        F.col("first.p").alias("first_price"),
+    ]
+
+
+def similar_counts(offers: DataFrame, small_block: int = SMALL_BLOCK) -> DataFrame:
     """For each signature: its offers, the offers it is a near-duplicate of, the first such signature.
 
     Copies of the signature itself count as well; `first_title` and `first_price` are the
     smallest other signature, NULL without one.
 
-    No pair of signatures is formed.  Similar *titles* of a block are found through their
-    rare words; the offers of a title (of none, of any) within a price range come from
-    running totals over price cells, which also answer for missing prices and titles.
+    The signatures of a block (part and seller) with few of them are compared in place.
+    Of a larger one no pair of signatures is formed.
+    """
+    counted = materialize(signature_classes(offers).drop("words"), "signature-classes")
+    sizes = counted.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > small_block)
+    large = materialize(sizes.select(*[F.col(c).alias(f"_{c}") for c in BLOCK]), "large-blocks")
+    if large.isEmpty():
+        return _counts_of_small_blocks(counted).select(_similar_offers())
+    inside = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in BLOCK]
+    small = _counts_of_small_blocks(counted.join(large, inside, "left_anti"))
+    within = counted.join(large, inside, "left_semi").withColumn("words", words(F.col("title_norm")))
+    return small.select(_similar_offers()).unionByName(_counts_of_large_blocks(materialize(within, "large-classes")))
+
+
+def _counts_of_large_blocks(classes: DataFrame) -> DataFrame:
+    """Similar *titles* of a block are found through their rare words; the offers of a title
+    (of none, of any) within a price range come from running totals over price cells, which
+    also answer for missing prices and titles.
     """
-    classes = materialize(signature_classes(offers), "signature-classes")
     titles = classes.where(F.col("title_norm") != "").select(*BLOCK, "title_norm", "words").distinct()
     kinds = classes.select(*BLOCK, "title_norm").distinct()
     blank = F.when(F.col("title_norm") == "", F.array(F.lit(""), F.lit(_TITLED))).otherwise(F.array(F.lit("")))
-    links = title_links(titles).unionByName(kinds.select(*BLOCK, "title_norm", F.explode(blank).alias("other")))
+    links = materialize(
+        title_links(titles).unionByName(kinds.select(*BLOCK, "title_norm", F.explode(blank).alias("other"))), "title-links"
+    )
     points = _points(classes).select(*BLOCK, "series", "falling", "cell", "v", "n", "first", F.lit(0).alias("asks"))
     asked = _questions(classes, links).withColumns({"v": F.col("bound"), "asks": F.lit(1)}).drop("bound")
     running = (
@@ -366,10 +420,4 @@ def similar_counts(offers: DataFrame) -> DataFrame:
     )
     own = classes.select(*BLOCK, *SIGNATURE, "offers").alias("o")
     on = [F.col(f"o.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*BLOCK, *SIGNATURE)]
-    return own.join(found.alias("f"), on, "left").select(
-        *[F.col(f"o.{c}").alias(c) for c in (*BLOCK, *SIGNATURE)],
-        F.col("o.offers").alias("offers"),
-        (F.coalesce(F.col("f.n"), F.lit(0)) + F.col("o.offers") - 1).alias("similar_offers"),
-        F.col("f.first.t").alias("first_title"),
-        F.col("f.first.p").alias("first_price"),
-    )
+    return own.join(found.alias("f"), on, "left").select("o.*", "f.n", "f.first").select(_similar_offers())
