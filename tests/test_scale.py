@@ -1,5 +1,6 @@
 """What the large runs asked for: work done once, and no more on disk than a step needs."""
 
+import os
 import random
 import time
 
@@ -57,3 +58,83 @@ def test_words_are_looked_for_in_a_form_made_once(column, spark):
     said = spark.range(1).select(relevance.negative_categories(F.col("id").cast("string"), fv.NEGATIVE_PATTERNS).alias("c"))
     plan = said._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1 and "RLIKE" not in plan
+
+
+def shuffle_files(spark) -> int:
+    found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return sum(found.apply(i).getName().startswith("shuffle_") for i in range(found.size()))
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from marketlens.session import materialize, settled
+
+    before = shuffle_files(spark)
+    rows = spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).count()
+    assert len(materialize(rows, "counts").collect()) == 7
+    for _ in range(20):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.25)
+    assert shuffle_files(spark) <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+    steps = []
+
+    def build():
+        steps.append(materialize(rows, "step"))
+        return steps[0].where("k < 3")
+
+    out = settled(spark, build, "end")
+    assert out.count() == 3
+    assert not [f for f in steps[0].inputFiles() if os.path.exists(f.removeprefix("file:"))]
+
+
+def test_row_numbers_of_views_are_given_before_texts_are_made():
+    from queries import views
+
+    for name in ("cards", "page_offers"):
+        sql = views.ranked_first(views.VIEWS[name])
+        inner = sql[sql.index("FROM (SELECT *, row_number()") :]
+        assert sql.count("row_number()") == 1 and "concat" not in inner and inner.endswith("FROM {sources})")
+    assert views.ranked_first(views.VIEWS["offers"]) == views.VIEWS["offers"]
+
+
+def test_cards_carry_only_what_is_read(spark):
+    from marketlens.plans import two_stage
+
+    parts = spark.createDataFrame(
+        [("1", 1, "سپر جلو", "c", "سپر جلو پرو"), ("2", 2, "x", "c", " ")],
+        "part_id string, part_ord long, part_name string, part_code string, keywords string",
+    )
+    card = ["toman", "s", "u1", "", "", None]
+    cards = spark.createDataFrame(
+        [("1", 1, "سپر جلو چپ", 5, "5", *card), ("1", 2, "آینه", 7, "7", *card), ("1", 3, "کاپوت", None, "", *card), ("2", 4, "کاپوت", 3, "", *card)],
+        "part_id string, card_ord int, title_raw string, price_raw long, price_text string, currency_unit string, "
+        "seller_name string, product_url string, seller_url string, availability string, snapshot_ts timestamp",
+    )
+    offers = spark.createDataFrame(
+        [("u1", 0, "شرکت A", 50, "50", "rial", "", ""), ("u9", 0, "B", 1, "", "", "", "")],
+        "product_url string, offer_pos int, seller_name string, price_raw long, price_text string, currency_unit string, "
+        "seller_url string, availability string",
+    )
+    now = F.lit("2024-01-01").cast("timestamp")
+    whole = two_stage.processed_offers(parts, cards, offers, now)
+    for columns in (two_stage.REPORT_COLUMNS, two_stage.SUMMARY_COLUMNS, ["part_id", "relevance"]):
+        some = two_stage.processed_offers(parts, cards, offers, now, columns)
+        assert "attributes" not in some.columns and {"price_toman", "seller_name_norm", "drilled_down"} <= set(some.columns)
+        key = lambda r: (r.card_ord, r.offer_pos)
+        rows = [r.asDict() for r in sorted(some.collect(), key=key)]
+        assert len(rows) == 2
+        assert rows == [{c: r[c] for c in some.columns} for r in sorted(whole.collect(), key=key)]
+
+
+def test_small_blocks_are_compared_in_place(spark):
+    """Both ways give the same counts, and the one for small blocks shuffles each signature once."""
+    from marketlens.operators import similarity
+    from test_dedupe import frame, random_rows
+
+    offers = frame(spark, random_rows(6))
+    of = lambda n: sorted(map(tuple, similarity.similar_counts(offers, n).collect()), key=str)
+    assert of(1 << 30) == of(0) == of(3)
+    plan = similarity.similar_counts(offers, 1 << 30)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
